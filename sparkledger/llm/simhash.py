@@ -15,6 +15,8 @@ from .common import components, forget, table, written
 SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
 #: First bit of each of the three segments, and the end: of at most 5 differing bits one segment has at most one.
 SEGMENTS = (0, 22, 43, 64)
+#: Rounds in which fingerprints of a key are compared with a hub before all remaining pairs across components are.
+HUB_ROUNDS = 2
 #: So many hashes are counted at a time.
 STEP = 1 << 14
 
@@ -53,6 +55,10 @@ def with_fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     return out.select(F.col("id").alias(id_col), "fp")
 
 
+def close(a: str, b: str, max_bits: int) -> F.Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
+
+
 def bit(i: int) -> int:
     return 1 << i if i < 63 else -(1 << 63)
 
@@ -63,7 +69,8 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     Pairs at one bit are found first, by an equality join of each fingerprint with one bit raised, and merged.
     Three segments then leave one segment that differs by at most one bit; each of its one-wildcard variants (the
-    segment with one bit raised) is indexed. Keys under which all fingerprints are merged already are dropped,
+    segment with one bit raised) is indexed. Keys under which all fingerprints are merged already are dropped. In a few rounds
+    each fingerprint is compared with one hub of its key and with one neighbour, and what is close is merged;
     the rest is joined on equal keys, only across components, and verified bit by bit. Groups of
     near copies so take part as one component and not as all their pairs.
     """
@@ -85,15 +92,34 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         spare = 32 if low == 0 else 0
         variants += [F.col("fp").bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(bit(i))).bitwiseOR(F.lit(i << spare)) for i in range(low, high)]
     keyed = merged.select("fp", "root", F.explode(F.array(*variants)).alias("key"))
-    w = Window.partitionBy("key")
-    mixed = keyed.withColumns({"low": F.min("root").over(w), "high": F.max("root").over(w)}).where("low <> high").select("key", "fp", "root")
-    mixed = written(mixed, "variants")
+    mixed, found = None, [first]
+    for nth in range(HUB_ROUNDS + 1):
+        # rows of the same key side by side in an order that changes with each round
+        w = Window.partitionBy("key")
+        ordered = w.orderBy(F.xxhash64(F.lit(nth), "root"), "fp")
+        known = keyed if mixed is None else mixed.select("key", "fp", "root")
+        spread = known.withColumns({"low": F.min("root").over(w), "high": F.max("root").over(w), "hub": F.first(F.struct("fp", "root")).over(ordered), "side": F.lag(F.struct("fp", "root")).over(ordered)}).where("low <> high")
+        before, mixed = mixed, written(spread.select("key", "fp", "root", "hub", "side"), "variants")
+        forget(before)
+        if nth == HUB_ROUNDS:
+            break
+        near_one = [mixed.select(F.col("root").alias("a"), F.col(f"{other}.root").alias("b")).where(close("fp", f"{other}.fp", max_bits)) for other in ("hub", "side")]
+        star = written(near_one[0].union(near_one[1]).where("a <> b").distinct(), "links")
+        if star.isEmpty():
+            forget(star)
+            break
+        found.append(star)
+        to = components(star).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        before, mixed = mixed, written(mixed.join(to, "root", "left").select("key", "fp", F.coalesce("to", "root").alias("root")), "variants")
+        forget(before)
     x, y = mixed.alias("x"), mixed.alias("y")
-    close = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= max_bits
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & close).select(F.col("x.root").alias("a"), F.col("y.root").alias("b")).distinct()
-    rest = written(rest, "links")
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & close("x.fp", "y.fp", max_bits)).select(F.col("x.root").alias("a"), F.col("y.root").alias("b")).distinct()
+    found.append(written(rest, "links"))
     forget(mixed, near)
-    return first.union(rest)
+    out = found[0]
+    for links in found[1:]:
+        out = out.union(links)
+    return out
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
