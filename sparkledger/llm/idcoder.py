@@ -27,9 +27,10 @@ import numpy as np
 MAGIC = b"IDR1"
 BLOCK_IDS = 1024
 #: Bits of the tables of order 1 and 2, of a probability, and of the speeds of learning.
-TABLE1, TABLE2, SCALE, FAST, SLOW = 10, 11, 12, 4, 5
+TABLE1, TABLE2, SCALE, FAST, SLOW = 9, 10, 12, 4, 5
 ONE = 1 << SCALE
-LEAST = 32
+#: Probabilities stay at or above LEAST and, with the speed above, below ONE - 2 * LEAST + 1; a length keeps WIDTH at least.
+LEAST, WIDTH = 15, 16
 #: The range stays at or above FLOOR, so that the narrowest id still leaves one; TOP bounds what is pending.
 FLOOR, TOP = np.uint64(1 << 47), np.uint64(1 << 63)
 LENGTHS = 17
@@ -41,87 +42,101 @@ class Corrupt(ValueError):
 
 
 class Model:
-    """The state of all blocks of a frame."""
+    """The state of all blocks of a frame, one lane each; the arrays that a step makes have an element for each lane."""
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=np.int64)
+        self.stride, self.lane = lanes, np.arange(lanes, dtype=np.int64)
         # entries hold the predicted rank times 8 plus the confidence
-        self.t1, self.t2 = np.zeros(lanes << TABLE1, np.int64), np.zeros(lanes << TABLE2, np.int64)
-        self.p2, self.p1 = np.full(lanes * 128, ONE // 2, np.int64), np.full(lanes * 128, ONE // 2, np.int64)
-        step = (ONE - LENGTHS * 16) / LENGTHS
-        self.cdf = np.tile(np.array([round(k * (step + 16)) for k in range(LENGTHS)] + [ONE], np.int64), (lanes, 1))
-        ramp = np.arange(LENGTHS + 1)
-        #: Where the distribution moves to when length b is seen; every length keeps at least 16.
-        self.goal = np.array([[16 * k + (ONE - 16 * LENGTHS) * (k > b) for k in ramp] for b in range(LENGTHS)], np.int64)
+        self.t1, self.t2 = np.zeros(lanes << TABLE1, np.uint32), np.zeros(lanes << TABLE2, np.uint32)
+        self.p2, self.p1 = np.full(lanes * 128, ONE // 2, np.int16), np.full(lanes * 128, ONE // 2, np.int16)
+        spread = ONE - LENGTHS * WIDTH
+        first = [round(k * (spread / LENGTHS + WIDTH)) for k in range(LENGTHS)] + [ONE]
+        self.cdf = np.repeat(np.array(first, np.int16)[:, None], lanes, axis=1)
+        self.flat = self.cdf.reshape(-1)
+        #: The distribution moves to WIDTH for each length, and to all that is left for the one that is seen.
+        self.steps, self.base, self.spread = np.arange(LENGTHS + 1, dtype=np.int8)[:, None], (WIDTH * np.arange(LENGTHS + 1, dtype=np.int16))[:, None], np.int16(spread)
         self.b1, self.b2, self.bs = self.lane << TABLE1, self.lane << TABLE2, self.lane << 7
-        self.before = np.zeros(lanes, np.int64)
-        self.last = np.zeros(lanes, np.int64)
+        self.before, self.last = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
 
     def narrow(self, lanes: int) -> None:
         """From here on only the first lanes are coded."""
         for name in ("lane", "b1", "b2", "bs", "before", "last"):
             setattr(self, name, getattr(self, name)[:lanes])
+        self.cdf = self.cdf[:, :lanes]
 
     def look(self) -> None:
-        h = self.last * 0x9E3779B1
-        self.i1 = self.b1 + (h >> 11 & (1 << TABLE1) - 1)
-        h += self.before * 0x85EBCA6B
-        self.i2 = self.b2 + ((h ^ h >> 15) >> 7 & (1 << TABLE2) - 1)
-        e1, e2 = self.t1[self.i1], self.t2[self.i2]
-        self.c1, self.c2 = e1 & 7, e2 & 7
-        self.s1, self.s2 = e1 >> 3, e2 >> 3
-        self.state = self.bs + (self.c2 << 4 | self.c1 << 1 | (self.s1 == self.s2))
-        self.q2, self.q1 = self.p2[self.state], self.p1[self.state]
+        h = self.last * np.uint32(0x9E3779B1)
+        self.i1 = self.b1 + (h >> np.uint32(32 - TABLE1))
+        h += self.before * np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        self.i2 = self.b2 + (h >> np.uint32(32 - TABLE2))
+        self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
+        self.c1, self.c2 = self.e1 & np.uint32(7), self.e2 & np.uint32(7)
+        self.s1, self.s2 = self.e1 >> np.uint32(3), self.e2 >> np.uint32(3)
+        self.state = self.bs + ((self.c2 << np.uint32(4)) | (self.c1 << np.uint32(1)) | (self.s1 == self.s2))
+        self.q2, self.q1 = self.p2.take(self.state), self.p1.take(self.state)
+        self.w2, self.w1 = self.q2.astype(U), self.q1.astype(U)
 
-    def learn(self, rank: np.ndarray, hit2: np.ndarray, miss2: np.ndarray, hit1: np.ndarray, miss: np.ndarray, length: np.ndarray) -> None:
-        """miss2: where order 2 is wrong; hit1: among those, where order 1 is right; miss: where neither is; length: of these ranks."""
-        q2 = self.q2
-        q2 += ((hit2 * ONE) - q2) >> FAST
-        self.p2[self.state] = np.clip(q2, LEAST, ONE - LEAST)
-        if len(miss2):
-            q1 = self.q1[miss2]
-            q1 += ((hit1 * ONE) - q1) >> FAST
-            self.p1[self.state[miss2]] = np.clip(q1, LEAST, ONE - LEAST)
-        if len(miss):
-            self.cdf[miss] += (self.goal[length] - self.cdf[miss]) >> SLOW
-        new = rank << 3 | 1
-        for entries, at, seen, sure in ((self.t1, self.i1, self.s1, self.c1), (self.t2, self.i2, self.s2, self.c2)):
-            right = np.minimum(sure + 1, 7)
-            same = seen == rank
-            entries[at] = np.where(same, rank << 3 | right, np.where(sure > 1, seen << 3 | sure - 1, new))
+    def learn(self, rank: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, miss: np.ndarray, length: np.ndarray) -> None:
+        """hit2, hit1, miss: whether order 2 is right, else order 1, else neither; length: of the rank."""
+        q2, q1, top, least = self.q2, self.q1, np.int16(ONE - 2 * LEAST), np.int16(LEAST)
+        self.p2[self.state] = q2 + ((least + hit2 * top - q2) >> FAST)
+        self.p1[self.state] = q1 + ((least + hit1 * top - q1) >> FAST) * ~hit2
+        goal = (self.steps > length.astype(np.int8)) * self.spread
+        goal += self.base
+        goal -= self.cdf
+        goal >>= SLOW
+        goal *= miss
+        self.cdf += goal
+        new = (rank << np.uint32(3)) | np.uint32(1)
+        for entries, at, e, seen, sure in ((self.t1, self.i1, self.e1, self.s1, self.c1), (self.t2, self.i2, self.e2, self.s2, self.c2)):
+            entries[at] = np.where(seen == rank, e + (sure < 7), np.where(sure > 1, e - np.uint32(1), new))
         self.before, self.last = self.last, rank
 
 
 def bit_length(x: np.ndarray) -> np.ndarray:
-    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
+    return np.frexp(x.astype(np.float32))[1].astype(np.int8)
 
 
-def lanes_of(n: int, block: int) -> list[int]:
-    """How many blocks have an id at each place, as (places, blocks): all but the last block are full."""
-    return [-(-n // block), n % block or block]
+def lanes_of(n: int, block: int) -> tuple[int, int]:
+    """How many blocks there are, and the ids of the last; all others are full."""
+    return -(-n // block), n % block or block
+
+
+def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values by rank, and the rank of each id."""
+    if len(ids) and int(ids.max()) < 1 << 20:
+        counts = np.bincount(ids)
+        values = np.flatnonzero(counts)
+        values = values[np.argsort(-counts[values], kind="stable")]
+        rank_of = np.zeros(len(counts), np.uint32)
+        rank_of[values] = np.arange(len(values), dtype=np.uint32)
+        return values.astype("<u4"), rank_of[ids]
+    values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    rank_of = np.empty(len(values), np.uint32)
+    rank_of[order] = np.arange(len(values), dtype=np.uint32)
+    return values[order].astype("<u4"), rank_of[inverse.ravel()]
 
 
 def encode(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
     """A frame of ids (any integers from 0 to 2^32 - 1, of up to 65,536 different values; none is a frame as well)."""
     ids = np.ascontiguousarray(ids, np.uint32)
     n = len(ids)
-    values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    values, ranks = ranked(ids)
     if len(values) > 1 << 16:
         raise ValueError("a frame holds at most 65,536 different ids")
-    order = np.argsort(-counts, kind="stable")
-    rank_of = np.empty(len(values), np.int64)
-    rank_of[order] = np.arange(len(values))
-    ranks = rank_of[inverse.ravel()]
     lanes, last = lanes_of(n, block) if n else (0, 0)
-    grid = np.zeros((lanes, block), np.int64)
+    grid = np.zeros((lanes, block), np.uint32)
     grid.ravel()[:n] = ranks
     grid = np.ascontiguousarray(grid.T)
-    lengths = bit_length(grid + 1) - 1
+    lengths = bit_length(grid + np.uint32(1)) - np.int8(1)
     model, m = Model(lanes), lanes
     low, size = np.zeros(lanes, U), np.full(lanes, TOP, U)
     out, used = np.zeros((lanes, 64), np.uint16), np.zeros(lanes, np.int64)
     for t in range(min(block, n)):
-        if t == last and lanes and last < block:
+        if t == last and m == lanes:
             # the last block ends here: its state is set apart
             m = lanes - 1
             model.narrow(m)
@@ -129,31 +144,23 @@ def encode(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
             if not m:
                 break
         model.look()
-        rank, length = grid[t, :m], lengths[t, :m]
+        rank = grid[t, :m]
+        b = lengths[t, :m].astype(np.int64)
         hit2 = model.s2 == rank
-        first = (size >> U(SCALE)) * model.q2.astype(U)
-        miss2 = np.flatnonzero(~hit2)
-        hit1 = model.s1[miss2] == rank[miss2]
-        wide = size[miss2] - first[miss2]
-        size = first
-        at = low[miss2] + first[miss2]
-        second = (wide >> U(SCALE)) * model.q1[miss2].astype(U)
-        off = np.flatnonzero(~hit1)
-        miss = miss2[off]
-        left = wide[off] - second[off]
-        size[miss2] = second
-        at[off] += second[off]
-        if len(miss):
-            b = length[miss]
-            a, z = model.cdf[miss, b], model.cdf[miss, b + 1]
-            unit = left >> U(SCALE)
-            each = unit * (z - a).astype(U) >> b.astype(U)
-            at[off] += unit * a.astype(U) + each * (rank[miss] + 1 - (1 << b)).astype(U)
-            size[miss] = each
-        else:
-            b = off
-        low[miss2] = at
-        model.learn(rank, hit2, miss2, hit1, miss, b)
+        hit1 = (model.s1 == rank) & ~hit2
+        miss = ~(hit2 | hit1)
+        first = (size >> U(SCALE)) * model.w2
+        rest = size - first
+        second = (rest >> U(SCALE)) * model.w1
+        unit = (rest - second) >> U(SCALE)
+        at = b * model.stride + model.lane
+        a = model.flat.take(at)
+        bits = b.view(U)
+        each = (unit * (model.flat.take(at + model.stride) - a).astype(U)) >> bits
+        inner = second + unit * a.astype(U) + each * ((rank + np.uint32(1)).astype(U) - (U(1) << bits))
+        low += np.where(hit2, U(0), first + np.where(miss, inner, U(0)))
+        size = np.where(hit2, first, np.where(hit1, second, each))
+        model.learn(rank, hit2, hit1, miss, b)
         if t % 16 == 0 and used.max(initial=0) + 64 > out.shape[1]:
             out = np.concatenate((out, np.zeros((lanes, max(64, out.shape[1])), np.uint16)), axis=1)
         over = np.flatnonzero(low >= TOP)
@@ -162,25 +169,25 @@ def encode(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
             carry(out, used, over)
         small = np.flatnonzero(size < FLOOR)
         while len(small):
-            x = low[small]
-            out[small, used[small]] = (x >> U(47)).astype(np.uint16)
+            x, s = low[small], size[small] << U(16)
+            out[small, used[small]] = x >> U(47)
             used[small] += 1
             low[small] = (x & U((1 << 47) - 1)) << U(16)
-            size[small] <<= U(16)
-            small = small[size[small] < FLOOR]
-    if lanes and m < lanes:
+            size[small] = s
+            small = small[s < FLOOR]
+    if m < lanes:
         low = np.concatenate((low, kept_low))
     # four words more settle what is pending
     out = np.concatenate((out, np.zeros((lanes, 4), np.uint16)), axis=1)
     for k in range(4):
-        out[np.arange(lanes), used + k] = (low >> U(47)).astype(np.uint16)
+        out[np.arange(lanes), used + k] = low >> U(47)
         low = (low & U((1 << 47) - 1)) << U(16)
     used += 4
     head = np.empty((lanes, 2), "<u4")
     for k in range(lanes):
         head[k] = zlib.crc32(ids[k * block : (k + 1) * block].astype("<u4").tobytes()), used[k]
     words = out[np.arange(out.shape[1])[None, :] < used[:, None]].astype("<u2").tobytes()
-    body = np.array([n, len(values), block], "<u4").tobytes() + values[order].astype("<u4").tobytes() + head.tobytes() + words
+    body = np.array([n, len(values), block], "<u4").tobytes() + values.tobytes() + head.tobytes() + words
     return MAGIC + zlib.crc32(body).to_bytes(4, "little") + body
 
 
@@ -215,9 +222,9 @@ def decode(data: bytes, only: int | None = None) -> np.ndarray:
     chosen = np.arange(lanes) if only is None else np.array([only])
     sizes = sizes[chosen]
     grid = decode_lanes(np.concatenate((words, np.zeros(4, "<u2"))), starts[chosen], sizes)
-    parts = []
+    columns, parts = np.ascontiguousarray(grid.T), []
     for k, lane in enumerate(chosen.tolist()):
-        ranks = grid[: sizes[k], k]
+        ranks = columns[k, : sizes[k]]
         if len(ranks) and ranks.max() >= different:
             raise Corrupt(f"block {lane} is damaged")
         part = values[ranks]
@@ -231,7 +238,7 @@ def decode_lanes(words: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.nda
     """Ranks by place and block. All blocks but the last have the largest size."""
     lanes = len(at)
     most = int(sizes.max(initial=0))
-    grid = np.zeros((most, lanes), np.int64)
+    grid = np.zeros((most, lanes), np.uint32)
     model, m = Model(lanes), lanes
     at, limit = at.copy(), len(words) - 1
     code = np.zeros(lanes, U)
@@ -249,45 +256,38 @@ def decode_lanes(words: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.nda
             if not m:
                 break
         model.look()
-        first = (size >> U(SCALE)) * model.q2.astype(U)
+        first = (size >> U(SCALE)) * model.w2
         hit2 = code < first
-        rank = model.s2.copy()
-        miss2 = np.flatnonzero(~hit2)
-        wide = size[miss2] - first[miss2]
-        rest = code[miss2] - first[miss2]
-        size = first
-        second = (wide >> U(SCALE)) * model.q1[miss2].astype(U)
-        hit1 = rest < second
-        off = np.flatnonzero(~hit1)
-        miss = miss2[off]
-        rank[miss2] = model.s1[miss2]
-        size[miss2] = second
-        if len(miss):
-            left = wide[off] - second[off]
-            low = rest[off] - second[off]
-            unit = left >> U(SCALE)
-            target = np.minimum(low // unit, U(ONE - 1)).astype(np.int64)
-            cdf = model.cdf[miss]
-            b = (cdf <= target[:, None]).sum(axis=1) - 1
-            rows = np.arange(len(miss))
-            a, z = cdf[rows, b], cdf[rows, b + 1]
-            low -= unit * a.astype(U)
-            each = unit * (z - a).astype(U) >> b.astype(U)
-            offset = np.minimum((low // each).astype(np.int64), (1 << b) - 1)
-            rest[off] = low - each * offset.astype(U)
-            rank[miss] = offset + (1 << b) - 1
-            size[miss] = each
-        else:
-            b = off
-        code[miss2] = rest
+        rest = size - first
+        second = (rest >> U(SCALE)) * model.w1
+        inner = code - first
+        hit1 = (inner < second) & ~hit2
+        miss = ~(hit2 | hit1)
+        unit = (rest - second) >> U(SCALE)
+        deep = inner - second
+        # lanes without a miss look for a place that isn't used
+        target = np.where(miss, deep // unit, U(0))
+        target = np.minimum(target, U(ONE - 1)).astype(np.int16)
+        b = np.add.reduce(model.cdf <= target, axis=0, dtype=np.int8).astype(np.int64) - 1
+        place = b * model.stride + model.lane
+        a = model.flat.take(place)
+        bits = b.view(U)
+        each = (unit * (model.flat.take(place + model.stride) - a).astype(U)) >> bits
+        deep -= unit * a.astype(U)
+        offset = np.minimum(np.where(miss, deep // each, U(0)), (U(1) << bits) - U(1))
+        coded = (offset + (U(1) << bits) - U(1)).astype(np.uint32)
+        rank = np.where(hit2, model.s2, np.where(hit1, model.s1, coded))
+        code = np.where(hit2, code, np.where(hit1, inner, deep - each * offset))
+        size = np.where(hit2, first, np.where(hit1, second, each))
         grid[t, :m] = rank
-        model.learn(rank, hit2, miss2, hit1, miss, b)
+        model.learn(rank, hit2, hit1, miss, b)
         small = np.flatnonzero(size < FLOOR)
         while len(small):
-            word = words[np.minimum(at[small], limit)].astype(U)
+            w, s = at[small], size[small] << U(16)
+            word = words.take(np.minimum(w, limit)).astype(U)
             code[small] = code[small] << U(16) | pending[small] << U(15) | word >> U(1)
             pending[small] = word & U(1)
-            at[small] += 1
-            size[small] <<= U(16)
-            small = small[size[small] < FLOOR]
+            at[small] = w + 1
+            size[small] = s
+            small = small[s < FLOOR]
     return grid

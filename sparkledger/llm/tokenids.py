@@ -17,9 +17,9 @@ from .common import shared_folder, table
 
 END_ID = 2
 #: A frame is closed once it holds so many ids; a longer document has a frame of its own.
-FRAME_IDS = 2 << 20
-#: Words and pieces whose ids a worker remembers at a time.
-REMEMBERED = 400_000
+FRAME_IDS = 4 << 20
+#: Words whose ids a worker remembers at a time, and half the pieces.
+REMEMBERED = 350_000
 
 
 def default_tokenizer() -> str:
@@ -32,14 +32,15 @@ class Encoder:
     """Ids of texts under a tokenizers file, with add_special_tokens=False.
 
     The tokenizer of words (white space dropped, lower-cased, split into letters, single digits and the rest, BPE
-    in each) treats words between white space alone, so the ids of a word are remembered. Words of anything but plain Latin
-    letters, ASCII and common marks, whole texts with other white space than ASCII's or with a special token, and any
-    other kind of tokenizer take the library's own path for the whole text.
+    in each) treats words between white space alone, so the ids of a word are remembered. Words are cut at ASCII white space; those
+    of anything but plain Latin letters, ASCII and common marks, or with a special token, take the library's own path,
+    as do whole texts under any other kind of tokenizer.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import json
+        import unicodedata
 
         import regex
         from tokenizers import Tokenizer
@@ -54,41 +55,51 @@ class Encoder:
             return
         self.pieces_of = regex.compile(pre[0]["pattern"]["Regex"]).findall
         special = "|".join(regex.escape(x["content"]) for x in spec["added_tokens"])
-        self.odd = regex.compile(f"[^\\x09-\\x0D\\x20-\\x7EÀ-ȳ‘-…]|{special or '(?!)'}").search
+        self.plain = regex.compile(f"(?!.*(?:{special or '(?!)'}))[\\x21-\\x7EÀ-ȳ‘-…]+").fullmatch
         byte = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in byte]
         self.visible = {b: chr(b) for b in byte} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.words: dict[str, bytes] = {}
+        self.normal = unicodedata.normalize
+        self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
-        seen = "".join(self.visible[b] for b in piece.encode())
-        return np.array([t.id for t in self.tokenizer.model.tokenize(seen)], "<u4").tobytes()
-
-    def word(self, word: str) -> bytes:
-        import unicodedata
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= 2 * self.remembered:
+                self.pieces.clear()
+            seen = piece if piece.isascii() and piece.isprintable() else "".join([self.visible[b] for b in piece.encode()])
+            ids = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(seen)])
+        return ids
 
-        out = []
-        for p in self.pieces_of(unicodedata.normalize("NFC", word).lower()):
-            ids = self.pieces.get(p)
-            if ids is None:
-                if len(self.pieces) >= self.remembered:
-                    self.pieces.clear()
-                ids = self.pieces[p] = self.piece(p)
-            out.append(ids)
+    def library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def word(self, key: bytes) -> bytes:
+        word = key.decode("utf-8", "surrogatepass")
+        low = word.lower() if key.isascii() else self.normal("NFC", word).lower()
+        if not self.plain(word):
+            ids = self.library(word)
+        elif low.isalpha():
+            ids = self.piece(low)
+        elif low[-1] in ",." and low[:-1].isalpha():
+            ids = self.piece(low[:-1]) + self.piece(low[-1])
+        else:
+            ids = b"".join([self.piece(p) for p in self.pieces_of(low)])
         if len(self.words) >= self.remembered:
             self.words.clear()
-        ids = self.words[word] = b"".join(out)
+        self.words[key] = ids
         return ids
 
-    def ids(self, text: str | None) -> bytes:
-        """The ids as little-endian uint32."""
+    def ids(self, text: str | bytes | None) -> bytes:
+        """The ids of a text, or of its UTF-8 bytes, as little-endian uint32."""
         if not text:
             return b""
-        if not self.by_word or self.odd(text):
-            return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        if not self.by_word:
+            return self.library(text if isinstance(text, str) else text.decode("utf-8"))
         known, word = self.words.get, self.word
-        return b"".join([known(w) or word(w) for w in text.split()])
+        data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
+        return b"".join([known(w) or word(w) for w in data.split()])
 
 
 FRAME_SCHEMA = "part int, frame int, first long, n_docs int, n_ids long, docs binary, payload binary"
@@ -117,7 +128,7 @@ def frames(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
         for batch in batches:
             for key, value in zip(batch.column(0), batch.column(1)):
                 key = key.as_py()
-                data = encoder.ids(value.as_py()) + end
+                data = encoder.ids(value.as_buffer().to_pybytes() if value.is_valid else None) + end
                 ids.append(key)
                 nulls.append(key is None)
                 sizes.append(len(data) // 4)
