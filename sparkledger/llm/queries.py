@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, langid, mixing, pii, simhash, tokenids, topk
+from . import chat, decontaminate, html_text, langid, mixing, pii, simhash, tokencount, tokenids, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
     "op2_simhash": simhash.op2_simhash,
     "op3_langid": langid.op3_langid,
+    "op4_token_counts": tokencount.op4_token_counts,
+    "op5_chat": chat.op5_chat,
     "op6_topk": topk.op6_topk,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_mixing": mixing.op8_mixing,
@@ -20,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_chat": chat.ORACLE_SQL,
     "op6_topk": topk.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
 }

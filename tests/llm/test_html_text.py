@@ -42,7 +42,7 @@ def test_driver_pages(spark):
 
 
 def test_edges(spark):
-    cases = {None: "", "": "", " \n": "", "no tags at all": "no tags at all", "<p>": "", "<p>a<p>b": "a b", "a &lt; b <": "a < b <", "<script>x": "", "<div><p>x</p": "x", "<!-- open": "", "<p title='unclosed>x, y": "", "<nav>only, menus.</nav>": "", "<p>&#233;&eacute;&bogus;</p>": "éé&bogus;"}
+    cases = {None: "", "": "", " \n": "", "no tags at all": "no tags at all", "<p>": "", "<p>a<p>b": "a b", "a &lt; b <": "a < b <", "<script>x": "", "<div><p>x</p": "x", "<!-- open": "", "<p title='unclosed>x, y": "x, y", "<nav>only, menus.</nav>": "", "<p>&#233;&eacute;&bogus;</p>": "éé&bogus;"}
     rows = [Row(page_id=i, url="u", html=h, path="p") for i, h in enumerate([*cases, "<div>" * 3000 + "deep, text." + "</div>" * 3000, "<p>word, </p>" * 20_000])]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, path string")).orderBy("page_id").collect()
     assert [r.text for r in out[: len(cases)]] == list(cases.values())
