@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 import zlib
@@ -17,7 +18,7 @@ from .common import shared_folder, table
 
 END_ID = 2
 #: A frame is closed once it holds so many ids; a longer document has a frame of its own.
-FRAME_IDS = 4 << 20
+FRAME_IDS = 7 << 20
 #: Words whose ids a worker remembers at a time, and half the pieces.
 REMEMBERED = 350_000
 
@@ -102,6 +103,12 @@ class Encoder:
         return b"".join([known(w) or word(w) for w in data.split()])
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a worker, with what it remembers."""
+    return Encoder(path)
+
+
 FRAME_SCHEMA = "part int, frame int, first long, n_docs int, n_ids long, docs binary, payload binary"
 
 
@@ -115,7 +122,7 @@ def frames(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, number, first = TaskContext.get().partitionId(), Encoder(tokenizer), 0, 0
+        part, encoder, number, first = TaskContext.get().partitionId(), encoder_of(tokenizer), 0, 0
         end = np.array([end_id], "<u4").tobytes()
         ids, nulls, sizes, chunks, held = [], [], [], [], 0
 
