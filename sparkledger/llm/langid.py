@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import re
-import zlib
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,9 @@ from .common import table
 FOLDS = 5
 #: Bound of the sample that the classifier learns from: documents of each language, and characters of each document.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 8000
-#: Hashed features of a word: its runs of 1 to 3 characters, with marks at both ends.
-BUCKETS, LONGEST = 1 << 15, 3
+#: Hashed features of a word: its runs of 1 to 3 UTF-8 bytes, with marks at both ends.
+BUCKET_BITS, LONGEST = 15, 3
+BUCKETS = 1 << BUCKET_BITS
 #: Log probability that a change of language between two words costs.
 SWITCH = 8.0
 #: A word speaks for at most so much, so that one odd word doesn't make a span.
@@ -43,14 +45,23 @@ OF_RANGE = np.array([NAMES.index(s) for _, s in SCRIPTS])
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def script(word: str) -> int:
-    """Number of the script of a word's first letter."""
-    return int(OF_RANGE[max(0, int(np.searchsorted(FIRSTS, ord(word[0]), "right")) - 1)])
+def scripts(words: list[str]) -> np.ndarray:
+    """Number of the script of each word's first letter."""
+    first = np.fromiter((ord(w[0]) for w in words), np.int64, len(words))
+    return OF_RANGE[np.maximum(np.searchsorted(FIRSTS, first, "right") - 1, 0)]
 
 
-def features(word: str) -> list[int]:
-    marked = f"<{word}>"
-    return [zlib.crc32(marked[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in range(1, LONGEST + 1) for i in range(len(marked) - n + 1)]
+def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of all words at once, for runs of 1, 2 and 3 UTF-8 bytes with a mark at each end: their buckets in turn, and where each word's runs start."""
+    data = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+    word = np.cumsum(data == ord("<")) - 1
+    h = np.zeros(len(data), np.uint32)
+    for n in range(1, LONGEST + 1):
+        h = h[: len(data) - n + 1] * np.uint32(0x9E3779B1) + data[n - 1 :] + np.uint32(n)
+        inside = word[: len(h)] == word[n - 1 :]
+        mixed = h ^ (h >> np.uint32(15))
+        mixed *= np.uint32(0x85EBCA6B)
+        yield (mixed >> np.uint32(32 - BUCKET_BITS))[inside], np.searchsorted(word[: len(h)][inside], np.arange(len(words)))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -66,15 +77,17 @@ class Model:
     weights: np.ndarray
     uses: np.ndarray
     prior: np.ndarray
-
-    def score(self, word: str) -> np.ndarray:
-        """Log score of each language, 0 for the best; those of another script are out unless all are."""
-        s = self.weights[features(word)].sum(axis=0)
-        may = self.uses[script(word)]
-        if not may.any():
-            return np.zeros(len(self.languages), np.float32)
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log score of each language for each word, 0 for the best; languages of another script are out unless all are."""
+        s = np.zeros((len(words), len(self.languages)), np.float32)
+        for buckets, starts in features(words):
+            s += np.add.reduceat(self.weights[buckets], starts, axis=0)
+        may = self.uses[scripts(words)]
         s = np.where(may, s, -np.inf)
-        return np.maximum(s - s.max(), -MOST).astype(np.float32)
+        best = s.max(axis=1, keepdims=True)
+        return np.where(np.isfinite(best), np.maximum(s - np.where(np.isfinite(best), best, 0), -MOST), 0).astype(np.float32)
 
 
 def learn(rows: Iterator[tuple[str, str]]) -> Model:
@@ -85,9 +98,10 @@ def learn(rows: Iterator[tuple[str, str]]) -> Model:
         found = words_of(text[:SAMPLE_CHARS])
         c = counts.setdefault(language, np.zeros(BUCKETS))
         k = letters.setdefault(language, np.zeros(len(NAMES)))
-        for w in found:
-            np.add.at(c, features(w), 1)
-            k[script(w)] += len(w)
+        if found:
+            for buckets, _ in features(found):
+                c += np.bincount(buckets, minlength=BUCKETS)
+            k += np.bincount(scripts(found), np.fromiter(map(len, found), np.int64, len(found)), len(NAMES))
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(NAMES), 0), bool), np.zeros(0, np.float32))
@@ -147,31 +161,47 @@ class Labeller:
     def __init__(self, model: Model, switch: float = SWITCH):
         self.model, self.switch = model, switch
         self.known: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(model.languages)), np.float32)
+        self.scores = np.zeros((0, len(model.languages)), np.float32)
 
-    def index(self, word: str) -> int:
-        at = self.known[word] = len(self.known)
-        if at >= len(self.scores):
-            self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
-        self.scores[at] = self.model.score(word)
-        return at
+    def remember(self, words: list[list[str]]) -> None:
+        """Scores words that aren't known yet, all at once."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = sorted(set().union(*words) - self.known.keys())
+        if not new:
+            return
+        first = len(self.known)
+        self.known.update(zip(new, range(first, first + len(new))))
+        if first + len(new) > len(self.scores):
+            grown = np.zeros((2 * (first + len(new)), len(self.model.languages)), np.float32)
+            grown[:first] = self.scores[:first]
+            self.scores = grown
+        self.scores[first : first + len(new)] = self.model.scores(new)
 
     def label(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
         """The words of each text and the number of the language of each."""
         words = [words_of(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        rows = []
-        for one in words:
-            get, index = self.known.get, self.index
-            rows.append(np.array([at if (at := get(w)) is not None else index(w) for w in one], np.int64))
-        lengths = np.array([len(w) for w in words], np.int64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
         if not self.model.languages:
             return [(w, np.zeros(len(w), np.int16)) for w in words]
-        labels = viterbi(self.scores[np.concatenate(rows)] if len(rows) else self.scores[:0], lengths, self.model.prior, self.switch)
+        self.remember(words)
+        at = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(lengths.sum()))
+        labels = viterbi(self.scores[at], lengths, self.model.prior, self.switch)
         return list(zip(words, np.split(labels, np.cumsum(lengths)[:-1])))
 
 
+_labellers: dict[tuple[str, float], Labeller] = {}
+
+
+def labeller_of(model: Model, switch: float) -> Labeller:
+    """One labeller for all tasks of a worker that use a model, with the words that it remembers."""
+    key = (model.key, switch)
+    if key not in _labellers:
+        _labellers.clear()
+        _labellers[key] = Labeller(model, switch)
+    return _labellers[key]
+
+
 def slices(texts: list[str | None], most: int = SLICE_CHARS) -> Iterator[list[str | None]]:
     part, size = [], 0
     for t in texts:
@@ -236,7 +266,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", switch: float = S
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("n_spans", LongType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(shared.value, switch)
+        labeller = labeller_of(shared.value, switch)
         languages = labeller.model.languages
         for batch in batches:
             best, share, runs = [], [], []
