@@ -170,6 +170,10 @@ def discovered(scan: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) ->
     return maybe.join(best, ["context", "value"]).select("row", "kind", "start", "end")
 
 
+def of_kind(n: int) -> Callable[[Column], Column]:
+    return lambda x: x["kind"] == n
+
+
 def listed(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     one = lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])
@@ -188,7 +192,7 @@ def find_pii(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     all_rows = scan.select("row", "id", F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("base"))
     both = all_rows.join(new, "row", "left").withColumn("new", F.coalesce("new", F.array().cast("array<struct<kind:int,start:int,end:int>>")))
     base, spans = F.array_sort("base"), F.array_sort(F.concat("base", "new"))
-    count = [F.size(F.filter("base", lambda x, n=n: x["kind"] == n)).cast("long").alias(f"n_{kind}") for n, kind in enumerate(KINDS)]
+    count = [F.size(F.filter("base", of_kind(n))).cast("long").alias(f"n_{kind}") for n, kind in enumerate(KINDS)]
     return both.select(F.col("id").alias(id_col), *count, F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"), F.size("new").cast("long").alias("n_new"))
 
 
