@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -52,6 +53,12 @@ class Counter:
         return sum([known(p) or count(p) for p in pieces])
 
 
+@functools.lru_cache(maxsize=1)
+def counter_of(path: str, pattern: str | None = None) -> Counter:
+    """One counter for all tasks of a worker, with what it remembers."""
+    return Counter(path, pattern)
+
+
 class TokenTree:
     """A document as leaves of whole pre-tokens under a binary tree of sums of characters and tokens."""
 
@@ -173,7 +180,7 @@ def token_counts(docs: DataFrame, edits: Column | None = None, text: str = "text
     given = docs.select(*names, F.col(text).alias("_text"), (edits.cast(kind) if edits is not None else none).alias("_edits"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path, pattern)
+        counter = counter_of(path, pattern)
         for batch in batches:
             made: list[list[int]] = [[], [], [], []]
             for value, changes in zip(batch.column(len(names)), batch.column(len(names) + 1)):
