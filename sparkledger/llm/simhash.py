@@ -148,7 +148,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each component, the row with the smallest id (of rows that repeat it, one); ids that are null are kept."""
     found = near_duplicates(docs)
-    keep = found.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select("doc_id").distinct()
-    kept = docs.join(keep.hint("shuffle_merge"), docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"), "source", "lang"))
-    return kept.withColumn("_nth", first).where("_nth = 1").drop("_nth")
+    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    order = (F.xxhash64("text"), "source", "lang")
+    # the join and the window need the same dealing of rows, so texts are shuffled once
+    named = docs.join(keep.hint("shuffle_merge"), "doc_id", "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+    nameless = docs.where("doc_id is null").withColumn("_nth", F.row_number().over(Window.partitionBy(F.xxhash64("text")).orderBy(*order[1:])))
+    return named.select(*docs.columns, "_nth").union(nameless).where("_nth = 1").drop("_nth")
