@@ -144,7 +144,7 @@ def read_manual_responses(classes: DataFrame, folder: str) -> DataFrame:
     spark = classes.sparkSession
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.response.txt").load(folder)
     stem = F.regexp_extract("path", r"([^/]*)\.response\.txt$", 1)
-    answers = files.select(stem.alias("file_stem"), F.decode("content", F.lit("UTF-8")).alias("response"))
+    answers = files.select(stem.alias("file_stem"), F.decode("content", "UTF-8").alias("response"))
     joined = classes.join(answers, "file_stem", "left")
     s = suggestion_of(F.col("response"))
     none = F.from_json(F.to_json(F.struct(F.col("fqcn").alias("className"))), s_schema()).withField("methods", F.from_json(F.lit("[]"), s_schema()["methods"].dataType))
@@ -189,4 +189,4 @@ def read_files(spark: SparkSession, root: str, suffixes: Sequence[str]) -> DataF
     """(path, name, content) of regular files below a root whose name ends with a suffix; names are matched while files are listed."""
     glob = "{" + ",".join(f"*{s}" for s in suffixes) + "}" if suffixes else "*"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "UTF-8").alias("content"))
