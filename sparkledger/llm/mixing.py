@@ -93,17 +93,17 @@ def scale(w: np.ndarray, tokens: np.ndarray, budget: float) -> float:
     return float(1 / w[-1])
 
 
-def fit_cells(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, temperature: float, budget: float) -> DataFrame:
-    """(source, lang, topic, weight, prob) of each cell, on the driver for a bounded number of cells."""
+def fit_cells(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, temperature: float, budget: float) -> tuple[DataFrame, bool]:
+    """(source, lang, topic, weight, prob) of each cell, and whether there are few: then they are fitted on the driver, and may be broadcast."""
     spark = cells.sparkSession
     rows = cells.limit(DRIVER_CELLS + 1).collect()
     schema = "source string, lang string, topic string, weight double, prob double"
     if len(rows) > DRIVER_CELLS:
-        return fit_large(cells, targets, temperature, budget)
+        return fit_large(cells, targets, temperature, budget), False
     rows.sort(key=lambda r: tuple(r[d] for d in DIMENSIONS))
     tokens = np.array([float(r.tokens) for r in rows])
     if not tokens.sum():
-        return spark.createDataFrame([(*(r[d] for d in DIMENSIONS), 1.0, min(1.0, budget)) for r in rows], schema)
+        return spark.createDataFrame([(*(r[d] for d in DIMENSIONS), 1.0, min(1.0, budget)) for r in rows], schema), True
     keys = [tuple(r[d] for d in DIMENSIONS) for r in rows]
     goals = []
     for i, d in enumerate(DIMENSIONS):
@@ -118,7 +118,7 @@ def fit_cells(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | Non
     c = scale(w[tokens > 0], tokens[tokens > 0], budget * tokens.sum())
     prob = np.minimum(1.0, c * w)
     prob[tokens == 0] = min(1.0, budget)
-    return spark.createDataFrame([(*k, float(a), float(b)) for k, a, b in zip(keys, w, prob)], schema)
+    return spark.createDataFrame([(*k, float(a), float(b)) for k, a, b in zip(keys, w, prob)], schema), True
 
 
 def fit_large(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, temperature: float, budget: float) -> DataFrame:
@@ -177,8 +177,8 @@ def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     topics = topic if topic is not None else topic_of(F.col(text))
     counted = docs.withColumns({"topic": topics, "n_tokens": token_count(F.col(text))})
     cells = counted.groupBy(*(named(F.col(d)).alias(d) for d in DIMENSIONS)).agg(F.sum("n_tokens").alias("tokens"))
-    fitted = fit_cells(written(cells, "cells"), targets, temperature, budget)
-    sides = fitted.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "weight", "prob")
+    fitted, bounded = fit_cells(written(cells, "cells"), targets, temperature, budget)
+    sides = (F.broadcast(fitted) if bounded else fitted).select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "weight", "prob")
     on = [named(counted[d]) == sides[f"_{d}"] for d in DIMENSIONS]
     out = counted.join(sides, on[0] & on[1] & on[2])
     return out.withColumn("sampled", draw(id_col, text, seed) < F.col("prob")).select(*docs.columns, *made)
