@@ -306,14 +306,14 @@ def set_equality_tags(spark, d):
 
 # --- suggestions, caches, overrides
 
-FIRST_SQL = M + """, s AS (SELECT fqcn, 'o' || (seq - seq % 2) AS method, seq AS pos, conf FROM methods WHERE seq % 5 <> 0), first_ AS (SELECT fqcn, method, arg_min(conf, pos) AS conf FROM s GROUP BY 1, 2)
+FIRST_SQL = M + """, s AS (SELECT fqcn, 'o' || (seq - seq % 2) AS method, seq AS pos, conf FROM methods WHERE rel IS NOT NULL), first_ AS (SELECT fqcn, method, arg_min(conf, pos) AS conf FROM s GROUP BY 1, 2)
 SELECT m.fqcn, m.method, f.conf AS confidence FROM methods m LEFT JOIN first_ f ON m.fqcn = f.fqcn AND m.method = f.method"""
 
 
 @query(FIRST_SQL)
 def join_suggestions(spark, d):
     m = V.methods(spark, d)
-    s = m.where("seq % 5 <> 0").select("fqcn", F.expr("'o' || (seq - seq % 2)").alias("method"), F.col("seq").alias("pos"), F.struct("conf").alias("ai"))
+    s = m.where("rel IS NOT NULL").select("fqcn", F.expr("'o' || (seq - seq % 2)").alias("method"), F.col("seq").alias("pos"), F.struct("conf").alias("ai"))
     return suggestions.join_suggestions(m.select("fqcn", "method"), s).select("fqcn", "method", F.col("ai.conf").alias("confidence"))
 
 
@@ -360,11 +360,12 @@ def join_overrides(spark, d):
     return o.select("fqcn", "method", F.col("ai.relevant").alias("relevant"), j("ai.tags").alias("tags"), F.col("ai.display_name").alias("display_name"), F.col("ai.reason").alias("reason"), F.col("ai.confidence").alias("confidence"))
 
 
-@query("WITH " + V.OVERRIDES_SQL + """, old AS (SELECT * FROM overrides WHERE method IS NOT NULL), new AS (SELECT pos, fqcn, CASE WHEN pos % 2 = 0 THEN method ELSE 'added' || method END AS method, 'new' AS reason FROM old WHERE pos % 3 = 0)
+@query("WITH " + V.OVERRIDES_SQL + """, old AS (SELECT * FROM overrides WHERE method IS NOT NULL), new AS (SELECT pos, fqcn, CASE WHEN pos % 2 = 0 THEN method ELSE 'added' || method END AS method, 'new' AS reason FROM old WHERE tags IS NOT NULL)
 SELECT row_number() OVER (ORDER BY o.pos NULLS LAST, n.pos) - 1 AS pos, coalesce(o.fqcn, n.fqcn) AS fqcn, coalesce(o.method, n.method) AS method, CASE WHEN n.pos IS NOT NULL THEN n.reason ELSE o.reason END AS reason FROM old o FULL JOIN new n ON o.fqcn = n.fqcn AND o.method = n.method""")
 def upsert_overrides(spark, d):
-    old = V.overrides(spark, d).where("method IS NOT NULL").select("pos", "fqcn", "method", "reason")
-    new = old.where("pos % 3 = 0").select("pos", "fqcn", F.expr("CASE WHEN pos % 2 = 0 THEN method ELSE 'added' || method END").alias("method"), F.lit("new").alias("reason"))
+    every = V.overrides(spark, d).where("method IS NOT NULL")
+    old = every.select("pos", "fqcn", "method", "reason")
+    new = every.where("tags IS NOT NULL").select("pos", "fqcn", F.expr("CASE WHEN pos % 2 = 0 THEN method ELSE 'added' || method END").alias("method"), F.lit("new").alias("reason"))
     return suggestions.upserted(old, new).withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -386,9 +387,9 @@ def set_intersect_matched(spark, d):
     return reconcile.matched(*V.scans(spark, d))
 
 
-@query(S + " SELECT DISTINCT file_path FROM methods m WHERE EXISTS (SELECT 1 FROM scan_before b WHERE b.seq % 50 = 0 AND b.fqcn = m.fqcn AND b.method = m.method)")
+@query(S + " SELECT DISTINCT file_path FROM methods m WHERE EXISTS (SELECT 1 FROM scan_before b WHERE b.ai_security_relevant AND b.fqcn = m.fqcn AND b.method = m.method)")
 def semi_relevant_file(spark, d):
-    return reconcile.relevant_files(V.methods(spark, d), V.scans(spark, d)[0].where("seq % 50 = 0"))
+    return reconcile.relevant_files(V.methods(spark, d), V.scans(spark, d)[0].where("ai_security_relevant"))
 
 
 @query(M + " SELECT DISTINCT p AS path, CASE WHEN ends_with(p, '.java') THEN 'java' WHEN ends_with(p, '.cs') THEN 'dotnet' END AS patcher FROM (SELECT replace(file_path, '.java', CASE seq % 3 WHEN 0 THEN '.java' WHEN 1 THEN '.cs' ELSE '.go' END) AS p FROM methods)")
@@ -428,10 +429,11 @@ def agg_apply_summary(spark, d):
     return reconcile.summary(planned(spark, d), V.scans(spark, d)[1], V.methods(spark, d))
 
 
-@query(S + ", twice AS (SELECT * FROM scan_before UNION ALL SELECT * REPLACE (seq + 1000000 AS seq, loc + 7 AS loc) FROM scan_before WHERE seq % 3 = 0) SELECT fqcn, method, arg_max(loc, seq) AS loc FROM twice GROUP BY fqcn, method")
+@query(S + ", twice AS (SELECT * FROM scan_before UNION ALL SELECT * REPLACE (seq + 1000000 AS seq, loc + 7 AS loc) FROM scan_before WHERE ai_security_relevant) SELECT fqcn, method, arg_max(loc, seq) AS loc FROM twice GROUP BY fqcn, method")
 def distinct_desired(spark, d):
-    b = V.scans(spark, d)[0].select("seq", "fqcn", "method", "loc")
-    twice = b.union(b.where("seq % 3 = 0").selectExpr("seq + 1000000", "fqcn", "method", "loc + 7"))
+    scan = V.scans(spark, d)[0]
+    b = scan.select("seq", "fqcn", "method", "loc")
+    twice = b.union(scan.where("ai_security_relevant").selectExpr("seq + 1000000", "fqcn", "method", "loc + 7"))
     return delta.last_of(twice).select("fqcn", "method", "loc")
 
 
@@ -675,9 +677,9 @@ def sink_audit_csv(spark, d):
     return lines.audit_rows(m, datetime(2026, 1, 2, 3, 4, 5))
 
 
-@query("SELECT doc_id, sha256(text) || '  ' || 'doc' || doc_id AS line FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0")
+@query("SELECT doc_id, sha256(text) || '  ' || 'doc' || doc_id AS line FROM documents WHERE text IS NOT NULL AND lang <> 'fr'")
 def sink_manifest(spark, d):
-    c = V.classes(spark, d).select("doc_id", F.expr("'/x/doc' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '.signed' END").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    c = V.classes(spark, d).select("doc_id", F.expr("'/x/doc' || doc_id || CASE WHEN lang <> 'fr' THEN '' ELSE '.signed' END").alias("path"), F.encode("text", "UTF-8").alias("content"))
     named = documents.manifest(c)
     return named.select(F.expr("CAST(substring(name, 4) AS BIGINT)").alias("doc_id"), "line")
 

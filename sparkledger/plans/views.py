@@ -89,19 +89,19 @@ def scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 OVERRIDES_SQL = """overrides AS (
     SELECT CAST(o_orderkey AS INTEGER) AS pos, 'cust.C' || o_custkey AS fqcn, 'o' || o_orderkey AS method, CASE o_orderkey % 4 WHEN 0 THEN true WHEN 2 THEN false END AS security_relevant,
            CASE WHEN o_orderkey % 3 = 0 THEN ['crypto'] END AS tags, CASE WHEN o_orderkey % 5 = 0 THEN 'reviewed' END AS display_name, CAST(NULL AS VARCHAR) AS reason
-    FROM orders WHERE o_orderkey % 23 = 0
+    FROM orders WHERE o_orderpriority LIKE '1%'
     UNION ALL
-    SELECT CAST(10000000 + c_custkey AS INTEGER), 'cust.C' || c_custkey, NULL, c_custkey % 2 = 0, NULL, NULL, 'class ' || c_custkey FROM customer WHERE c_custkey % 9 = 0
+    SELECT CAST(10000000 + c_custkey AS INTEGER), 'cust.C' || c_custkey, NULL, c_custkey % 2 = 0, NULL, NULL, 'class ' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'
     UNION ALL
-    SELECT CAST(20000000 + c_custkey AS INTEGER), 'cust.C' || c_custkey, NULL, NULL, ['auth'], NULL, 'again' FROM customer WHERE c_custkey % 18 = 0
+    SELECT CAST(20000000 + c_custkey AS INTEGER), 'cust.C' || c_custkey, NULL, NULL, ['auth'], NULL, 'again' FROM customer WHERE c_acctbal < 0
 )"""
 
 
 def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    a = o.where("o_orderkey % 23 = 0").selectExpr("CAST(o_orderkey AS INT) AS pos", "'cust.C' || o_custkey AS fqcn", "'o' || o_orderkey AS method", "CASE o_orderkey % 4 WHEN 0 THEN true WHEN 2 THEN false END AS security_relevant", "CASE WHEN o_orderkey % 3 = 0 THEN array('crypto') END AS tags", "CASE WHEN o_orderkey % 5 = 0 THEN 'reviewed' END AS display_name", "CAST(NULL AS STRING) AS reason")
-    b = c.where("c_custkey % 9 = 0").selectExpr("CAST(10000000 + c_custkey AS INT)", "'cust.C' || c_custkey", "CAST(NULL AS STRING)", "c_custkey % 2 = 0", "CAST(NULL AS ARRAY<STRING>)", "CAST(NULL AS STRING)", "'class ' || c_custkey")
-    d = c.where("c_custkey % 18 = 0").selectExpr("CAST(20000000 + c_custkey AS INT)", "'cust.C' || c_custkey", "CAST(NULL AS STRING)", "CAST(NULL AS BOOLEAN)", "array('auth')", "CAST(NULL AS STRING)", "'again'")
+    a = o.where("o_orderpriority LIKE '1%'").selectExpr("CAST(o_orderkey AS INT) AS pos", "'cust.C' || o_custkey AS fqcn", "'o' || o_orderkey AS method", "CASE o_orderkey % 4 WHEN 0 THEN true WHEN 2 THEN false END AS security_relevant", "CASE WHEN o_orderkey % 3 = 0 THEN array('crypto') END AS tags", "CASE WHEN o_orderkey % 5 = 0 THEN 'reviewed' END AS display_name", "CAST(NULL AS STRING) AS reason")
+    b = c.where("c_mktsegment = 'BUILDING'").selectExpr("CAST(10000000 + c_custkey AS INT)", "'cust.C' || c_custkey", "CAST(NULL AS STRING)", "c_custkey % 2 = 0", "CAST(NULL AS ARRAY<STRING>)", "CAST(NULL AS STRING)", "'class ' || c_custkey")
+    d = c.where("c_acctbal < 0").selectExpr("CAST(20000000 + c_custkey AS INT)", "'cust.C' || c_custkey", "CAST(NULL AS STRING)", "CAST(NULL AS BOOLEAN)", "array('auth')", "CAST(NULL AS STRING)", "'again'")
     return a.union(b).union(d)
 
 
@@ -138,7 +138,7 @@ CLASSES_SQL = CLASSES_SQL.replace("arg_max(prompt_signature, seq, 1) AS dummy, "
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return d.selectExpr("doc_id", "source || '.Doc' || doc_id AS fqcn", "text", "sha2(text, 256) AS content_hash")
+    return d.selectExpr("doc_id", "source || '.Doc' || doc_id AS fqcn", "text", "lang", "sha2(text, 256) AS content_hash")
 
 
 def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
