@@ -91,27 +91,26 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         # bits outside the segment are free: they hold the number of the wildcard
         spare = 32 if low == 0 else 0
         variants += [F.col("fp").bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(bit(i))).bitwiseOR(F.lit(i << spare)) for i in range(low, high)]
-    keyed = merged.select("fp", "root", F.explode(F.array(*variants)).alias("key"))
     mixed, found = None, [first]
     for nth in range(HUB_ROUNDS + 1):
         # rows of the same key side by side in an order that changes with each round
+        keyed = merged.select("fp", "root", F.explode(F.array(*variants)).alias("key"))
         w = Window.partitionBy("key")
         ordered = w.orderBy(F.xxhash64(F.lit(nth), "root"), "fp")
-        known = keyed if mixed is None else mixed.select("key", "fp", "root")
-        spread = known.withColumns({"low": F.min("root").over(w), "high": F.max("root").over(w), "hub": F.first(F.struct("fp", "root")).over(ordered), "side": F.lag(F.struct("fp", "root")).over(ordered)}).where("low <> high")
-        before, mixed = mixed, written(spread.select("key", "fp", "root", "hub", "side"), "variants")
-        forget(before)
+        spread = keyed.withColumns({"low": F.min("root").over(w), "high": F.max("root").over(w), "hub": F.first(F.struct("fp", "root")).over(ordered), "side": F.lag(F.struct("fp", "root")).over(ordered)}).where("low <> high")
         if nth == HUB_ROUNDS:
+            mixed = written(spread.select("key", "fp", "root"), "variants")
             break
-        near_one = [mixed.select(F.col("root").alias("a"), F.col(f"{other}.root").alias("b")).where(close("fp", f"{other}.fp", max_bits)) for other in ("hub", "side")]
-        star = written(near_one[0].union(near_one[1]).where("a <> b").distinct(), "links")
+        pair = F.explode(F.array("hub", "side")).alias("other")
+        star = written(spread.select("fp", "root", pair).where(close("fp", "other.fp", max_bits)).select(F.col("root").alias("a"), F.col("other.root").alias("b")).where("a <> b").distinct(), "links")
         if star.isEmpty():
             forget(star)
+            mixed = written(spread.select("key", "fp", "root"), "variants")
             break
         found.append(star)
+        # roots are replaced by fingerprint, of which there are few, and not by variant
         to = components(star).select(F.col("node").alias("root"), F.col("root").alias("to"))
-        before, mixed = mixed, written(mixed.join(to, "root", "left").select("key", "fp", F.coalesce("to", "root").alias("root")), "variants")
-        forget(before)
+        merged = written(merged.join(to, "root", "left").select("fp", F.coalesce("to", "root").alias("root")), "merged")
     x, y = mixed.alias("x"), mixed.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & close("x.fp", "y.fp", max_bits)).select(F.col("x.root").alias("a"), F.col("y.root").alias("b")).distinct()
     found.append(written(rest, "links"))
