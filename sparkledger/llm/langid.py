@@ -27,7 +27,7 @@ BUCKETS = 1 << BUCKET_BITS
 SWITCH = 8.0
 #: A word speaks for at most so much, so that one odd word doesn't make a span.
 MOST = 6.0
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Characters that are labelled side by side.
 SLICE_CHARS = 4 << 20
 UNKNOWN = "und"

@@ -18,9 +18,9 @@ from .common import shared_folder, table
 
 END_ID = 2
 #: A frame is closed once it holds so many ids; a longer document has a frame of its own.
-FRAME_IDS = 7 << 20
+FRAME_IDS = 4 << 20
 #: Words whose ids a worker remembers at a time, and half the pieces.
-REMEMBERED = 350_000
+REMEMBERED = 200_000
 
 
 def default_tokenizer() -> str:
