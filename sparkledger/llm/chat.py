@@ -22,7 +22,7 @@ def numbered(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
 
     A conversation is dealt by stretches of its turns, each numbered alone, so a very long one isn't one task's work.
     """
-    rows = turns.withColumn("part", F.floor(F.coalesce("turn", F.lit(-1)) / part_turns))
+    rows = turns.withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-(1 << 62))))
     sizes = rows.groupBy("conv", "part").agg(F.count("*").alias("size"))
     ahead = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("conv", "part", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("ahead"))
