@@ -16,8 +16,8 @@ TEMPERATURE = 0.7
 #: Share of all tokens that the sample is to have.
 BUDGET = 0.5
 ROUNDS, TOLERANCE = 200, 1e-9
-#: With more cells than this the fitting runs as DataFrame steps instead of on the driver, in this many rounds.
-DRIVER_CELLS, SPARK_ROUNDS = 100_000, 8
+#: With more cells than this the fitting runs as DataFrame steps instead of on the driver, with the same limit of rounds.
+DRIVER_CELLS, SPARK_ROUNDS = 100_000, ROUNDS
 SEED = 8
 
 
@@ -122,39 +122,73 @@ def fit_cells(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | Non
 
 
 def fit_large(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, temperature: float, budget: float) -> DataFrame:
-    """The same for any number of cells: each marginal is an aggregate that is joined back, and is written to cut the lineage."""
-    now = written(cells.withColumn("weight", F.lit(1.0)), "cells")
+    """The same for any number of cells, by the same stop rule: each marginal is an aggregate; only the factors of the categories are written."""
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    goals = {}
+    if not total:
+        return cells.select(*DIMENSIONS, F.lit(1.0).alias("weight"), F.lit(min(1.0, budget)).alias("prob"))
+    goals, factors = {}, {}
     for d in DIMENSIONS:
-        share = now.groupBy(d).agg((F.sum("tokens") / total).alias("share"))
+        share = cells.groupBy(d).agg((F.sum("tokens") / total).alias("share"))
         given = (targets or {}).get(d)
         if given:
-            raw = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in given.items() for x in kv]), F.col(d)), F.lit(0.0))
+            wanted = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in given.items() for x in (k, max(0.0, float(v)))]), F.col(d)), F.lit(0.0))
         else:
-            raw = F.when(F.col("share") > 0, F.pow("share", F.lit(temperature))).otherwise(0.0)
-        raw = share.select(d, raw.alias("raw"))
-        whole = float(raw.agg(F.sum("raw")).first()[0])
+            wanted = F.pow("share", F.lit(temperature))
+        raw = share.select(d, F.when(F.col("share") > 0, wanted).otherwise(0.0).alias("raw"))
+        whole = float(raw.agg(F.sum("raw")).first()[0] or 0)
+        if not whole:
+            raise ValueError("no category that has a target has tokens")
         goals[d] = written(raw.select(d, (F.col("raw") / whole).alias("goal")), "goals")
+        factors[d] = None
+
+    def weighted() -> DataFrame:
+        """The cells with the product of the factors of their categories."""
+        out, weight = cells, F.lit(1.0)
+        for d in DIMENSIONS:
+            if factors[d] is not None:
+                out = out.join(factors[d].select(d, F.col("factor").alias(f"_{d}")), d)
+                weight = weight * F.col(f"_{d}")
+        return out.select(*DIMENSIONS, "tokens", weight.alias("weight"))
+
     for _ in range(SPARK_ROUNDS):
+        worst = 0.0
         for d in DIMENSIONS:
-            sums = now.groupBy(d).agg((F.sum(F.col("weight") * F.col("tokens")) / total).alias("is"))
-            factor = sums.join(goals[d], d).select(d, F.when(F.col("is") > 0, F.col("goal") / F.col("is")).otherwise(1.0).alias("factor"))
-            after = written(now.join(factor, d).withColumn("weight", F.col("weight") * F.col("factor")).select(*cells.columns, "weight"), "cells")
-            forget(now)
-            now = after
-    # the factor c by halving its range: each step is one aggregate of a single row
-    low, high = 0.0, 1.0
-    size = lambda c: float(now.agg(F.sum(F.least(F.lit(1.0), c * F.col("weight")) * F.col("tokens"))).first()[0] or 0)
-    while size(high) < budget * total * (1 - 1e-9) and high < 1e12:
-        low, high = high, high * 4
-    for _ in range(30):
-        mid = (low + high) / 2
-        low, high = (mid, high) if size(mid) < budget * total else (low, mid)
-    prob = F.when(F.col("tokens") == 0, F.lit(min(1.0, budget))).otherwise(F.least(F.lit(1.0), high * F.col("weight")))
+            sums = weighted().groupBy(d).agg((F.sum(F.col("weight") * F.col("tokens")) / total).alias("is"))
+            step = sums.join(goals[d], d).withColumn("step", F.when(F.col("is") > 0, F.col("goal") / F.col("is")).otherwise(0.0))
+            before = factors[d]
+            if before is not None:
+                step = step.join(before.select(d, "factor"), d).withColumn("step", F.col("step") * F.col("factor"))
+            factors[d] = written(step.select(d, F.col("step").alias("factor"), F.abs(F.col("goal") - F.col("is")).alias("error")), "factors")
+            forget(before)
+            worst = max(worst, float(factors[d].agg(F.max("error")).first()[0]))
+        if worst < TOLERANCE:
+            break
+    now = written(weighted(), "cells")
+    forget(*factors.values(), *goals.values())
+    c = scale_large(now, budget * total)
+    prob = F.when(F.col("tokens") == 0, F.lit(min(1.0, budget))).otherwise(F.least(F.lit(1.0), F.lit(c) * F.col("weight")))
     return now.select(*DIMENSIONS, F.when(F.col("tokens") == 0, 1.0).otherwise(F.col("weight")).alias("weight"), prob.alias("prob"))
 
 
+def scale_large(cells: DataFrame, budget: float) -> float:
+    """scale() by aggregates of a single row: cells taken whole only become more, and with the same ones the factor is exact."""
+    cells = cells.where("weight > 0 and tokens > 0")
+    tokens, least, mass = cells.agg(F.sum("tokens"), F.min("weight"), F.sum(F.col("weight") * F.col("tokens"))).first()
+    if not tokens:
+        return 0.0
+    if tokens <= budget:
+        return 1 / least
+    c, whole = budget / mass, -1
+    while True:
+        full = F.lit(c) * F.col("weight") >= 1
+        count, taken, rest = cells.agg(F.count(F.when(full, 1)), F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight") * F.col("tokens")))).first()
+        if count <= whole:
+            return c
+        if not rest:
+            return 1 / least
+        c, whole = max(0.0, (budget - float(taken)) / rest), count
+
+
 def draw(id_col: str, text: str, seed: int) -> Column:
     """A number in [0, 1) that depends on the row's id and text alone."""
     return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text))), F.lit(1 << 52)) / float(1 << 52)

@@ -46,6 +46,34 @@ def test_distributed_fitting_agrees(spark, monkeypatch):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 0.01 for k in a)
 
 
+def test_distributed_fitting_stops_by_the_same_rule(spark, monkeypatch):
+    """Nearly diagonal cells: the marginals hold only after many rounds."""
+    rows = [(n, "w " * t, g, s, 1) for n, (s, g, t) in enumerate([("a", "x", 400), ("a", "y", 20), ("b", "y", 300), ("b", "x", 15), ("c", "x", 30), ("c", "y", 35)])]
+    rows.append((99, None, "z", "d", 0))
+    df = spark.createDataFrame(rows, SCHEMA)
+    targets = {"source": {"a": 0.3, "b": 0.5, "c": 0.2, "d": 0.5}, "lang": {"x": 0.6, "y": 0.4}}
+    fits = []
+    plain = mixing.fit
+
+    def counted(keys, tokens, goals):
+        fits.append(np.abs(plain(keys, tokens, goals, rounds=8) / plain(keys, tokens, goals) - 1)[tokens > 0].max())
+        return plain(keys, tokens, goals)
+
+    monkeypatch.setattr(mixing, "fit", counted)
+    pick = lambda: {r.doc_id: (r.weight, r.prob) for r in mixing.mixed(df, targets, budget=0.4).select("doc_id", "weight", "prob").collect()}
+    a = pick()
+    assert fits[0] > 1e-4
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 3)
+    b = pick()
+    assert len(fits) == 1 and a.keys() == b.keys() and all(b[k] == pytest.approx(a[k], rel=1e-6) for k in a)
+
+
+def test_distributed_fitting_without_tokens(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 1)
+    silent = spark.createDataFrame([(1, " ", "en", "s", 1), (2, None, "de", "s", 1)], SCHEMA)
+    assert {(r.weight, r.prob) for r in mixing.mixed(silent, budget=0.25).collect()} == {(1.0, 0.25)}
+
+
 def test_against_plain_raking(spark):
     rows = corpus(spark, 500).collect()
     topic = lambda t: "empty" if not t else "promotion" if "!!" in t else "data" if re.search("[0-9]", t) else "prose"
