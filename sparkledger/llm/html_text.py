@@ -39,6 +39,8 @@ SAYS = re.compile(
 )
 MAIN = frozenset(("article", "main"))
 SAYS_MAIN = re.compile(r"(?:^|[\s_-])(?:main|article\w*|post|entry|content|story|maincontent)(?:$|[\s_-])", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TITLE = re.compile(r"[._-](?:title|headline|heading)$")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 #: Weights of a block's neighbours, share of the spread of the fused ratio that a path must reach, and most share of link text.
 KERNEL, SHARE, MOST_LINKS = np.array([0.25, 0.5, 0.25]), 0.5, 0.5
@@ -165,12 +167,26 @@ def path_ratios(page: Page) -> np.ndarray:
     return fused
 
 
+def innermost(page: Page, weight: dict[int, int]) -> set[int]:
+    """Main elements that together hold all of weight: of nested ones with the same text the innermost."""
+    outer = lambda e: page.elements[page.elements[e].parent].main
+    nested: dict[int, list[int]] = {}
+    for e in weight:
+        nested.setdefault(outer(e), []).append(e)
+    out = set()
+    for top in (e for e in weight if outer(e) < 0):
+        while one := [e for e in nested.get(top, ()) if weight[e] == weight[top]]:
+            top = one[0]
+        out.add(top)
+    return out
+
+
 def chosen(page: Page) -> list[Block]:
     """The blocks of the main text, in page order.
 
-    Paths whose mean fused ratio reaches a share of its spread are content; of these the main element with most text is
-    the article, of which all blocks but the excluded ones are kept, short headings as well. Without a main element
-    it is the smallest element around all content.
+    Paths whose mean fused ratio reaches a share of its spread are content; the main elements that hold them are
+    the article, of which all blocks but the excluded ones are kept, short headings as well. A heading that stands right
+    before them in a main element of its own belongs to them. Without a main element it is the smallest element around all content.
     """
     may = [k for k, b in enumerate(page.blocks) if not page.elements[b.element].never]
     if not may:
@@ -190,9 +206,7 @@ def chosen(page: Page) -> list[Block]:
             weight[at] = weight.get(at, 0) + len(page.blocks[k].text)
             at = page.elements[page.elements[at].parent].main
     if weight:
-        # of those with the same text the innermost
-        top = max(weight, key=lambda e: (weight[e], e))
-        inside = {top}
+        inside = innermost(page, weight)
         keep = lambda b: True
     else:
         around: list[int] | None = None
@@ -208,7 +222,12 @@ def chosen(page: Page) -> list[Block]:
     holds = [False] * len(page.elements)
     for n, e in enumerate(page.elements):
         holds[n] = n in inside or (e.parent >= 0 and holds[e.parent])
-    return [page.blocks[k] for k in may if holds[page.blocks[k].element] and keep(page.blocks[k])]
+    taken = {k for k in may if holds[page.blocks[k].element] and keep(page.blocks[k])}
+    for here, after in zip(may[-2::-1], may[:0:-1]):
+        e = page.elements[page.blocks[here].element]
+        if after in taken and (e.main > 0 and (e.tag in HEADINGS or TITLE.search(e.path.rsplit("/", 1)[-1]))):
+            taken.add(here)
+    return [page.blocks[k] for k in may if k in taken]
 
 
 def main_text(source: str | None) -> str:

@@ -30,6 +30,17 @@ def test_without_article_element():
     assert html_text.main_text(page) == want
 
 
+def test_sibling_main_elements():
+    says = [f"Part {i} has a sentence, and one more, that ends here." for i in range(4)]
+    for tag, name in (("section", "content"), ("div", "story-part"), ("article", "part")):
+        page = "<body><nav><a href=1>a</a></nav>" + "".join(f"<{tag} class='{name}'><p>{t}</p></{tag}>" for t in says) + "<footer>(c) me, 2020.</footer></body>"
+        assert html_text.main_text(page) == " ".join(says)
+    page = "<body><div><div class='post-title'>A title</div><div class='post-body'><p>" + "</p><p>".join(says) + "</p></div></div><div><a href=1>x</a></div></body>"
+    assert html_text.main_text(page) == " ".join(["A title", *says])
+    page = "<body><main><p>Hi.</p><article><h2>Head</h2><p>" + "</p><p>".join(says) + "</p></article></main></body>"
+    assert html_text.main_text(page).endswith(" ".join(["Head", *says]))
+
+
 def test_driver_pages(spark):
     """In the given pages the article is marked: a plain reading of it is what is wanted."""
     rows = html_text.op10_html_text(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), ["page_id", "url"]).collect()
