@@ -31,12 +31,13 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 GROUPS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 #: Where an end tag or a group stops looking upwards.
 WALLS = frozenset("html body table ul ol dl article section main aside nav".split())
-#: Elements that are never main text, and words in a class, id or role that say so.
-NEVER = frozenset("head nav footer aside form button menu dialog audio video canvas fieldset".split())
-SAYS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|widgets?|footer\w*|foot|header\w*|masthead|topbar|toolbar|comments?|commentlist|disqus|replies|reply|respond|reviews?|share\w*|sharing|social|follow|related|recommend\w*|newsletter|subscri\w*|signup|sign-up|login|search\w*|pagination|pager|tags|tagcloud|copyright|legal|disclaimer|skip\w*|complementary|navigation|contentinfo|hidden)(?:$|[\s_-])",
-    re.I,
-)
+#: Elements that are never main text; those that aren't unless they hold most of the page, as named ones are.
+NEVER = frozenset("head nav footer aside button menu dialog audio video canvas".split())
+SELDOM = frozenset("form fieldset".split())
+#: Words in a class, id or role that say so, each a whole token or joined to others of them and to words for a part of a page.
+SAYS = r"ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|widgets?|footer\w*|foot|header\w*|masthead|topbar|toolbar|comments?|commentlist|disqus|replies|reply|respond|reviews?|share\w*|sharing|social|follow|related|recommend\w*|newsletter|subscri\w*|signup|sign-up|login|search\w*|pagination|pager|tags|tagcloud|copyright|legal|disclaimer|skip\w*|complementary|navigation|contentinfo|hidden"
+PARTS = r"site|page|main|top|bottom|left|right|first|last|primary|secondary|global|post|posts|article|articles|entry|story|stories|bar|box|block|list|items?|links?|buttons?|icons?|form|wrap|wrapper|container|inner|outer|area|section|sections|panel|row|col|slot|unit|text|content|media|\d+"
+SAYS_NOT = re.compile(rf"(?:^|\s)(?:(?:{PARTS})[_-]+)*(?:{SAYS})(?:[_-]+(?:{SAYS}|{PARTS}))*(?:$|\s)", re.I)
 MAIN = frozenset(("article", "main"))
 SAYS_MAIN = re.compile(r"(?:^|[\s_-])(?:main|article\w*|post|entry|content|story|maincontent)(?:$|[\s_-])", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -53,6 +54,8 @@ class Element:
     path: str
     never: bool
     main: int
+    #: The nearest element around it, itself included, that is left out unless it holds most of the content; -1: none.
+    doubt: int
 
 
 @dataclass(slots=True)
@@ -66,7 +69,7 @@ class Block:
 
 @dataclass
 class Page:
-    elements: list[Element] = field(default_factory=lambda: [Element("", -1, "", False, -1)])
+    elements: list[Element] = field(default_factory=lambda: [Element("", -1, "", False, -1, -1)])
     blocks: list[Block] = field(default_factory=list)
 
 
@@ -137,9 +140,10 @@ def parse(source: str) -> Page:
         up = page.elements[stack[-1]]
         named = " ".join(x.strip("\"'") for x in CLASS.findall(m["attributes"])) if m["attributes"] else ""
         is_main = tag in MAIN or (tag in ("div", "section", "td") and bool(SAYS_MAIN.search(named)))
-        never = up.never or tag in NEVER or (tag == "header" and up.main < 0) or (tag not in ("html", "body") and tag not in MAIN and bool(named and SAYS.search(named))) or (tag == "article" and bool(named and SAYS.search(named)))
+        never = up.never or tag in NEVER
+        doubtful = not never and (tag in SELDOM or (tag == "header" and up.main < 0) or (tag not in ("html", "body") and bool(named and SAYS_NOT.search(named))))
         number = len(page.elements)
-        page.elements.append(Element(tag, stack[-1], f"{up.path}/{tag}.{named.split(' ')[0].lower()}" if named else f"{up.path}/{tag}", never, number if is_main and not never and (up.main < 0 or tag in MAIN) else up.main))
+        page.elements.append(Element(tag, stack[-1], f"{up.path}/{tag}.{named.split(' ')[0].lower()}" if named else f"{up.path}/{tag}", never, number if is_main and not never and (up.main < 0 or tag in MAIN) else up.main, number if doubtful else up.doubt))
         stack.append(number)
         if m["attributes"].endswith("/") and tag not in ENDS_P:
             stack.pop()
@@ -181,6 +185,25 @@ def innermost(page: Page, weight: dict[int, int]) -> set[int]:
     return out
 
 
+def left_out(page: Page, seeds: list[int]) -> list[bool]:
+    """Whether each element lies in a doubtful one: those that hold most of the content aren't.
+
+    Where nothing else holds content, none is left out.
+    """
+    doubts = lambda e: page.elements[page.elements[e].parent].doubt
+    held: dict[int, int] = {}
+    for k in seeds:
+        at = page.elements[page.blocks[k].element].doubt
+        while at > 0:
+            held[at] = held.get(at, 0) + len(page.blocks[k].text)
+            at = doubts(at)
+    whole = sum(len(page.blocks[k].text) for k in seeds)
+    out = [False] * len(page.elements)
+    for n, e in enumerate(page.elements):
+        out[n] = e.parent >= 0 and out[e.parent] or (e.doubt == n and 2 * held.get(n, 0) <= whole)
+    return out if not all(out[page.blocks[k].element] for k in seeds) else [False] * len(page.elements)
+
+
 def chosen(page: Page) -> list[Block]:
     """The blocks of the main text, in page order.
 
@@ -198,6 +221,9 @@ def chosen(page: Page) -> list[Block]:
     least = SHARE * float(np.std(fused)) if len(fused) > 2 else 0.0
     content = {p for p, v in by_path.items() if sum(v) / len(v) >= least}
     seeds = [k for k in may if page.elements[page.blocks[k].element].path in content and page.blocks[k].links <= MOST_LINKS * len(page.blocks[k].text)] or may
+    out = left_out(page, seeds)
+    may = [k for k in may if not out[page.blocks[k].element]]
+    seeds = [k for k in seeds if not out[page.blocks[k].element]] or may
     weight: dict[int, int] = {}
     for k in seeds:
         at = page.elements[page.blocks[k].element].main

@@ -41,6 +41,15 @@ def test_sibling_main_elements():
     assert html_text.main_text(page).endswith(" ".join(["Head", *says]))
 
 
+def test_names_do_not_drop_a_whole_article():
+    says = [f"Part {i} has a sentence, and one more, that ends here." for i in range(4)]
+    body = "<p>" + "</p><p>".join(says) + "</p>"
+    wrappers = ("<div class='layout has-sidebar'>", "<div id='page' class='header-fixed'>", "<div class='legal'>", "<article class='post share-enabled'>", "<article class='reviews'>", "<form action='x'>", "<form><div class='comments'>")
+    for start in wrappers:
+        page = f"<body><nav><a href=1>a</a></nav>{start}{body}<div class='share-buttons'>Share this, please.</div></{start[1:].split()[0].strip('>')}><div class='side'><p>Aside, it is.</p></div></body>"
+        assert html_text.main_text(page) == " ".join(says), start
+
+
 def test_driver_pages(spark):
     """In the given pages the article is marked: a plain reading of it is what is wanted."""
     rows = html_text.op10_html_text(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), ["page_id", "url"]).collect()
