@@ -17,22 +17,28 @@ from .common import table
 
 #: A quote that never closes is a character like any other.
 ATTRIBUTES = r"""(?:"[^"]*"|'[^']*'|[^>])*+"""
-#: Comments, elements whose content is no markup (to their end tag or the page's end), declarations, tags.
+#: Start tags before which a drawing that never closes ends, as in browsers.
+BREAKOUT = r"(?:address|article|aside|b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|figure|footer|form|h[1-6]|head|header|hr|i|img|li|main|menu|nav|ol|p|pre|section|small|span|strong|sub|sup|table|u|ul)"
+#: Comments, elements whose content is no markup (to their end tag or the page's end), drawings, declarations, tags.
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|object|select)\b{ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attributes>{ATTRIBUTES})>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|iframe)\b{ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<svg>svg)\b{ATTRIBUTES}(?:(?<=/)>|>(?:(?!<{BREAKOUT}\b).)*?(?:</svg\s*>|(?=<{BREAKOUT}\b)|\Z))|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attributes>{ATTRIBUTES})>",
     re.I | re.S,
 )
 CLASS = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img object".split()) | frozenset(
+    # formulas stand in the line
+    "math maction merror mfenced menclose mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml".split()
+)
 #: These end a paragraph that is open; the others end an open element of their own group.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 GROUPS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
+CHOICES = ("select", "option", "optgroup")
 #: Where an end tag or a group stops looking upwards.
 WALLS = frozenset("html body table ul ol dl article section main aside nav".split())
 #: Elements that are never main text; those that aren't unless they hold most of the page, as named ones are.
-NEVER = frozenset("head nav footer aside button menu dialog audio video canvas".split())
+NEVER = frozenset("head nav footer aside button menu dialog audio video canvas select".split())
 SELDOM = frozenset("form fieldset".split())
 #: Words in a class, id or role that say so, each a whole token or joined to others of them and to words for a part of a page.
 SAYS = r"ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|widgets?|footer\w*|foot|header\w*|masthead|topbar|toolbar|comments?|commentlist|disqus|replies|reply|respond|reviews?|share\w*|sharing|social|follow|related|recommend\w*|newsletter|subscri\w*|signup|sign-up|login|search\w*|pagination|pager|tags|tagcloud|copyright|legal|disclaimer|skip\w*|complementary|navigation|contentinfo|hidden"
@@ -111,10 +117,13 @@ def parse(source: str) -> Page:
         at = m.end()
         tag = m["tag"]
         if tag is None:
-            if m["raw"] and m["raw"].lower() not in ("svg", "math"):
+            if m["raw"]:
                 flush()
             continue
         tag = tag.lower()
+        # a list of choices that never closes ends before anything else
+        if not m["end"] and tag not in CHOICES and page.elements[stack[-1]].tag in CHOICES:
+            close(CHOICES[:1])
         if tag in INLINE:
             if tag == "a":
                 in_links = 0 if m["end"] else 1
@@ -171,6 +180,16 @@ def path_ratios(page: Page) -> np.ndarray:
     return fused
 
 
+def link_shares(page: Page) -> list[float]:
+    """Of each block the share of link text in all blocks of its path."""
+    sums: dict[str, list[int]] = {}
+    for b in page.blocks:
+        s = sums.setdefault(page.elements[b.element].path, [0, 0])
+        s[0] += b.links
+        s[1] += len(b.text)
+    return [s[0] / s[1] for b in page.blocks for s in (sums[page.elements[b.element].path],)]
+
+
 def innermost(page: Page, weight: dict[int, int]) -> set[int]:
     """Main elements that together hold all of weight: of nested ones with the same text the innermost."""
     outer = lambda e: page.elements[page.elements[e].parent].main
@@ -220,7 +239,8 @@ def chosen(page: Page) -> list[Block]:
         by_path.setdefault(page.elements[page.blocks[k].element].path, []).append(float(fused[k]))
     least = SHARE * float(np.std(fused)) if len(fused) > 2 else 0.0
     content = {p for p, v in by_path.items() if sum(v) / len(v) >= least}
-    seeds = [k for k in may if page.elements[page.blocks[k].element].path in content and page.blocks[k].links <= MOST_LINKS * len(page.blocks[k].text)] or may
+    links = link_shares(page)
+    seeds = [k for k in may if page.elements[page.blocks[k].element].path in content and links[k] <= MOST_LINKS] or may
     out = left_out(page, seeds)
     may = [k for k in may if not out[page.blocks[k].element]]
     seeds = [k for k in seeds if not out[page.blocks[k].element]] or may
@@ -233,7 +253,7 @@ def chosen(page: Page) -> list[Block]:
             at = page.elements[page.elements[at].parent].main
     if weight:
         inside = innermost(page, weight)
-        keep = lambda b: True
+        keep = lambda k: True
     else:
         around: list[int] | None = None
         for k in seeds:
@@ -244,11 +264,11 @@ def chosen(page: Page) -> list[Block]:
             line.reverse()
             around = line if around is None else [a for a, b in zip(around, line) if a == b]
         inside = {around[-1]} if around else {0}
-        keep = lambda b: b.links <= MOST_LINKS * len(b.text)
+        keep = lambda k: links[k] <= MOST_LINKS
     holds = [False] * len(page.elements)
     for n, e in enumerate(page.elements):
         holds[n] = n in inside or (e.parent >= 0 and holds[e.parent])
-    taken = {k for k in may if holds[page.blocks[k].element] and keep(page.blocks[k])}
+    taken = {k for k in may if holds[page.blocks[k].element] and keep(k)}
     for here, after in zip(may[-2::-1], may[:0:-1]):
         e = page.elements[page.blocks[here].element]
         if after in taken and (e.main > 0 and (e.tag in HEADINGS or TITLE.search(e.path.rsplit("/", 1)[-1]))):

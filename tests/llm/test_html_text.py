@@ -50,6 +50,17 @@ def test_names_do_not_drop_a_whole_article():
         assert html_text.main_text(page) == " ".join(says), start
 
 
+def test_elements_that_are_no_raw_text():
+    for start in ("<svg class='i'/>", "<svg viewBox='0 0 1 1'><path d='m'>", "<select><option>a<option>b", "<svg><text>x</text></svg>", "<select><option>a</select>"):
+        assert html_text.main_text(f"<article><p>One, two.</p>{start}<p>Three, four.</p></article>") == "One, two. Three, four.", start
+    assert html_text.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be, <math/>so.<p>See <object data=a>a drawing</object>.<p>After <object data=b>it.</article>") == "Let x=1 be, so. See a drawing. After it."
+
+
+def test_a_paragraph_that_is_a_link_stays():
+    page = "<body><div><p>First one, with words, and an end.</p><p><a href=1>A long link, that is all of the paragraph.</a></p><p>Last one, with some more words, and an end.</p></div><ul><li><a href=2>x</a></ul></body>"
+    assert html_text.main_text(page) == "First one, with words, and an end. A long link, that is all of the paragraph. Last one, with some more words, and an end."
+
+
 def test_driver_pages(spark):
     """In the given pages the article is marked: a plain reading of it is what is wanted."""
     rows = html_text.op10_html_text(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), ["page_id", "url"]).collect()
