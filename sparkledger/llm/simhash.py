@@ -44,15 +44,15 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id_col, fp) of every row; rows stay where they are, only the two columns are kept."""
+    """(id_col, fp, hash) of every row, with the hash of the text; rows stay where they are, only these columns are kept."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = pa.array((fingerprint(x.as_py()) for x in batch.column(1)), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, batch.column(2)], ["id", "fp", "hash"])
 
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(each, "id long, fp long")
-    return out.select(F.col("id").alias(id_col), "fp")
+    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")).mapInArrow(each, "id long, fp long, hash long")
+    return out.select(F.col("id").alias(id_col), "fp", "hash")
 
 
 def close(a: str, b: str, max_bits: int) -> F.Column:
@@ -121,6 +121,13 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return out
 
 
+def with_roots(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """classes (column fp, no repeats) with root, which names the component of each fingerprint."""
+    classes = written(classes, "classes")
+    roots = components(near_links(classes.select("fp"), max_bits))
+    return classes.join(roots.select(F.col("node").alias("fp"), F.col("root").alias("_root")), "fp", "left").select(*classes.columns, F.coalesce("_root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
     """(id_col, fingerprint, component_id) of every row of docs.
 
@@ -129,11 +136,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     fingerprint 0 and are linked like any other. Rows whose id is null keep their row and join their
     component; an id that repeats gives one row each. An empty table gives none. Other columns are ignored.
     """
-    rows = written(with_fingerprints(docs, text, id_col), "prints")
-    classes = written(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
-    links = near_links(classes.select("fp"), max_bits)
-    roots = components(links)
-    linked = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rows = written(with_fingerprints(docs, text, id_col).drop("hash"), "prints")
+    linked = with_roots(rows.groupBy("fp").agg(F.min(id_col).alias("least")), max_bits)
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of = linked.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
@@ -145,11 +149,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each component, the row with the smallest id (of rows that repeat it, one); ids that are null are kept."""
-    found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    order = (F.xxhash64("text"), "source", "lang")
+    """Keeps exactly one row of each component: that with the smallest id (null last), then text hash, source and language."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash")).alias("best")
+    linked = with_roots(with_fingerprints(docs).groupBy("fp").agg(best))
+    keep = written(linked.groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", F.col("best.hash").alias("_hash")), "kept")
+    order = ("source", "lang", F.length("text"))
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
     # the join and the window need the same dealing of rows, so texts are shuffled once
-    named = docs.join(keep.hint("shuffle_merge"), "doc_id", "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
-    nameless = docs.where("doc_id is null").withColumn("_nth", F.row_number().over(Window.partitionBy(F.xxhash64("text")).orderBy(*order[1:])))
-    return named.select(*docs.columns, "_nth").union(nameless).where("_nth = 1").drop("_nth")
+    named = hashed.join(keep.where("doc_id is not null").hint("shuffle_merge"), ["doc_id", "_hash"], "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy(*order)))
+    nameless = hashed.where("doc_id is null").withColumn("_nth", F.row_number().over(Window.partitionBy("_hash").orderBy(*order))).where("_nth = 1").join(keep.where("doc_id is null").select("_hash"), "_hash", "left_semi")
+    return named.where("_nth = 1").select(*docs.columns).union(nameless.select(*docs.columns))

@@ -88,3 +88,12 @@ def test_stage_keeps_one_of_each_group(spark):
     assert {repr(r.doc_id) for r in out.collect() if r.doc_id is not None} == want
     ids = [r.doc_id for r in out.collect() if r.doc_id is not None]
     assert len(ids) == len(set(ids))
+
+
+def test_stage_keeps_one_row_whatever_the_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(5, a), (5, b), (3, b), (None, c), (None, c), (None, c.upper()), (9, a), (None, a), (7, None), (7, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    out = simhash_stage(spark, spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], schema), "").collect()
+    got = sorted((repr(r.doc_id), (r.text or "").lower()) for r in out)
+    assert got == sorted([("5", a), ("3", b), ("None", c), ("7", "")])
