@@ -15,8 +15,10 @@ from .common import components, forget, table, written
 SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
 #: First bit of each of the three segments, and the end: of at most 5 differing bits one segment has at most one.
 SEGMENTS = (0, 22, 43, 64)
-#: Rounds in which fingerprints of a key are compared with a hub before all remaining pairs across components are.
-HUB_ROUNDS = 2
+#: A key holds a segment's value from bit 0, the stripe of a hot key, and the number of the wildcard bit.
+STRIPE, WILD = 24, 56
+#: A group of so many is compared pair by pair in arrays; a key of over HOT fingerprints is dealt to stripes; so many hot keys are sent to all tasks.
+FEW, HOT, LISTED = 24, 1 << 15, 100_000
 #: So many hashes are counted at a time.
 STEP = 1 << 14
 
@@ -59,66 +61,153 @@ def close(a: str, b: str, max_bits: int) -> F.Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
 
 
-def bit(i: int) -> int:
-    return 1 << i if i < 63 else -(1 << 63)
+def segment(n: int) -> F.Column:
+    """The bits of fp in a segment, as a number from 0."""
+    low, high = SEGMENTS[n], SEGMENTS[n + 1]
+    return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+
+
+def variants(n: int, value: F.Column) -> list[F.Column]:
+    """One-wildcard variants of a segment: the value with one bit raised, under the number of that bit."""
+    low, high = SEGMENTS[n], SEGMENTS[n + 1]
+    return [value.bitwiseOR(F.lit(i << WILD | 1 << (i - low))) for i in range(low, high)]
+
+
+def spanning(fps: np.ndarray, wild: int | None, max_bits: int) -> list[tuple[int, int]]:
+    """Links (places) of a spanning forest of the close pairs of one group: each fingerprint that is reached is
+    compared with those that aren't yet, so a dense group costs little more than its size and gives fewer links than rows.
+    wild: only pairs that differ in this bit."""
+    out: list[tuple[int, int]] = []
+    left = np.arange(len(fps))
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            a = queue.pop()
+            x = fps[left] ^ fps[a]
+            near = np.bitwise_count(x) <= max_bits
+            if wild is not None:
+                near &= (x >> np.uint64(wild) & np.uint64(1)).astype(bool)
+            if near.any():
+                found = left[near].tolist()
+                out += [(a, b) for b in found]
+                queue += found
+                left = left[~near]
+    return out
+
+
+def forest(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between close fingerprints of equal keys (sorted), a spanning forest of each group.
+
+    Two that agree in the whole segment meet under each of its variants: they count under the first alone, and in stripes.
+    """
+    n = len(keys)
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if n else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, n))
+    wild = keys.astype(np.uint64) >> np.uint64(WILD)
+    bits, striped = np.uint64(1) << wild, keys.astype(np.uint64) >> np.uint64(STRIPE) & np.uint64((1 << (WILD - STRIPE)) - 1)
+    first = np.isin(wild, np.array(SEGMENTS[:-1], np.uint64)) | (striped > 0)
+    ends = np.repeat(starts + sizes, sizes)
+    a, b, rows = [], [], np.flatnonzero(np.repeat((sizes > 1) & (sizes <= FEW), sizes))
+    for step in range(1, FEW):
+        rows = rows[rows + step < ends[rows]]
+        if not len(rows):
+            break
+        x = fps[rows] ^ fps[rows + step]
+        near = rows[(np.bitwise_count(x) <= max_bits) & (first[rows] | (x & bits[rows] != 0))]
+        a.append(near)
+        b.append(near + step)
+    up: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        while (j := up.get(i, i)) != i:
+            up[i] = up.get(j, j)
+            i = j
+        return i
+
+    links = []
+    for i, j in zip(np.concatenate(a).tolist(), np.concatenate(b).tolist()) if a else ():
+        x, y = top(i), top(j)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            links.append((i, j))
+    for k in np.flatnonzero(sizes > FEW).tolist():
+        at = int(starts[k])
+        links += [(at + i, at + j) for i, j in spanning(fps[at : at + int(sizes[k])], None if first[at] else int(wild[at]), max_bits)]
+    pairs = np.array(links, np.int64).reshape(-1, 2)
+    return fps[pairs[:, 0]], fps[pairs[:, 1]]
+
+
+def linked(keyed: DataFrame, max_bits: int) -> DataFrame:
+    """Links (a, b) of a spanning forest of the close pairs under each key of keyed (key, fp)."""
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty(0, np.int64), np.empty(0, np.uint64)
+
+        def found(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+            a, b = forest(keys, fps, max_bits)
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-def near_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+        for batch in batches:
+            keys, fps = (np.concatenate((h, batch.column(c).to_numpy().view(h.dtype))) for c, h in enumerate(held))
+            # the last group may go on in the next batch
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            yield found(keys[:cut], fps[:cut])
+            held = keys[cut:], fps[cut:]
+        yield found(*held)
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(each, "a long, b long")
+
+
+def hot_keys(prints: DataFrame, hot: int) -> DataFrame | None:
+    """(key, stripes) of keys that hold over so many fingerprints, from counts of whole segments; None: there are none."""
+    values = [F.struct(F.lit(n).alias("n"), segment(n).alias("value")) for n in range(len(SEGMENTS) - 1)]
+    counts = prints.select(F.explode(F.array(*values)).alias("s")).groupBy("s.n", "s.value").agg(F.count("*").alias("size")).where(F.col("size") > hot)
+    counts = written(counts, "hot")
+    if counts.isEmpty():
+        forget(counts)
+        return None
+    every = F.when(F.col("n") == 0, F.array(*variants(0, F.col("value"))))
+    for n in range(1, len(SEGMENTS) - 1):
+        every = every.when(F.col("n") == n, F.array(*variants(n, F.col("value"))))
+    # a key also holds the fingerprints of a second value, which are no more than hot if it isn't listed
+    return written(counts.select(F.explode(every).alias("hot_key"), "size").groupBy("hot_key").agg(F.ceil((F.sum("size") + hot) / hot).alias("stripes")), "hot")
+
+
+def near_links(prints: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp, no repeats) whose components are those of all pairs
-    at max_bits or fewer differing bits (at most 4).
-
-    Pairs at one bit are found first, by an equality join of each fingerprint with one bit raised, and merged.
-    Three segments then leave one segment that differs by at most one bit; each of its one-wildcard variants (the
-    segment with one bit raised) is indexed. Keys under which all fingerprints are merged already are dropped. In a few rounds
-    each fingerprint is compared with one hub of its key and with one neighbour, and what is close is merged;
-    the rest is joined on equal keys, only across components, and verified bit by bit. Groups of
-    near copies so take part as one component and not as all their pairs.
+    at max_bits or fewer differing bits (at most 5).
+
+    Three segments leave one segment that differs by at most one bit; each of its one-wildcard variants (the segment with one
+    bit raised) is indexed, equal keys meet in one sorted stretch, pairs are verified bit by bit, and of each group only a spanning forest
+    of its close pairs comes out: no pairs within a group, and nothing of groups without any.
+    A key of over hot fingerprints is dealt to stripes of about that size, by a hash of key and fingerprint. So the fingerprints of a dense
+    group meet others under each of their keys, and nearly all of the group is one component. What close pairs are left between
+    components under such keys, across stripes, is joined and verified, without the pairs inside the largest component.
     """
-    if not 0 <= max_bits <= 4:
-        raise ValueError("three segments find pairs at 4 or fewer differing bits")
-    raised = F.explode(F.array(*[F.when(F.col("fp").bitwiseAND(F.lit(bit(i))) == 0, F.col("fp").bitwiseOR(F.lit(bit(i)))) for i in range(64)]))
-    one = prints.select("fp", raised.alias("up")).where("up is not null").join(prints.select(F.col("fp").alias("up")), "up").select(F.col("fp").alias("a"), F.col("up").alias("b"))
+    if not 0 <= max_bits <= 5:
+        raise ValueError("three segments find pairs at 5 or fewer differing bits")
     if max_bits == 0:
-        return one.where("false")
-    first = written(one, "links")
-    if max_bits == 1:
-        return first
-    near = components(first)
-    merged = prints.join(near.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    variants = []
-    for low, high in zip(SEGMENTS, SEGMENTS[1:]):
-        mask = sum(bit(i) for i in range(low, high)) if high < 64 else -(1 << low)
-        # bits outside the segment are free: they hold the number of the wildcard
-        spare = 32 if low == 0 else 0
-        variants += [F.col("fp").bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(bit(i))).bitwiseOR(F.lit(i << spare)) for i in range(low, high)]
-    mixed, found = None, [first]
-    for nth in range(HUB_ROUNDS + 1):
-        # rows of the same key side by side in an order that changes with each round
-        keyed = merged.select("fp", "root", F.explode(F.array(*variants)).alias("key"))
-        w = Window.partitionBy("key")
-        ordered = w.orderBy(F.xxhash64(F.lit(nth), "root"), "fp")
-        spread = keyed.withColumns({"low": F.min("root").over(w), "high": F.max("root").over(w), "hub": F.first(F.struct("fp", "root")).over(ordered), "side": F.lag(F.struct("fp", "root")).over(ordered)}).where("low <> high")
-        if nth == HUB_ROUNDS:
-            mixed = written(spread.select("key", "fp", "root"), "variants")
-            break
-        pair = F.explode(F.array("hub", "side")).alias("other")
-        star = written(spread.select("fp", "root", pair).where(close("fp", "other.fp", max_bits)).select(F.col("root").alias("a"), F.col("other.root").alias("b")).where("a <> b").distinct(), "links")
-        if star.isEmpty():
-            forget(star)
-            mixed = written(spread.select("key", "fp", "root"), "variants")
-            break
-        found.append(star)
-        # roots are replaced by fingerprint, of which there are few, and not by variant
-        to = components(star).select(F.col("node").alias("root"), F.col("root").alias("to"))
-        merged = written(merged.join(to, "root", "left").select("fp", F.coalesce("to", "root").alias("root")), "merged")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & close("x.fp", "y.fp", max_bits)).select(F.col("x.root").alias("a"), F.col("y.root").alias("b")).distinct()
-    found.append(written(rest, "links"))
-    forget(mixed, near)
-    out = found[0]
-    for links in found[1:]:
-        out = out.union(links)
-    return out
+        return prints.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
+    keyed = prints.select("fp", F.explode(F.array(*(v for n in range(len(SEGMENTS) - 1) for v in variants(n, segment(n))))).alias("key"))
+    many = hot_keys(prints, hot)
+    if many is None:
+        return linked(keyed.select("key", "fp"), max_bits)
+    # a small list is sent to all tasks; a longer one is joined as any table
+    listed = F.broadcast(many) if many.count() <= LISTED else many
+    dealt = keyed.join(listed, keyed.key == listed.hot_key, "left")
+    striped = F.when(F.col("stripes") > 1, F.col("key").bitwiseOR(F.shiftleft(1 + F.pmod(F.xxhash64("key", "fp"), F.col("stripes")), STRIPE))).otherwise(F.col("key"))
+    inside = written(linked(dealt.select(striped.alias("key"), "fp"), max_bits), "links")
+    roots = components(inside)
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    rooted = prints.join(roots.join(sizes, "root").select(F.col("node").alias("fp"), "root", "size"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
+    rows = written(keyed.join(listed, keyed.key == listed.hot_key).select("key", "fp").join(rooted, "fp"), "variants")
+    tops = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("size", "root")).alias("top")).where("low <> high").select("key", F.col("top.root").alias("top"))
+    mixed = written(rows.join(tops, "key").select("key", "fp", "root", "top"), "variants")
+    x, y = mixed.where("root <> top").alias("x"), mixed.alias("y")
+    across = (F.col("x.key") == F.col("y.key")) & ((F.col("x.root") < F.col("y.root")) | (F.col("y.root") == F.col("y.top"))) & close("x.fp", "y.fp", max_bits)
+    rest = written(x.join(y, across).select(F.col("x.root").alias("a"), F.col("y.root").alias("b")).distinct(), "links")
+    forget(rows, mixed, many)
+    return inside.union(rest)
 
 
 def with_roots(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import Row
 
 from sparkledger.llm.common import components
-from sparkledger.llm.simhash import fingerprint, near_duplicates, simhash_stage
+from sparkledger.llm.simhash import SEGMENTS, fingerprint, near_duplicates, near_links, simhash_stage
 
 
 def plain(text):
@@ -97,3 +99,51 @@ def test_stage_keeps_one_row_whatever_the_ids(spark):
     out = simhash_stage(spark, spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], schema), "").collect()
     got = sorted((repr(r.doc_id), (r.text or "").lower()) for r in out)
     assert got == sorted([("5", a), ("3", b), ("None", c), ("7", "")])
+
+
+def roots_of(fps, max_bits):
+    """Components of all pairs at so many bits or fewer, all compared."""
+    fps = np.array(fps, np.uint64)
+    root = np.arange(len(fps))
+    for i in range(len(fps)):
+        near = np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= max_bits)
+        least = root[near].min()
+        root[np.isin(root, root[near])] = least
+    groups = {}
+    for f, r in zip(fps.view(np.int64).tolist(), root.tolist()):
+        groups.setdefault(r, set()).add(f)
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+def crowd():
+    """One value of a segment shared by 1,500 fingerprints of many components, one dense group of 1,500, pairs at 1 to 5 bits."""
+    rng = random.Random(3)
+    out = {rng.getrandbits(64) for _ in range(400)}
+    out |= {(rng.getrandbits(42) << 22) | 0x2ABCDE for _ in range(1200)}
+    out |= {f ^ (1 << rng.randrange(22, 64)) ^ (1 << rng.randrange(64)) for f in sorted(out)[:300]}
+    centre = rng.getrandbits(64)
+    for _ in range(1500):
+        f = centre
+        for _ in range(rng.randrange(7)):
+            f ^= 1 << rng.randrange(64)
+        out.add(f)
+    for f in sorted(out)[:200]:
+        for n in (1, 2, 3, 4, 5):
+            g = f
+            for i in rng.sample(range(64), n):
+                g ^= 1 << i
+            out.add(g)
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("max_bits", "hot"), [(4, 1 << 15), (4, 100), (5, 1 << 15), (1, 100)])
+def test_no_link_is_lost_under_a_shared_key(spark, max_bits, hot):
+    fps = crowd()
+    prints = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    links = near_links(prints, max_bits, hot)
+    assert links.count() < 30 * len(fps)
+    groups = {}
+    for r in components(links).collect():
+        groups.setdefault(r.root, set()).add(r.node)
+    assert {frozenset(g) for g in groups.values()} == roots_of(fps, max_bits)
+    assert SEGMENTS[1] == 22
