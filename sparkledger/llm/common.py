@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,25 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def set_aside(df: DataFrame, *made: str, keep: Iterable[str] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns that have the name of a made one (in any case) renamed by underscores at their end, and these new names by the old ones."""
+    taken = {c.lower() for c in (*df.columns, *made)}
+    wanted, names = {m.lower() for m in made}, {}
+    for c in df.columns:
+        if c.lower() in wanted and c not in keep:
+            new = c
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            names[c] = new
+    return (df.withColumnsRenamed(names) if names else df), names
+
+
+def put_back(df: DataFrame, columns: Iterable[str], names: Mapping[str, str]) -> DataFrame:
+    """The columns that a table had before set_aside()."""
+    return df.select(*(F.col(names.get(c, c)).alias(c) for c in columns))
+
+
 def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Writes df to a new table in the shared folder and reads it back: cuts the lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import table
+from .common import set_aside, table
 
 #: A quote that never closes is a character like any other.
 ATTRIBUTES = r"""(?:"[^"]*"|'[^']*'|[^>])*+"""
@@ -45,12 +45,19 @@ SAYS = r"ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr
 PARTS = r"site|page|main|top|bottom|left|right|first|last|primary|secondary|global|post|posts|article|articles|entry|story|stories|bar|box|block|list|items?|links?|buttons?|icons?|form|wrap|wrapper|container|inner|outer|area|section|sections|panel|row|col|slot|unit|text|content|media|\d+"
 SAYS_NOT = re.compile(rf"(?:^|\s)(?:(?:{PARTS})[_-]+)*(?:{SAYS})(?:[_-]+(?:{SAYS}|{PARTS}))*(?:$|\s)", re.I)
 MAIN = frozenset(("article", "main"))
-SAYS_MAIN = re.compile(r"(?:^|[\s_-])(?:main|article\w*|post|entry|content|story|maincontent)(?:$|[\s_-])", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TITLE = re.compile(r"[._-](?:title|headline|heading)$")
-PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
+#: Marks that end something, not those inside of names and numbers.
+PUNCTUATION = re.compile(r"[.,;:!?…](?=\s|$)|[。、，！？；：]")
 #: Weights of a block's neighbours, share of the spread of the fused ratio that a path must reach, and most share of link text.
 KERNEL, SHARE, MOST_LINKS = np.array([0.25, 0.5, 0.25]), 0.5, 0.5
+#: Share of the content that a container must hold to be entered, and of the article's mean ratio that other text must reach.
+TIGHT, NEAR = 0.7, 0.75
+#: Share of the content that article and main elements must hold to be believed.
+MARKED = 0.2
+#: Elements made for text, and those that are entered as a whole or not at all.
+TEXTS = HEADINGS | frozenset("p li dt dd td th caption figcaption blockquote pre summary address".split())
+WHOLES = TEXTS | frozenset("ul ol dl table thead tbody tfoot tr figure details".split()) - frozenset(("td",))
 
 
 @dataclass(slots=True)
@@ -148,11 +155,11 @@ def parse(source: str) -> Page:
             in_links = 0
         up = page.elements[stack[-1]]
         named = " ".join(x.strip("\"'") for x in CLASS.findall(m["attributes"])) if m["attributes"] else ""
-        is_main = tag in MAIN or (tag in ("div", "section", "td") and bool(SAYS_MAIN.search(named)))
+        is_main = tag in MAIN
         never = up.never or tag in NEVER
         doubtful = not never and (tag in SELDOM or (tag == "header" and up.main < 0) or (tag not in ("html", "body") and bool(named and SAYS_NOT.search(named))))
         number = len(page.elements)
-        page.elements.append(Element(tag, stack[-1], f"{up.path}/{tag}.{named.split(' ')[0].lower()}" if named else f"{up.path}/{tag}", never, number if is_main and not never and (up.main < 0 or tag in MAIN) else up.main, number if doubtful else up.doubt))
+        page.elements.append(Element(tag, stack[-1], f"{up.path}/{tag}.{named.split(' ')[0].lower()}" if named else f"{up.path}/{tag}", never, number if is_main and not never else up.main, number if doubtful else up.doubt))
         stack.append(number)
         if m["attributes"].endswith("/") and tag not in ENDS_P:
             stack.pop()
@@ -163,8 +170,8 @@ def parse(source: str) -> Page:
     return page
 
 
-def path_ratios(page: Page) -> np.ndarray:
-    """The fused ratio of each block: text length and punctuation per node of its path, each smoothed over the page and scaled."""
+def path_ratios(page: Page) -> tuple[np.ndarray, np.ndarray]:
+    """The fused ratio of each block: text length and punctuation per node of its path, each scaled; smoothed over the page first, and as it is."""
     paths = [page.elements[b.element].path for b in page.blocks]
     sizes: dict[str, list[float]] = {}
     for p, b in zip(paths, page.blocks):
@@ -173,11 +180,15 @@ def path_ratios(page: Page) -> np.ndarray:
         s[1] += len(b.text) - b.links
         s[2] += len(PUNCTUATION.findall(b.text)) if 2 * b.links < len(b.text) else 0
     ratios = np.array([[sizes[p][1] / sizes[p][0], sizes[p][2] / sizes[p][0]] for p in paths]).reshape(-1, 2)
-    fused = np.ones(len(paths))
-    for k in (0, 1):
-        r = np.convolve(np.pad(ratios[:, k], 1, "edge"), KERNEL, "valid") if len(paths) else ratios[:, k]
-        fused *= np.sqrt(r / r.max()) if len(r) and r.max() > 0 else 1.0
-    return fused
+
+    def fused(columns: list[np.ndarray]) -> np.ndarray:
+        out = np.ones(len(paths))
+        for r in columns:
+            out *= np.sqrt(r / r.max()) if len(r) and r.max() > 0 else 1.0
+        return out
+
+    smoothed = [np.convolve(np.pad(ratios[:, k], 1, "edge"), KERNEL, "valid") if len(paths) else ratios[:, k] for k in (0, 1)]
+    return fused(smoothed), fused([ratios[:, 0], ratios[:, 1]])
 
 
 def link_shares(page: Page) -> list[float]:
@@ -223,24 +234,53 @@ def left_out(page: Page, seeds: list[int]) -> list[bool]:
     return out if not all(out[page.blocks[k].element] for k in seeds) else [False] * len(page.elements)
 
 
+def region(page: Page, seeds: list[int], may: list[int]) -> int:
+    """The smallest container that holds nearly all content, reached from the root: lists, tables and quotes, and what holds only its own text, aren't entered."""
+    mass, inner = [0] * len(page.elements), [False] * len(page.elements)
+    for k in seeds:
+        mass[page.blocks[k].element] += len(page.blocks[k].text)
+    for k in may:
+        if (up := page.elements[page.blocks[k].element].parent) >= 0:
+            inner[up] = True
+    for n in range(len(page.elements) - 1, 0, -1):
+        mass[page.elements[n].parent] += mass[n]
+        if inner[n]:
+            inner[page.elements[n].parent] = True
+    at, whole = 0, mass[0]
+    for n, e in enumerate(page.elements):
+        # elements are in page order, so what is inside of an element comes after it
+        if e.parent == at and n and mass[n] >= TIGHT * whole and inner[n] and e.tag not in WHOLES:
+            at = n
+    return at
+
+
+def headed(page: Page, k: int) -> bool:
+    """Whether a block is a heading by its tag or by the name of what holds it."""
+    e = page.elements[page.blocks[k].element]
+    return e.tag in HEADINGS or bool(TITLE.search(e.path.rsplit("/", 1)[-1]))
+
+
 def chosen(page: Page) -> list[Block]:
     """The blocks of the main text, in page order.
 
-    Paths whose mean fused ratio reaches a share of its spread are content; the main elements that hold them are
-    the article, of which all blocks but the excluded ones are kept, short headings as well. A heading that stands right
-    before them in a main element of its own belongs to them. Without a main element it is the smallest element around all content.
+    Paths whose mean fused ratio reaches a share of its spread are content. Named elements that hold the lesser part of the content are left out. The
+    rest of the content lies in article or main elements, if these hold most of it, or else in the smallest container with nearly all
+    of it, found by the content's mass alone. Inside, text in elements made for text (paragraphs, items, cells, headings) stays; what stands in any
+    other element stays if its path is content, or if it is the short line before what stays. Outside, blocks stay whose path has the
+    ratio of the article's own text. Lists of links stay only inside article or main elements.
     """
     may = [k for k, b in enumerate(page.blocks) if not page.elements[b.element].never]
     if not may:
         return []
-    fused = path_ratios(page)
+    path = lambda k: page.elements[page.blocks[k].element].path
+    fused, raw = path_ratios(page)
     by_path: dict[str, list[float]] = {}
     for k in may:
-        by_path.setdefault(page.elements[page.blocks[k].element].path, []).append(float(fused[k]))
+        by_path.setdefault(path(k), []).append(float(fused[k]))
+    mean = {p: sum(v) / len(v) for p, v in by_path.items()}
     least = SHARE * float(np.std(fused)) if len(fused) > 2 else 0.0
-    content = {p for p, v in by_path.items() if sum(v) / len(v) >= least}
     links = link_shares(page)
-    seeds = [k for k in may if page.elements[page.blocks[k].element].path in content and links[k] <= MOST_LINKS] or may
+    seeds = [k for k in may if mean[path(k)] >= least and links[k] <= MOST_LINKS] or may
     out = left_out(page, seeds)
     may = [k for k in may if not out[page.blocks[k].element]]
     seeds = [k for k in seeds if not out[page.blocks[k].element]] or may
@@ -251,27 +291,31 @@ def chosen(page: Page) -> list[Block]:
         while at > 0:
             weight[at] = weight.get(at, 0) + len(page.blocks[k].text)
             at = page.elements[page.elements[at].parent].main
-    if weight:
-        inside = innermost(page, weight)
-        keep = lambda k: True
-    else:
-        around: list[int] | None = None
-        for k in seeds:
-            line, at = [], page.blocks[k].element
-            while at >= 0:
-                line.append(at)
-                at = page.elements[at].parent
-            line.reverse()
-            around = line if around is None else [a for a, b in zip(around, line) if a == b]
-        inside = {around[-1]} if around else {0}
-        keep = lambda k: links[k] <= MOST_LINKS
+    outer = sum(v for e, v in weight.items() if page.elements[page.elements[e].parent].main < 0)
+    marked = outer > 0 and outer >= MARKED * sum(len(page.blocks[k].text) for k in seeds)
+    inside = innermost(page, weight) if marked else {region(page, seeds, may)}
     holds = [False] * len(page.elements)
     for n, e in enumerate(page.elements):
         holds[n] = n in inside or (e.parent >= 0 and holds[e.parent])
-    taken = {k for k in may if holds[page.blocks[k].element] and keep(k)}
+    own = [k for k in seeds if holds[page.blocks[k].element]]
+    level = NEAR * sum(raw[k] * len(page.blocks[k].text) for k in own) / max(1, sum(len(page.blocks[k].text) for k in own))
+    content, taken = set(seeds), set()
+    for k in may:
+        tag = page.elements[page.blocks[k].element].tag
+        if not holds[page.blocks[k].element]:
+            stays = k in content and raw[k] >= level and not marked
+        elif tag in TEXTS or (k in content and raw[k] >= least):
+            stays = marked or links[k] <= MOST_LINKS
+        else:
+            stays = False
+        if stays:
+            taken.add(k)
     for here, after in zip(may[-2::-1], may[:0:-1]):
-        e = page.elements[page.blocks[here].element]
-        if after in taken and (e.main > 0 and (e.tag in HEADINGS or TITLE.search(e.path.rsplit("/", 1)[-1]))):
+        b = page.blocks[here]
+        if after not in taken or here in taken:
+            continue
+        # a heading before the article, or a line before a paragraph inside it
+        if headed(page, here) if not holds[b.element] else (links[here] <= MOST_LINKS and not PUNCTUATION.search(b.text) and page.elements[b.element].parent == page.elements[page.blocks[after].element].parent):
             taken.add(here)
     return [page.blocks[k] for k in may if k in taken]
 
@@ -285,10 +329,10 @@ def extract(pages: DataFrame, source: str = "html") -> DataFrame:
     """pages with text and n_chars (code points) in place of the source column; the other columns stay.
 
     Null, empty and textless pages have an empty text; pages without any tag are text. Every row, repeated ones as well,
-    gives a row; an empty table gives none. Each page is parsed in one pass, whatever its length.
+    gives a row; an empty table gives none. Each page is parsed in one pass, whatever its length. Input columns of these names get
+    an underscore at their end.
     """
-    if {"text", "n_chars"} & (set(pages.columns) - {source}):
-        raise ValueError("columns text and n_chars are made here")
+    pages, _ = set_aside(pages, "text", "n_chars", keep=(source,))
     where = pages.columns.index(source)
     rest = [c for c in pages.columns if c != source]
 
