@@ -1,13 +1,14 @@
 """Adaptive context-mixing range coder for token ids, many independent blocks at a time.
 
-A frame holds ids of up to 2^16 different values. Its ids are replaced by their rank by frequency, and the ranks are cut
+A frame holds ids of up to 2^24 different values. Its ids are replaced by their rank by frequency, and the ranks are cut
 into blocks of BLOCK_IDS. Every block starts from the same reset model and has a checksum, so it can be decoded alone;
 the blocks of a frame are coded side by side, one array element each, which is what makes the coder fast in numpy.
 
 Model of a block, before each id:
   order 2  the id predicted from the two ids before it, with a confidence from 0 to 7 (a hashed table)
   order 1  the id predicted from the one before it, likewise
-  order 0  an adaptive distribution over the bit length of the rank, uniform within a length
+  order 0  an adaptive distribution over the bit length of the rank, uniform within a length; there are as many lengths as
+           the frame's number of different ids has bits
 The two confidences and whether the predictions agree select two adaptive probabilities (order 2 is right; else
 order 1 is right), so that the weight of each order is learnt for each state of trust. What neither predicts goes to order 0.
 
@@ -24,7 +25,7 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"IDR1"
+MAGIC = b"IDR2"
 BLOCK_IDS = 1024
 #: Bits of the tables of order 1 and 2, of a probability, and of the speeds of learning.
 TABLE1, TABLE2, SCALE, FAST, SLOW = 9, 10, 12, 4, 5
@@ -33,7 +34,8 @@ ONE = 1 << SCALE
 LEAST, WIDTH = 15, 16
 #: The range stays at or above FLOOR, so that the narrowest id still leaves one; TOP bounds what is pending.
 FLOOR, TOP = np.uint64(1 << 47), np.uint64(1 << 63)
-LENGTHS = 17
+#: With so many different values the narrowest id still leaves a range of one.
+MOST_VALUES = 1 << 24
 U = np.uint64
 
 
@@ -44,17 +46,18 @@ class Corrupt(ValueError):
 class Model:
     """The state of all blocks of a frame, one lane each; the arrays that a step makes have an element for each lane."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, values: int):
+        lengths = max(1, values.bit_length())
         self.stride, self.lane = lanes, np.arange(lanes, dtype=np.int64)
         # entries hold the predicted rank times 8 plus the confidence
         self.t1, self.t2 = np.zeros(lanes << TABLE1, np.uint32), np.zeros(lanes << TABLE2, np.uint32)
         self.p2, self.p1 = np.full(lanes * 128, ONE // 2, np.int16), np.full(lanes * 128, ONE // 2, np.int16)
-        spread = ONE - LENGTHS * WIDTH
-        first = [round(k * (spread / LENGTHS + WIDTH)) for k in range(LENGTHS)] + [ONE]
+        spread = ONE - lengths * WIDTH
+        first = [round(k * (spread / lengths + WIDTH)) for k in range(lengths)] + [ONE]
         self.cdf = np.repeat(np.array(first, np.int16)[:, None], lanes, axis=1)
         self.flat = self.cdf.reshape(-1)
         #: The distribution moves to WIDTH for each length, and to all that is left for the one that is seen.
-        self.steps, self.base, self.spread = np.arange(LENGTHS + 1, dtype=np.int8)[:, None], (WIDTH * np.arange(LENGTHS + 1, dtype=np.int16))[:, None], np.int16(spread)
+        self.steps, self.base, self.spread = np.arange(lengths + 1, dtype=np.int8)[:, None], (WIDTH * np.arange(lengths + 1, dtype=np.int16))[:, None], np.int16(spread)
         self.b1, self.b2, self.bs = self.lane << TABLE1, self.lane << TABLE2, self.lane << 7
         self.before, self.last = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
 
@@ -80,6 +83,7 @@ class Model:
 
     def learn(self, rank: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, miss: np.ndarray, length: np.ndarray) -> None:
         """hit2, hit1, miss: whether order 2 is right, else order 1, else neither; length: of the rank."""
+        right1 = self.s1 == rank
         q2, q1, top, least = self.q2, self.q1, np.int16(ONE - 2 * LEAST), np.int16(LEAST)
         self.p2[self.state] = q2 + ((least + hit2 * top - q2) >> FAST)
         self.p1[self.state] = q1 + ((least + hit1 * top - q1) >> FAST) * ~hit2
@@ -90,8 +94,8 @@ class Model:
         goal *= miss
         self.cdf += goal
         new = (rank << np.uint32(3)) | np.uint32(1)
-        for entries, at, e, seen, sure in ((self.t1, self.i1, self.e1, self.s1, self.c1), (self.t2, self.i2, self.e2, self.s2, self.c2)):
-            entries[at] = np.where(seen == rank, e + (sure < 7), np.where(sure > 1, e - np.uint32(1), new))
+        for entries, at, e, right, sure in ((self.t1, self.i1, self.e1, right1, self.c1), (self.t2, self.i2, self.e2, hit2, self.c2)):
+            entries[at] = np.where(right, e + (sure < 7), np.where(sure > 1, e - np.uint32(1), new))
         self.before, self.last = self.last, rank
 
 
@@ -121,18 +125,18 @@ def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
-    """A frame of ids (any integers from 0 to 2^32 - 1, of up to 65,536 different values; none is a frame as well)."""
+    """A frame of ids (any integers from 0 to 2^32 - 1, of up to MOST_VALUES different values; none is a frame as well)."""
     ids = np.ascontiguousarray(ids, np.uint32)
     n = len(ids)
     values, ranks = ranked(ids)
-    if len(values) > 1 << 16:
-        raise ValueError("a frame holds at most 65,536 different ids")
+    if len(values) > MOST_VALUES:
+        raise ValueError(f"a frame holds at most {MOST_VALUES} different ids")
     lanes, last = lanes_of(n, block) if n else (0, 0)
     grid = np.zeros((lanes, block), np.uint32)
     grid.ravel()[:n] = ranks
     grid = np.ascontiguousarray(grid.T)
     lengths = bit_length(grid + np.uint32(1)) - np.int8(1)
-    model, m = Model(lanes), lanes
+    model, m = Model(lanes, len(values)), lanes
     low, size = np.zeros(lanes, U), np.full(lanes, TOP, U)
     out, used = np.zeros((lanes, 64), np.uint16), np.zeros(lanes, np.int64)
     for t in range(min(block, n)):
@@ -221,7 +225,7 @@ def decode(data: bytes, only: int | None = None) -> np.ndarray:
         sizes[-1] = last
     chosen = np.arange(lanes) if only is None else np.array([only])
     sizes = sizes[chosen]
-    grid = decode_lanes(np.concatenate((words, np.zeros(4, "<u2"))), starts[chosen], sizes)
+    grid = decode_lanes(np.concatenate((words, np.zeros(4, "<u2"))), starts[chosen], sizes, different)
     columns, parts = np.ascontiguousarray(grid.T), []
     for k, lane in enumerate(chosen.tolist()):
         ranks = columns[k, : sizes[k]]
@@ -234,12 +238,12 @@ def decode(data: bytes, only: int | None = None) -> np.ndarray:
     return np.concatenate(parts).astype(np.uint32) if parts else np.empty(0, np.uint32)
 
 
-def decode_lanes(words: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def decode_lanes(words: np.ndarray, at: np.ndarray, sizes: np.ndarray, different: int) -> np.ndarray:
     """Ranks by place and block. All blocks but the last have the largest size."""
     lanes = len(at)
     most = int(sizes.max(initial=0))
     grid = np.zeros((most, lanes), np.uint32)
-    model, m = Model(lanes), lanes
+    model, m = Model(lanes, different), lanes
     at, limit = at.copy(), len(words) - 1
     code = np.zeros(lanes, U)
     # the top 63 bits: three words and 15 bits of the fourth, of which the last bit follows with the next word

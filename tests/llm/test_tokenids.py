@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from tokenizers import Tokenizer
@@ -27,6 +28,34 @@ def test_round_trip(n, kind):
         assert len(data) < n / 3
 
 
+def test_a_frame_holds_more_than_65536_values():
+    rng = np.random.default_rng(4)
+    ids = np.concatenate((rng.permutation(200_000), rng.integers(0, 1 << 32, 300_000, dtype=np.uint64), np.full(5000, 7))).astype(np.uint32)
+    assert (idcoder.decode(idcoder.encode(ids)) == ids).all()
+
+
+def test_every_text_of_the_table_is_encoded_as_by_the_library(spark):
+    path = tokenids.default_tokenizer()
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    own, lib = tokenids.Encoder(path), Tokenizer.from_file(path)
+    column = pa.array(texts, pa.string())
+    parts = [own.batch(x) for x in tokenids.sliced(column, 100_000)]
+    assert len(parts) > 5 and sum(len(n) for _, n in parts) == len(texts) == 1000
+    got = [ids[end - n : end].tolist() for ids, sizes in parts for n, end in zip(sizes.tolist(), np.cumsum(sizes).tolist())]
+    assert got == [lib.encode(t, add_special_tokens=False).ids if t else [] for t in texts]
+
+
+def test_long_and_many_words_are_not_kept():
+    path = tokenids.default_tokenizer()
+    own, lib = tokenids.Encoder(path, remembered=100), Tokenizer.from_file(path)
+    rng = random.Random(8)
+    for _ in range(12):
+        texts = [" ".join("".join(rng.choice("abcdé1,") for _ in range(rng.choice([1, 3, 5, 200]))) for _ in range(rng.randrange(30))) for _ in range(5)] + [None]
+        ids, sizes = own.batch(pa.array(texts))
+        assert ids.tolist() == [i for t in texts if t for i in lib.encode(t, add_special_tokens=False).ids]
+        assert len(sizes) == 6 and sizes[-1] == 0 and len(own.known) <= 100 and max((len(w.as_py().encode()) for w in own.known), default=0) <= tokenids.LONG_WORD
+
+
 def test_repeated_passages_are_predicted():
     rng = np.random.default_rng(1)
     phrase = rng.integers(0, 40_000, 100)
