@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import unicodedata
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -14,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from .common import table
+from .common import put_back, set_aside, table
 
 #: Documents whose crc32(doc_id as text) leaves 0 are held out of learning.
 FOLDS = 5
-#: Bound of the sample that the classifier learns from: documents of each language, and characters of each document.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 8000
+#: Bound of the sample that the classifier learns from: documents of each language, each whole; and of the languages, each of which has a column in the model.
+SAMPLE_DOCS, MOST_LANGUAGES = 400, 200
+#: Words whose features are counted at a time.
+COUNTED_WORDS = 1 << 17
 #: Hashed features of a word: its runs of 1 to 3 UTF-8 bytes, with marks at both ends.
 BUCKET_BITS, LONGEST = 15, 3
 BUCKETS = 1 << BUCKET_BITS
@@ -42,7 +45,9 @@ SCRIPTS = (
 FIRSTS = np.array([a for a, _ in SCRIPTS])
 NAMES = sorted({s for _, s in SCRIPTS})
 OF_RANGE = np.array([NAMES.index(s) for _, s in SCRIPTS])
-WORD = re.compile(r"[^\W\d_]+")
+# \w also takes numerals that are no letters, as fractions and Roman numbers; beyond the second plane there are none
+NUMERALS = "".join(chr(c) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) in ("No", "Nl"))
+WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
 
 
 def scripts(words: list[str]) -> np.ndarray:
@@ -90,31 +95,40 @@ class Model:
         return np.where(np.isfinite(best), np.maximum(s - np.where(np.isfinite(best), best, 0), -MOST), 0).astype(np.float32)
 
 
-def learn(rows: Iterator[tuple[str, str]]) -> Model:
-    """A model from (text, language)."""
-    counts: dict[str, np.ndarray] = {}
-    letters: dict[str, np.ndarray] = {}
-    for text, language in rows:
-        found = words_of(text[:SAMPLE_CHARS])
-        c = counts.setdefault(language, np.zeros(BUCKETS))
-        k = letters.setdefault(language, np.zeros(len(NAMES)))
-        if found:
-            for buckets, _ in features(found):
-                c += np.bincount(buckets, minlength=BUCKETS)
-            k += np.bincount(scripts(found), np.fromiter(map(len, found), np.int64, len(found)), len(NAMES))
+def counted(text: str | None, buckets: np.ndarray, letters: np.ndarray) -> None:
+    """Adds a whole text's features to the counts of buckets, and its letters to those of scripts."""
+    found = words_of(text)
+    for at in range(0, len(found), COUNTED_WORDS):
+        part = found[at : at + COUNTED_WORDS]
+        for places, _ in features(part):
+            buckets += np.bincount(places, minlength=BUCKETS)
+        letters += np.bincount(scripts(part), np.fromiter(map(len, part), np.int64, len(part)), len(NAMES)).astype(np.int64)
+
+
+def model_of(counts: dict[str, np.ndarray]) -> Model:
+    """A model from the counts of each language: those of BUCKETS buckets, then those of scripts."""
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(NAMES), 0), bool), np.zeros(0, np.float32))
-    table_ = np.stack([counts[x] for x in languages], axis=1) + 0.5
+    table_ = np.stack([counts[x][:BUCKETS] for x in languages], axis=1) + 0.5
     weights = np.log(table_ / table_.sum(axis=0))
     # only differences count, and unseen features say nothing
     weights -= weights.max(axis=1, keepdims=True)
     weights[(table_ == 0.5).all(axis=1)] = 0
-    share = np.stack([letters[x] / max(1, letters[x].sum()) for x in languages], axis=1)
-    prior = np.array([counts[x].sum() for x in languages])
+    share = np.stack([counts[x][BUCKETS:] / max(1, counts[x][BUCKETS:].sum()) for x in languages], axis=1)
+    prior = np.array([float(counts[x][:BUCKETS].sum()) for x in languages])
     return Model(languages, weights.astype(np.float32), share >= 0.02, np.log((prior + 1) / (prior + 1).sum()).astype(np.float32))
 
 
+def learn(rows: Iterator[tuple[str, str]]) -> Model:
+    """A model from (text, language)."""
+    counts: dict[str, np.ndarray] = {}
+    for text, language in rows:
+        c = counts.setdefault(language, np.zeros(BUCKETS + len(NAMES), np.int64))
+        counted(text, c[:BUCKETS], c[BUCKETS:])
+    return model_of(counts)
+
+
 def viterbi(scores: np.ndarray, lengths: np.ndarray, prior: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best labels of several texts side by side. scores: the words of all texts in turn, (words, languages); lengths: words of each text.
 
@@ -233,34 +247,59 @@ def fold(id_col: str) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
 
 
-def trained(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model learnt from a sample of at most sample_docs documents of each language that aren't held out.
+def trained(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, most_languages: int = MOST_LANGUAGES) -> Model:
+    """A model learnt from a sample of at most sample_docs documents of each language, whole ones, that aren't held out.
 
-    Counts of each language over all rows give a threshold for the hash of the id, under which about four times the
-    sample falls; the smallest hashes of these are the sample. Rows without a text, a language or an id aren't learnt from.
+    The number of rows of each language, collected, gives a threshold for the hash of the id, under which about four times the
+    sample falls, so the scan itself leaves few rows of any language; the smallest hashes of these are the sample. Tasks count features,
+    and one vector of counts for each language and task is collected. Rows without a text, a language or an id aren't learnt from. Of an id
+    that repeats all rows may be learnt from, up to the bound. More than most_languages different languages raise ValueError.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("of"), F.xxhash64(F.col(id_col)).alias("h"), fold(id_col).alias("fold")).where("of is not null and id is not null and fold <> 0")
-    counts = rows.groupBy("of").agg(F.count("*").alias("n"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("of"), F.col(text).alias("text"), F.xxhash64(F.col(id_col)).alias("h"), fold(id_col).alias("fold"))
+    rows = own.where("of is not null and id is not null and fold <> 0")
+    sizes = {r.of: r.n for r in rows.groupBy("of").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    if not sizes:
+        return model_of({})
     unit = (F.col("h") / (2.0**64)) + 0.5
-    near = rows.join(counts, "of").where(unit * F.col("n") <= 4 * sample_docs).select("of", "id", "h").distinct()
-    nth = F.row_number().over(Window.partitionBy("of").orderBy("h", "id"))
-    chosen = near.withColumn("nth", nth).where(F.col("nth") <= sample_docs).select("of", "id")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null")
-    # bounded: sample_docs ids of each language
-    sample = texts.join(F.broadcast(chosen), (F.col("lang") == F.col("of")) & (texts.id == chosen.id)).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    size = sample_docs * max(1, counts.count())
-    return learn((r.text, r.lang) for r in sample.orderBy(F.xxhash64("text"), "text", "lang").limit(size).collect())
+    bound = F.create_map(*(F.lit(x) for of, n in sorted(sizes.items()) for x in (of, 4.0 * sample_docs / n)))
+    first = Window.partitionBy("of").orderBy("h", "id", F.xxhash64("text"))
+    sampled = lambda df: df.where("text is not null").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample_docs).select("of", "text")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for of, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                c = counts.setdefault(of, np.zeros(BUCKETS + len(NAMES), np.int64))
+                counted(value.as_py(), c[:BUCKETS], c[BUCKETS:])
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c.tobytes() for c in counts.values()], pa.binary())], ["of", "counts"])
+
+    total: dict[str, np.ndarray] = {}
+
+    def learn_from(df: DataFrame) -> None:
+        for r in sampled(df).mapInArrow(each, "of string, counts binary").toLocalIterator():
+            total[r.of] = total.get(r.of, 0) + np.frombuffer(r.counts, np.int64)
+
+    learn_from(rows.where(unit <= F.element_at(bound, F.col("of"))))
+    # a language whose rows share few ids may have none under the threshold
+    if missing := sorted(set(sizes) - set(total)):
+        learn_from(rows.where(F.col("of").isin(missing)))
+    return model_of(total)
+
+
+MADE = ("lang_pred", "score", "n_spans")
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", switch: float = SWITCH) -> DataFrame:
     """docs with lang_pred, score (share of letters in spans of that language, 0 to 1) and n_spans.
 
     Null texts and texts without letters are und with score 0 and no spans; so are all if nothing was learnt. Ties go to the
-    language that sorts first. Whole texts are labelled, a bounded number of characters (or one text) side by side.
+    language that sorts first. Whole texts are labelled, a bounded number of characters (or one text) side by side. Rows that repeat each
+    keep a row; an empty table gives none; input columns of these names get an underscore at their end.
     """
-    made = ("lang_pred", "score", "n_spans")
-    if set(made) & set(docs.columns):
-        raise ValueError(f"columns {', '.join(made)} are made here")
+    docs, _ = set_aside(docs, *MADE, keep=(text,))
+    made = MADE
     shared = docs.sparkSession.sparkContext.broadcast(model)
     where, names = docs.columns.index(text), [*docs.columns, *made]
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("n_spans", LongType())])
@@ -299,5 +338,10 @@ LEAST_SCORE = 0.5
 
 
 def langid_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those without a main language; lang stays as it was."""
-    return predict(docs, trained(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Drops documents without letters (null and empty texts among them) and those without a main language; lang stays as it was.
+
+    Rows that repeat share their fate; null ids, sources and languages don't matter; other columns stay, whatever their names; an empty table stays empty.
+    """
+    clear, names = set_aside(docs, *MADE)
+    kept = predict(clear, trained(clear)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return put_back(kept, docs.columns, names)

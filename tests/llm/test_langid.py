@@ -1,7 +1,10 @@
+import bisect
 import random
+import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -82,5 +85,71 @@ def test_edges(spark):
     assert out.count() == sum(bool(r.text) and r.text[0].isalpha() for r in rows)
     unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.predict(unlabelled, langid.trained(unlabelled)).collect()} == {"und"}
+    clash = df.withColumns({"score": F.lit(7), "Lang_Pred": F.lit("own")})
+    row = langid.predict(clash, langid.trained(clash)).where("doc_id is not null").first()
+    assert row.score_ == 7 and row.Lang_Pred_ == "own" and 0 <= row.score <= 1
+    assert langid.langid_stage(spark, clash, "").columns == clash.columns and {r.score for r in langid.langid_stage(spark, clash, "").collect()} <= {7}
+
+
+def test_letters_alone_are_words(spark):
+    assert langid.words_of("½ ② Ⅷ x² Ünï_1 字一") == ["x", "ünï", "字一"]
+    model = langid.learn([("the one and", "en"), ("der die das", "de")])
+    got = [tuple(r)[1:] for r in langid.predict(spark.createDataFrame([("½ ②",), ("Ⅷ the",)], "text string"), model).collect()]
+    assert got == [("und", 0.0, 0), ("en", 1.0, 1)]
+
+
+def test_whole_texts_are_learnt(spark):
+    """A word beyond the first 8,000 characters tells the language."""
+    rows = [(i, "aa bb " * 3000 + ("zeta " if i % 2 else "omega ") * 4000, "de" if i % 2 else "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.trained(df)
+    assert [r.lang_pred for r in langid.predict(spark.createDataFrame([("zeta",), ("omega",)], "text string"), model).collect()] == ["de", "en"]
+    plain = langid.learn((t, x) for _, t, x in (r for r in rows if zlib.crc32(str(r[0]).encode()) % 5))
+    assert np.allclose(plain.weights, model.weights) and np.allclose(plain.prior, model.prior)
+
+
+def test_sample_is_bounded(spark):
+    """One id holds most rows; each language is learnt from a bounded number of them, and too many languages are refused."""
+    df = spark.range(3000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    model = langid.trained(df, sample_docs=50)
+    assert model.languages == ["en"] and np.exp(model.prior).sum() == pytest.approx(1)
+    many = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
     with pytest.raises(ValueError):
-        langid.predict(df.withColumn("score", F.lit(1)), langid.trained(df))
+        langid.trained(many, most_languages=5)
+
+
+def plain_prediction(text, model):
+    """Word by word, bucket by bucket, and all ways by dynamic programming over plain lists."""
+    words = regex.findall(r"\p{L}+", (text or "").lower())
+    if not words:
+        return "und", 0.0
+    m32, rows = (1 << 32) - 1, []
+    for w in words:
+        data, s = b"<" + w.encode() + b">", np.zeros(len(model.languages), np.float32)
+        sums = [np.zeros(len(model.languages), np.float64) for _ in range(3)]
+        for n in (1, 2, 3):
+            for i in range(len(data) - n + 1):
+                h = 0
+                for k in range(n):
+                    h = (h * 0x9E3779B1 + data[i + k] + k + 1) & m32
+                h = (h ^ (h >> 15)) * 0x85EBCA6B & m32
+                sums[n - 1] += model.weights[h >> (32 - langid.BUCKET_BITS)]
+        s = sum(sums)
+        code = langid.OF_RANGE[max(0, bisect.bisect_right(langid.FIRSTS.tolist(), ord(w[0])) - 1)]
+        s = np.where(model.uses[code], s, -np.inf)
+        best = s.max()
+        rows.append(np.maximum(s - best, -langid.MOST) if np.isfinite(best) else np.zeros(len(s)))
+    scores = np.array(rows)
+    _, path = brute(scores, model.prior.astype(np.float64), langid.SWITCH)
+    letters = np.bincount(path, [len(w) for w in words], len(model.languages))
+    return model.languages[int(letters.argmax())], letters.max() / letters.sum()
+
+
+def test_query_equals_a_plain_labelling(spark, model):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in langid.op3_langid(spark, DATA).collect()}
+    assert got.keys() == texts.keys()
+    for d, text in texts.items():
+        if len(text or "") < 4000:
+            lang, score = plain_prediction(text, model)
+            assert (got[d].lang_pred, got[d].held_out) == (lang, zlib.crc32(str(d).encode()) % 5 == 0) and got[d].score == pytest.approx(score, abs=0.02), d
