@@ -1,18 +1,19 @@
-"""Token counts that follow edits: segment trees over pre-tokens, re-encoded only where an edit reaches."""
+"""Token counts that follow edits: kept segment trees over pre-tokens, re-encoded only where an edit reaches."""
 
 from __future__ import annotations
 
 import base64
 import functools
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import table
+from .common import set_aside, table, written
 
 #: Pre-tokens of a leaf, and characters from which a leaf is split.
 LEAF, LARGE = 64, 4096
@@ -68,14 +69,30 @@ class TokenTree:
         groups = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)]
         self.build(["".join(g) for g in groups], [counter.total(g) for g in groups])
 
+    @classmethod
+    def stored(cls, text: str, chars: list[int], tokens: list[int], counter: Counter) -> TokenTree:
+        """The tree that was kept of a text: nothing is split or encoded."""
+        self = cls.__new__(cls)
+        self.counter, self.reencoded = counter, 0
+        ends = list(accumulate(chars))
+        self.build([text[b - n : b] for n, b in zip(chars, ends)], tokens)
+        return self
+
     def build(self, texts: list[str], tokens: list[int]) -> None:
         self.leaves = texts or [""]
         self.width = 1 << (len(self.leaves) - 1).bit_length()
         self.sums = np.zeros((2 * self.width, 2), np.int64)
         self.sums[self.width : self.width + len(self.leaves), 0] = [len(x) for x in self.leaves]
         self.sums[self.width : self.width + len(self.leaves), 1] = tokens or [0]
-        for k in range(self.width - 1, 0, -1):
-            self.sums[k] = self.sums[2 * k] + self.sums[2 * k + 1]
+        level = self.width
+        while level > 1:
+            self.sums[level // 2 : level] = self.sums[level : 2 * level].reshape(-1, 2, 2).sum(axis=1)
+            level //= 2
+
+    def kept(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of each leaf, which with the text are the tree."""
+        own = self.sums[self.width : self.width + len(self.leaves)]
+        return own[:, 0].tolist(), own[:, 1].tolist()
 
     def put(self, leaf: int, text: str, tokens: int) -> None:
         """Sets a leaf and the sums above it."""
@@ -161,40 +178,85 @@ class TokenTree:
 
 
 MADE = ("n_tokens", "n_edited", "n_leaves", "n_reencoded")
+LEAVES = ("leaf_chars", "leaf_tokens")
+KIND = "array<struct<start:long,end:long,replacement:string>>"
 
 
-def token_counts(docs: DataFrame, edits: Column | None = None, text: str = "text", tokenizer: str | None = None, pattern: str | None = None) -> DataFrame:
-    """docs without the text, with n_tokens, n_edited (after the edits), n_leaves and n_reencoded (leaves that edits reached).
+def trees(docs: DataFrame, text: str = "text", tokenizer: str | None = None, pattern: str | None = None) -> DataFrame:
+    """docs with leaf_chars and leaf_tokens: the tree of each text, to be written to a table and kept. The text is the leaves' text.
+
+    Whole texts are split and encoded, once. Null and empty texts have one empty leaf; every row gives a row; an empty table gives none; input
+    columns of these names get an underscore at their end.
+    """
+    path = tokenizer or default_tokenizer()
+    docs, _ = set_aside(docs, *LEAVES, keep=(text,))
+    where, names = docs.columns.index(text), [*docs.columns, *LEAVES]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = counter_of(path, pattern)
+        for batch in batches:
+            made = [TokenTree(x.as_py() or "", counter).kept() for x in batch.column(where)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([m[k] for m in made], pa.list_(pa.int64())) for k in (0, 1))], names)
+
+    return docs.mapInArrow(each, StructType([*docs.schema.fields, *(StructField(c, ArrayType(LongType())) for c in LEAVES)]))
+
+
+def edited(kept: DataFrame, edits: Column, text: str = "text", tokenizer: str | None = None, pattern: str | None = None, counts_only: bool = False) -> DataFrame:
+    """Kept trees after edits, with n_reencoded: the leaves that edits reached, and no others were encoded. Rows without edits are passed on as they are.
 
     edits: an array of structs (start, end, replacement), applied in turn to the text as it then is, in code points; places
-    beyond the text are clipped; null edits, and null members of one, are none, 0, 0 and empty. Null and empty texts have no tokens before edits. Whole texts are
-    counted; a tree is as large as its document and lives no longer. Every row gives a row; an empty table gives none.
+    beyond the text are clipped; null edits, and null members of one, are none, 0, 0 and empty. The text and the leaves are those after the edits, so
+    the result can be kept in place of the table. counts_only: neither, but n_edited, the tokens after the edits.
     """
-    if set(MADE) & set(docs.columns):
-        raise ValueError(f"columns {', '.join(MADE)} are made here")
     path = tokenizer or default_tokenizer()
-    kind = "array<struct<start:long,end:long,replacement:string>>"
-    none = F.lit(None).cast(kind)
-    rest = [f for f in docs.schema.fields if f.name != text]
-    names = [f.name for f in rest]
-    given = docs.select(*names, F.col(text).alias("_text"), (edits.cast(kind) if edits is not None else none).alias("_edits"))
+    kept, _ = set_aside(kept, "n_edited", "n_reencoded", "_edits", keep=(text,))
+    own = [f for f in kept.schema.fields if f.name not in (text, *LEAVES)]
+    names = [f.name for f in own]
+    given = kept.select(*names, F.col(text).alias("_text"), *LEAVES, edits.cast(KIND).alias("_edits"))
+    n = len(names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(path, pattern)
         for batch in batches:
-            made: list[list[int]] = [[], [], [], []]
-            for value, changes in zip(batch.column(len(names)), batch.column(len(names) + 1)):
-                tree = TokenTree(value.as_py() or "", counter)
-                made[0].append(tree.n_tokens)
-                made[2].append(len(tree.leaves))
-                for e in changes.as_py() or []:
-                    if e:
-                        tree.edit(e["start"] or 0, e["end"] or 0, e["replacement"] or "")
-                made[1].append(tree.n_tokens)
-                made[3].append(tree.reencoded)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(m, pa.int64()) for m in made)], [*names, *MADE])
-
-    return given.mapInArrow(each, StructType([*rest, *(StructField(m, LongType()) for m in MADE)]))
+            made: list[list] = [[], [], [], []]
+            for value, chars, tokens, changes in zip(batch.column(n), *(batch.column(n + k).to_pylist() for k in (1, 2, 3))):
+                if not any(changes or ()):
+                    now, total, reached = value.as_py() if not counts_only else None, sum(tokens), 0
+                else:
+                    tree = TokenTree.stored(value.as_py() or "", chars, tokens, counter)
+                    for e in changes:
+                        if e:
+                            tree.edit(e["start"] or 0, e["end"] or 0, e["replacement"] or "")
+                    now, total, reached = tree.text() if not counts_only else None, tree.n_tokens, tree.reencoded
+                    chars, tokens = ([], []) if counts_only else tree.kept()
+                for column, x in zip(made, (now, chars, tokens, reached) if not counts_only else (total, reached)):
+                    column.append(x)
+            kinds = (pa.int64(), pa.int64()) if counts_only else (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(m, k) for m, k in zip(made, kinds))], [f.name for f in schema])
+
+    long = lambda c: StructField(c, LongType())
+    made_fields = [long("n_edited"), long("n_reencoded")] if counts_only else [StructField(text, StringType()), *(StructField(c, ArrayType(LongType())) for c in LEAVES), long("n_reencoded")]
+    schema = StructType([*own, *made_fields])
+    return given.mapInArrow(each, schema)
+
+
+def total(leaves: str) -> Column:
+    return F.aggregate(leaves, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def token_counts(docs: DataFrame, edits: Column | None = None, text: str = "text", tokenizer: str | None = None, pattern: str | None = None) -> DataFrame:
+    """docs without the text, with n_tokens, n_edited (after the edits), n_leaves and n_reencoded (leaves that edits reached).
+
+    The trees are written to the shared folder; counts before edits are read off their leaves, and edits (see edited()) work on the kept trees.
+    Null and empty texts have no tokens before edits. Every row gives a row; an empty table gives none; input columns of the names that are made
+    here get an underscore at their end.
+    """
+    docs, _ = set_aside(docs, *MADE, *LEAVES, "_text", "_edits", keep=(text,))
+    rest = [c for c in docs.columns if c != text]
+    kept = written(trees(docs, text, tokenizer, pattern), "trees").withColumns({"n_tokens": total("leaf_tokens"), "n_leaves": F.size("leaf_chars").cast("long")})
+    if edits is None:
+        return kept.select(*rest, "n_tokens", F.col("n_tokens").alias("n_edited"), "n_leaves", F.lit(0).cast("long").alias("n_reencoded"))
+    return edited(kept, edits, text, tokenizer, pattern, counts_only=True).select(*rest, *MADE)
 
 
 def revision(text: Column) -> Column:

@@ -70,5 +70,31 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, "a b", "k")], "doc_id long, text string, _key string")
     row = tokencount.token_counts(df).first()
     assert (row.n_tokens, row.n_edited, row.n_reencoded, row._key) == (2, 2, 0, "k")
-    with pytest.raises(ValueError):
-        tokencount.token_counts(df.withColumn("n_tokens", F.lit(1)))
+    clash = df.withColumns({"n_tokens": F.lit(7), "_edits": F.lit("e"), "leaf_chars": F.lit("c"), "_TEXT": F.lit("t")})
+    row = tokencount.token_counts(clash, tokencount.revision(F.col("text"))).first()
+    assert (row.n_tokens, row.n_tokens_, row._edits_, row.leaf_chars_, row._TEXT_) == (2, 7, "e", "c", "t")
+
+
+def test_edits_work_on_kept_trees(spark, tmp_path, monkeypatch):
+    """Trees are read from a table; an edit encodes the leaves that it reaches and no other, and rows without edits nothing."""
+    texts = [f"Sentence {i} of a text, with some words. " * 400 for i in range(6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokencount.trees(df).write.parquet(f"{tmp_path}/trees")
+    kept = spark.read.parquet(f"{tmp_path}/trees")
+    assert [len(r.leaf_tokens) > 40 and sum(r.leaf_chars) == len(r.text) for r in kept.collect()] == [True] * 6
+    one = F.when(F.col("doc_id") == 3, F.array(F.struct(F.lit(9000).alias("start"), F.lit(9004).alias("end"), F.lit("some other words").alias("replacement")))).otherwise(F.array().cast(tokencount.KIND))
+    after = tokencount.edited(kept, one)
+    after.write.parquet(f"{tmp_path}/after")
+    got = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/after").select("*", tokencount.total("leaf_tokens").alias("n")).collect()}
+    for i, text in enumerate(texts):
+        new = text[:9000] + "some other words" + text[9004:] if i == 3 else text
+        assert got[i].text == new and got[i].n == whole(new) and (0 < got[i].n_reencoded <= 6 if i == 3 else got[i].n_reencoded == 0)
+    # what is split again is a few leaves' text and never the whole one
+    counter, seen = tokencount.Counter(tokencount.default_tokenizer()), []
+    split = counter.split
+    counter.split = lambda s: seen.append(len(s)) or split(s)
+    row = kept.where("doc_id = 3").first()
+    tree = tokencount.TokenTree.stored(row.text, row.leaf_chars, row.leaf_tokens, counter)
+    assert not seen and tree.n_tokens == whole(texts[3])
+    tree.edit(9000, 9004, "some other words")
+    assert sum(seen) < len(texts[3]) / 4 and tree.n_tokens == got[3].n
