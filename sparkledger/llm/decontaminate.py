@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import put_back, set_aside, table
 
 #: Words of a window of an item; every shared span of so many words is found.
 WINDOW_WORDS = 10
@@ -140,6 +140,9 @@ class Index:
         return hit, items
 
 
+MADE = ("_words", "_hits", "_items")
+
+
 def runs_of(hit: np.ndarray) -> list[int]:
     """Starts and ends (exclusive) of runs, in turn."""
     edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
@@ -200,12 +203,12 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     Only the index is sent to the executors; its size is bounded by block_chars, and a larger benchmark makes further
     passes, one per block, whose hits are united row by row: nothing is shuffled and no group of equal
     passages meets in a task. Null, empty and wordless texts have no words; items without an id, or without
-    words, are not indexed; an id that repeats is one item; an empty benchmark hits nothing.
+    words, are not indexed; an id that repeats is one item; an empty benchmark hits nothing. Input columns of these names get
+    an underscore at their end.
     """
     if not 1 <= gram <= window:
         raise ValueError("a gram must fit into a window")
-    if {"_words", "_hits", "_items"} & set(docs.columns):
-        raise ValueError("columns _words, _hits and _items are made here")
+    docs, _ = set_aside(docs, *MADE, keep=(text,))
     for block in blocks(benchmark, item_col, item_text, block_chars):
         docs = with_hits(docs, Index.of(block, window, gram), text, window, gram)
     return docs.withColumn("_items", F.array_distinct("_items"))
@@ -231,9 +234,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a window of a benchmark item occurs."""
-    names = docs.columns
-    return benchmark_hits(docs, table(spark, sf_dir, "benchmark")).where(F.size("_hits") == 0).select(*names)
+    """Drops documents in which a window of a benchmark item occurs.
+
+    Null, empty and wordless texts stay; rows that repeat share their fate; null ids don't matter; other columns stay, whatever their names;
+    an empty benchmark drops nothing, and an empty table stays empty.
+    """
+    clear, names = set_aside(docs, *MADE)
+    kept = benchmark_hits(clear, table(spark, sf_dir, "benchmark")).where(F.size("_hits") == 0)
+    return put_back(kept, docs.columns, names)
 
 
 ORACLE_SQL = r"""

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, table, written
+from .common import forget, put_back, set_aside, table, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Without given targets, each category's target is its share of the tokens to this power, normalised.
@@ -21,6 +21,9 @@ DRIVER_CELLS, SPARK_ROUNDS = 100_000, ROUNDS
 SEED = 8
 
 
+MADE = ("topic", "n_tokens", "weight", "prob", "sampled")
+
+
 def token_count(text: Column) -> Column:
     """Runs of other than white space; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
@@ -201,11 +204,9 @@ def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     targets in turn until all hold. A document is sampled if its draw, a hash of id and text, is below its probability, so
     a rerun samples the same rows, and equal rows share their fate. Null categories are categories. Documents without tokens
     change no marginal and are sampled at the budget. A probability is 1 at most: cells that need more are taken whole.
-    An empty table gives none.
+    An empty table gives none. Input columns of the names that are made here get an underscore at their end.
     """
-    made = ("topic", "n_tokens", "weight", "prob", "sampled")
-    if set(made) & set(docs.columns):
-        raise ValueError(f"columns {', '.join(made)} are made here")
+    docs, _ = set_aside(docs, *MADE, *(f"_{d}" for d in DIMENSIONS), keep=(text, id_col))
     if not 0 < budget <= 1:
         raise ValueError("the budget is a share of all tokens")
     topics = topic if topic is not None else topic_of(F.col(text))
@@ -215,7 +216,7 @@ def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     sides = (F.broadcast(fitted) if bounded else fitted).select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "weight", "prob")
     on = [named(counted[d]) == sides[f"_{d}"] for d in DIMENSIONS]
     out = counted.join(sides, on[0] & on[1] & on[2])
-    return out.withColumn("sampled", draw(id_col, text, seed) < F.col("prob")).select(*docs.columns, *made)
+    return out.withColumn("sampled", draw(id_col, text, seed) < F.col("prob")).select(*docs.columns, *MADE)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,5 +225,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the sampled documents."""
-    return mixed(docs).where("sampled").select(*docs.columns)
+    """Keeps the sampled documents.
+
+    Documents without tokens (null and blank texts) are sampled at the budget; null ids are ids; rows that repeat share their fate; other columns
+    stay, whatever their names; an empty table stays empty.
+    """
+    clear, names = set_aside(docs, *MADE, *(f"_{d}" for d in DIMENSIONS))
+    return put_back(mixed(clear).where("sampled"), docs.columns, names)

@@ -115,5 +115,8 @@ def test_edges(spark):
     assert mixing.mixing_stage(spark, df, "").columns == df.columns
     silent = spark.createDataFrame([(1, " ", "en", "s", 1), (2, None, "en", "s", 1)], SCHEMA)
     assert {r.prob for r in mixing.mixed(silent, budget=0.25).collect()} == {0.25}
-    with pytest.raises(ValueError):
-        mixing.mixed(df.withColumn("prob", F.lit(1)))
+    clash = df.withColumns({"prob": F.lit(5), "_lang": F.lit("l")})
+    out = mixing.mixed(clash)
+    assert {"prob_", "_lang_", "prob"} <= set(out.columns) and {r.prob_ for r in out.collect()} <= {5}
+    kept = mixing.mixing_stage(spark, clash, "")
+    assert kept.columns == clash.columns and {r.prob for r in kept.collect()} <= {5}
