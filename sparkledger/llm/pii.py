@@ -26,13 +26,19 @@ PATTERNS = {
 #: A text without this has no match.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: What may be an identifier that has no fixed form: something around @ or "(at)", or a run of six or more digits and separators.
-CANDIDATE = r"(?<![^\s:=<(\"'])[A-Za-z0-9._%+-]{1,64}(?:@|\(at\)|\[at\])[A-Za-z0-9.-]{1,64}|(?<![\p{L}0-9._-])[0-9(][0-9().-]{4,30}[0-9](?![\p{L}0-9_])"
-CANDIDATE_NEEDS = r"@|\(at\)|\[at\]|[0-9(][0-9().-]{4}[0-9]"
+#: What may be an identifier that has no fixed form: something around @ or "(at)", groups of digits with one separator between, or a run of
+#: six or more digits and separators. Where a run can start is settled by what is before, so runs are scanned once.
+AROUND = r"(?<![^\s:=<(\"'])[A-Za-z0-9._%+-]++(?:@|\(at\)|\[at\])[A-Za-z0-9.-]++"
+GROUPS = r"(?<![\p{L}0-9._-])\(?[0-9]{2,5}\)?(?:[ .-][0-9]{2,5}){2,4}(?![\p{L}0-9_])"
+RUN = r"(?:(?<![\p{L}0-9._(-])\(|(?<![\p{L}0-9._-])[0-9])[0-9().-]{4,}[0-9](?![\p{L}0-9_])"
+CANDIDATE = f"{AROUND}|{GROUPS}|{RUN}"
+CANDIDATE_NEEDS = r"@|\(at\)|\[at\]|[0-9(][0-9().-]{4}[0-9]|[0-9]\)?[ .-][0-9]{2,5}[ .-][0-9]{2}"
 #: Pieces whose lengths are summed in one inner array.
 CHUNK = 256
-#: A pattern is the kind and the two words before; it needs so many different known instances, and so high a score.
-SUPPORT, PATTERN_SCORE, INSTANCE_SCORE, ROUNDS = 3, 0.8, 0.8, 2
+#: A pattern needs so many different known instances (one word alone twice as many), and so high a score; so does an instance.
+SUPPORT, PATTERN_SCORE, INSTANCE_SCORE = 3, 0.8, 0.8
+#: What an instance that may be of the kind but isn't known counts against a pattern, and what every pattern has against it.
+UNKNOWN, DOUBT = 0.05, 0.25
 
 
 def digits_of(v: Column) -> Column:
@@ -79,19 +85,33 @@ def starts_of(parts: Column) -> Column:
     return F.flatten(F.transform(firsts, lambda i: ahead(F.slice(sizes, i, CHUNK), F.get(bases, ((i - 1) / CHUNK).cast("int")))))
 
 
-def context(before: Column) -> Column:
-    """The last two words before a match, lower-cased, with what is joined to the match; empty where there are fewer."""
-    return F.regexp_extract(F.lower(F.right(before, F.lit(80))), r"(?:^|\s)(\S+\s+\S+\s*)$", 1)
+def contexts(before: Column, after: Column) -> Column:
+    """Lexical patterns around a match, lower-cased: the two words before, the word before, the word after, and the words on both sides.
+
+    A word before has what is between it and the match, if that is only white space, as one space. Whole words, however long.
+    """
+    b, a = F.lower(before), F.lower(after)
+    one = F.regexp_extract(b, r"(?<!\S)(\S++)\s*+$", 1)
+    two = F.regexp_replace(F.regexp_extract(b, r"(?<!\S)(\S++\s++\S++)\s*+$", 1), r"\s+", " ")
+    gap = F.when(b.rlike(r"\s$"), " ").otherwise("")
+    after_it = F.regexp_extract(a, r"^\s*+(\S++)", 1)
+    made = F.array(
+        F.when(two != "", F.concat(F.lit("2"), two, gap)),
+        F.when(one != "", F.concat(F.lit("1"), one, gap)),
+        F.when(after_it != "", F.concat(F.lit("a"), after_it)),
+        F.when((one != "") & (after_it != ""), F.concat(F.lit("b"), one, gap, F.lit(HIDDEN), after_it)),
+    )
+    return F.array_compact(made)
 
 
 def found(parts: Column, starts: Column, kind: Column, valid: Callable[[Column], Column]) -> Column:
-    """Valid matches as structs (kind, start, end, value, context)."""
+    """Valid matches as structs (kind, start, end, value, contexts)."""
     def one(p: Column, i: Column) -> Column:
         at = F.get(starts, i)
-        return F.struct(kind.alias("kind"), at.alias("start"), (at + F.length(p)).alias("end"), p.alias("value"), context(F.get(parts, i - 1)).alias("context"))
+        return F.struct(kind.alias("kind"), at.alias("start"), (at + F.length(p)).alias("end"), p.alias("value"), contexts(F.get(parts, i - 1), F.coalesce(F.get(parts, i + 1), F.lit(""))).alias("contexts"))
 
     every = F.filter(F.transform(parts, lambda p, i: F.when((i % 2 == 1) & valid(p), one(p, i))), lambda x: x.isNotNull())
-    return F.when(F.size(parts) > 1, every).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,value:string,context:string>>"))
+    return F.when(F.size(parts) > 1, every).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,value:string,contexts:array<string>>>"))
 
 
 def scanned(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -134,40 +154,58 @@ def may_be(kind: Column, value: Column) -> Column:
     return F.when(kind == 0, at).when(kind == 1, dotted & value.rlike(rf"^{PART}(\.{PART}){{2,}}$")).when(kind == 2, ~at & ~dotted & n.between(13, 19) & luhn(digits_of(value))).otherwise(~at & ~dotted & n.between(7, 15))
 
 
-def discovered(scan: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> DataFrame:
-    """(row, kind, start, end) of candidates that high-confidence patterns and scores select.
+def graph(scan: DataFrame) -> DataFrame:
+    """(pattern, value, kinds): each pattern with each value that stands in it, once; kinds has a bit for each kind that the value is by its form."""
+    of = lambda c: scan.select(F.explode(c).alias("x")).select(F.explode("x.contexts").alias("pattern"), F.col("x.value").alias("value"), F.col("x.kind").alias("kind"))
+    bit = F.when(F.col("kind") >= 0, F.expr("shiftleft(1, kind)")).otherwise(0)
+    return of("base").union(of("maybe")).groupBy("pattern", "value").agg(F.bit_or(bit).alias("kinds"))
+
+
+def judged(edges: DataFrame, known: DataFrame, support: int) -> DataFrame:
+    """(pattern, kind, value, belief, unknown): of patterns with enough known instances of a kind all that stands in them."""
+    need = F.when(F.substring("pattern", 1, 1).isin("2", "b"), support).otherwise(2 * support)
+    enough = edges.join(known, "value").groupBy("pattern", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= need).select("pattern", "kind")
+    rows = edges.join(enough, "pattern").join(known, ["value", "kind"], "left")
+    return rows.select("pattern", "kind", "value", "belief", (F.col("belief").isNull() & (F.col("kinds") == 0) & may_be(F.col("kind"), F.col("value"))).alias("unknown"))
+
+
+def bootstrapped(edges: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(value, kind) of candidates that are identifiers, by rounds until one adds none.
 
-    The graph has an edge for each context and value, with its count. Known instances have score 1. A pattern's score
-    is the share of its occurrences that known instances make up, each by its score, with one doubtful occurrence added; an instance's
-    score is one less the product of the doubts of its patterns. Both are recomputed in turn, on aggregates only.
+    Known instances are, at first, those with a fixed form. A pattern's score for a kind is the belief in its known instances over that, its
+    instances that can't be of the kind, and a little for those that may be and aren't known, and for doubt. A candidate's belief is one
+    less the product of the doubts of the good patterns around it. What is believed enough is known in the next round, with its belief, so patterns
+    that no seed stands in are induced as well. All is aggregates and joins on keys.
     """
-    seeds = scan.select(F.explode("base").alias("x")).select("x.context", "x.value", "x.kind")
-    maybe = scan.select("row", F.explode("maybe").alias("x")).select("row", "x.context", "x.value", "x.start", "x.end")
-    seen = seeds.where("context <> ''").groupBy("context", "value", "kind").agg(F.count("*").alias("n"))
-    loose = maybe.where("context <> ''").groupBy("context", "value").agg(F.count("*").alias("n"))
-    known = written(seen, "seeds")
-    kinds = known.groupBy("context", "kind").agg(F.sum("n").alias("n"), F.countDistinct("value").alias("values")).where(F.col("values") >= support)
-    # contexts of other kinds count against a pattern
-    everything = known.groupBy("context").agg(F.sum("n").alias("total"))
-    patterns = written(kinds.join(everything, "context").select("context", "kind", F.col("n").cast("double").alias("sure"), "total"), "patterns")
-    edges = written(loose.join(patterns.select("context", "kind"), "context").where(may_be(F.col("kind"), F.col("value"))), "edges")
-    others = written(loose.join(patterns.select("context").distinct(), "context", "left_semi").groupBy("context").agg(F.sum("n").alias("loose")), "others")
-    scored = patterns.join(others, "context", "left").withColumn("loose", F.coalesce("loose", F.lit(0)))
-    score = scored.select("context", "kind", (F.col("sure") / (F.col("total") + 1)).alias("score"))
-    instances = None
-    for _ in range(rounds):
-        doubts = edges.join(score, ["context", "kind"]).groupBy("value", "kind").agg(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999)))).alias("doubt"))
-        before, instances = instances, written(doubts.select("value", "kind", (1 - F.exp("doubt")).alias("belief")), "instances")
-        forget(before)
-        gained = edges.join(instances, ["value", "kind"]).groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("belief")).alias("gained"))
-        score = scored.join(gained, ["context", "kind"], "left").select("context", "kind", ((F.col("sure") + F.coalesce("gained", F.lit(0.0))) / (F.col("total") + F.col("loose") + 1)).alias("score"))
-    if instances is None:
-        return maybe.select("row", F.lit(0).alias("kind"), "start", "end").where("false")
-    good = score.where(F.col("score") >= PATTERN_SCORE).select("context", "kind")
-    chosen = edges.join(good, ["context", "kind"]).join(instances.where(F.col("belief") >= INSTANCE_SCORE), ["value", "kind"])
-    # one kind for each context and value: the most believed, then the first
-    best = chosen.groupBy("context", "value").agg(F.min(F.struct(-F.col("belief"), F.col("kind"))).alias("b")).select("context", "value", F.col("b.kind").alias("kind"))
-    return maybe.join(best, ["context", "value"]).select("row", "kind", "start", "end")
+    known = written(edges.where("kinds > 0").select("value", F.explode(F.expr("filter(array(0, 1, 2, 3), k -> kinds & shiftleft(1, k) > 0)")).alias("kind")).distinct().withColumn("belief", F.lit(1.0)), "known")
+    first = known
+    while True:
+        rows = written(judged(edges, known, support), "judged")
+        sums = rows.groupBy("pattern", "kind").agg(F.sum(F.coalesce("belief", F.lit(0.0))).alias("sure"), F.count_if(F.col("belief").isNull() & ~F.col("unknown")).alias("against"), F.count_if("unknown").alias("open"))
+        good = sums.select("pattern", "kind", (F.col("sure") / (F.col("sure") + F.col("against") + UNKNOWN * F.col("open") + DOUBT)).alias("score")).where(F.col("score") >= PATTERN_SCORE)
+        doubts = rows.where("unknown").join(good, ["pattern", "kind"]).groupBy("value", "kind").agg(F.sum(F.log1p(-F.least("score", F.lit(0.999)))).alias("doubt"))
+        # of several kinds the one that is believed most, then the first
+        best = doubts.groupBy("value").agg(F.min(F.struct(F.exp("doubt").alias("doubt"), "kind")).alias("b"))
+        more = best.select("value", "b.kind", (1 - F.col("b.doubt")).alias("belief")).where(F.col("belief") >= INSTANCE_SCORE).join(known.select("value"), "value", "left_anti")
+        new = written(more, "new")
+        forget(rows)
+        if new.isEmpty():
+            forget(new)
+            break
+        before, known = known, written(known.union(new), "known")
+        forget(new, before if before is not first else None)
+    found = written(known.join(first.select("value"), "value", "left_anti").select("value", "kind"), "found")
+    forget(first, known)
+    return found
+
+
+def discovered(scan: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(row, kind, start, end) of every occurrence of the candidates that bootstrapping finds to be identifiers."""
+    edges = written(graph(scan), "edges")
+    found = bootstrapped(edges, support)
+    forget(edges)
+    maybe = scan.select("row", F.explode("maybe").alias("x")).select("row", "x.value", "x.start", "x.end")
+    return maybe.join(found, "value").select("row", "kind", "start", "end")
 
 
 def of_kind(n: int) -> Callable[[Column], Column]:

@@ -70,5 +70,55 @@ def test_contexts_discover_more(spark):
     assert all(got[i].spans == "" for i in (200, 201, 202)) and all(got[i].n_email == 1 and not got[i].n_new for i in range(8))
 
 
+def test_discovered_identifiers_induce_patterns(spark):
+    """Seeds stand in one context; what is found there also stands in a second, where others are that no seed is near."""
+    rows = [(i, f"Words {i} before. contact person: user{i}@mail{i}.com thanks {i}") for i in range(5)]
+    rows += [(100 + i, f"Words {i} before. contact person: pat{i}(at)host{i}.example thanks {i}") for i in range(6)]
+    rows += [(200 + i, f"Another text {i}. write to mailbox pat{i}(at)host{i}.example soon {i}") for i in range(6)]
+    rows += [(300 + i, f"A third text {i}. write to mailbox kim{i}(at)home{i}.example soon {i}") for i in range(4)]
+    rows += [(400, "unrelated: box9(at)else.example here"), (401, "pat2(at)host2.example stands alone elsewhere")]
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].n_new for i in (*range(100, 106), *range(200, 206), *range(300, 304))] == [1] * 16
+    assert got[400].n_new == 0 and got[401].n_new == 1 and all(got[i].n_new == 0 for i in range(5))
+
+
+def test_planted_identifiers_at_a_stated_precision(spark):
+    """Of what is discovered among many numbers and names, nearly all is planted, and nearly all that is planted is discovered."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    digits = lambda n: "".join(rng.choices("123456789", k=n))
+    rows, planted = [], {}
+    for i in range(400):
+        kind = i % 4
+        mail, phone = f"{word()}{i}(at){word()}.example", f"0{digits(3)} {digits(3)} {digits(4)}"
+        if kind == 0:
+            text = f"{word()} {word()} please mail to {word()}{i}@{word()}.com {word()} or dial number +49 {digits(3)} {digits(3)} {digits(4)} {word()}"
+        elif kind == 1:
+            planted[i] = {mail, phone}
+            text = f"{word()} {word()} please mail to {mail} {word()} or dial number {phone} {word()}"
+        else:
+            text = f"{word()} order {digits(8)} of {digits(3)}-{digits(4)}, at {word()}(at){word()} {word()} {digits(9)}.{word()}"
+        rows.append((i, text))
+    text = dict(rows)
+    found = {}
+    for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r.n_new:
+            base = {(a, b) for k, p in FORMS.items() for a, b in [m.span() for m in re.finditer(p, text[r.doc_id]) if holds(k, m[0])]}
+            spans = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",")]
+            found[r.doc_id] = {text[r.doc_id][a:b] for a, b in spans if (a, b) not in base}
+    hits = sum(len(found.get(i, set()) & p) for i, p in planted.items())
+    assert hits / sum(map(len, found.values())) >= 0.95 and hits / sum(map(len, planted.values())) >= 0.95
+
+
+def test_long_words_and_runs(spark):
+    long = "x" * 70_000
+    rows = [(i, f"{long}{i} {'y' * 500}: u{i}@m{i}.de") for i in range(4)] + [(9, f"{long}0 {'y' * 500}: {'n' * 100}(at)home.example")] + [(10, "(" * 20_000 + "1" * 20_000 + "(1" * 20_000), (11, "1 2 " * 20_000), (12, "12 34 56 " * 10_000)]
+    got = {r.doc_id: r.n_new for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 8 and got[9] == 0
+    rows = [(i, f"is {'y' * 500}: u{i}@m{i}.de") for i in range(4)] + [(9, f"is {'y' * 500}: {'n' * 100}(at)home.example"), (10, f"is {'y' * 499}z: {'n' * 99}(at)home.example")]
+    got = {r.doc_id: r.n_new for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 9: 1, 10: 0}
+
+
 def test_empty(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
