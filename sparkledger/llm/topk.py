@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,8 +12,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 K, STEP, EVERY = 10, 1024, 100
-#: Vectors of an index block and queries that meet it at a time.
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2048
+#: Vectors of an index block, at least and at most; between these there are about as many blocks as BLOCKS.
+BLOCK_ROWS, MOST_ROWS, BLOCKS = 16_384, 131_072, 512
+#: Queries whose results leave a task at a time.
+BLOCK_QUERIES = 2048
+#: Components from here on are handled as integers of any size.
+WIDE = 1 << 31
 #: Bits of a component that its slices hold; the lower ones are resolved exactly for the rows at the boundary.
 SLICES = 6
 
@@ -143,63 +149,114 @@ class SlicedIndex:
         most = float(np.abs(query).sum()) * float(np.abs(self.floats).max(initial=0))
         if most < 2**53:
             scores = (self.floats[rows] @ query.astype(np.float64)).astype(np.int64)
-        elif most < 2**63:
+        elif most < 2**62:
             scores = self.vectors[rows] @ query
         else:
-            raise OverflowError("an inner product doesn't fit into 64 bits")
+            return wide_top(self.vectors[rows], ids[rows], query, k)
         best = np.lexsort((ids[rows], -scores))[:k]
         return ids[rows][best], scores[best]
 
 
-def quantised(column: pa.ChunkedArray, dim: int, step: int) -> np.ndarray:
-    parts = [np.asarray(c.flatten().to_numpy(zero_copy_only=False), np.float64) for c in column.chunks]
+def wide_top(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+    """The k best by integers of any size."""
+    scores = [sum(int(x) * int(q) for x, q in zip(v, query)) for v in vectors]
+    best = sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k]
+    return ids[best], [scores[i] for i in best]
+
+
+def sized(score: int) -> float:
+    """A score as a float, the largest one beyond its range."""
+    try:
+        return float(score)
+    except OverflowError:
+        return float("inf") if score > 0 else float("-inf")
+
+
+def quantised(column: pa.ChunkedArray | pa.Array, dim: int, step: int) -> np.ndarray:
+    """floor(step * x) of each component: 64-bit integers, or objects where one is too large for the slices."""
+    parts = [np.asarray(c.flatten().to_numpy(zero_copy_only=False), np.float64) for c in (column.chunks if isinstance(column, pa.ChunkedArray) else [column])]
     values = np.floor(np.concatenate([np.empty(0), *parts]) * step)
-    if len(values) and np.abs(values).max() >= 2**31:
-        raise OverflowError("a component doesn't fit into 32 bits")
+    if len(values) and np.abs(values).max() >= WIDE:
+        wide = np.empty(len(values), object)
+        wide[:] = [int(x) for x in values.tolist()]
+        return wide.reshape(len(column), dim)
     return values.astype(np.int64).reshape(len(column), dim)
 
 
+class Block:
+    """The vectors of a block under an index, to which batches of queries come in turn."""
+
+    def __init__(self, tables: list[pa.RecordBatch], dim: int, step: int):
+        whole = pa.Table.from_batches(tables)
+        self.ids = whole.column("id").to_numpy()
+        self.vectors = quantised(whole.column("vector"), dim, step)
+        self.index = SlicedIndex(self.vectors) if self.vectors.dtype != object else None
+
+    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.index is not None and query.dtype != object:
+            return self.index.top(query, self.ids, own, k)
+        others = self.ids != own
+        return wide_top(self.vectors[others], self.ids[others], query, k)
+
+
 def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
-    whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    # what overflows when scaled isn't finite either
+    whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * STEP) < F.lit(float("inf"))))
     return vectors.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull() & whole).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("vector"), F.size(vector).alias("dim"))
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, step: int = STEP, id_col: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, step: int = STEP, id_col: str = "vec_id", vector: str = "embedding", block_rows: int | None = None, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of vectors with the highest inner product of floor(step * x) with each query.
 
-    Vectors are dealt to blocks by a hash of their id and queries are dealt to blocks likewise; each pair of blocks meets once
-    in a task of bounded size, where a bit-sliced index of the vectors' upper bits narrows each query to the rows that can be
+    Vectors are dealt to blocks by a hash of their id, each once; every query goes to each block. In a task a block's vectors come first and
+    become a bit-sliced index of their upper bits, then the queries stream past it: each is narrowed to the rows that can be
     among the best, and only those are scored. Of each block at most k rows remain, so the last step ranks few rows.
     A row isn't compared with rows of its own id. Ties go to the smaller id; rows that repeat an id are ranked each, equal query rows
     count once. Vectors that are null, or hold null or non-finite components, and rows without an id take no part; vectors are only
-    compared with those of equal length. Empty tables give none. Components of 2^31 or more after scaling raise OverflowError.
+    compared with those of equal length. Empty tables give none. Components of any finite size are scored exactly; a score beyond 64 bits
+    ranks by its value as a float, and is given as the nearest that fits.
     """
     data, asked = usable(vectors, id_col, vector), usable(queries, id_col, vector).distinct()
     rows = max((r.n for r in data.groupBy("dim").agg(F.count("*").alias("n")).collect()), default=0)
-    n_asked = asked.count()
-    blocks, query_blocks = max(1, -(-rows // block_rows)), max(1, -(-n_asked // block_queries))
-    deal = lambda salt, n, *c: F.pmod(F.xxhash64(F.lit(salt), *c), F.lit(n)).cast("int")
-    left = data.withColumn("b", deal(1, blocks, "id")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = asked.withColumn("qb", deal(2, query_blocks, "id")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("vhash", F.xxhash64("vector"))
-    schema = pa.schema([("query_id", pa.int64()), ("vhash", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        made: list[list] = [[], [], [], []]
-        if a.num_rows and b.num_rows:
-            dim = a.column("dim")[0].as_py()
-            ids = a.column("id").to_numpy()
-            index = SlicedIndex(quantised(a.column("vector"), dim, step))
-            for own, h, q in zip(b.column("id").to_pylist(), b.column("vhash").to_pylist(), quantised(b.column("vector"), dim, step)):
-                found, scores = index.top(q, ids, own, k)
-                made[0] += [own] * len(found)
-                made[1] += [h] * len(found)
-                made[2] += found.tolist()
-                made[3] += scores.tolist()
-        return pa.table([pa.array(m, pa.int64()) for m in made], schema=schema)
-
-    keys = ["dim", "b", "qb"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vhash long, vec_id long, score long")
-    nth = F.row_number().over(Window.partitionBy("query_id", "vhash").orderBy(F.desc("score"), "vec_id"))
+    size = block_rows or min(MOST_ROWS, max(BLOCK_ROWS, rows // BLOCKS))
+    blocks = max(1, -(-rows // size))
+    left = data.select("dim", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).cast("int").alias("b"), F.lit(0).alias("part"), "id", F.lit(0).cast("long").alias("vhash"), "vector")
+    right = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(1).alias("part"), "id", F.xxhash64("vector").alias("vhash"), "vector")
+    schema = pa.schema([("query_id", pa.int64()), ("vhash", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("size", pa.float64())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, block = None, [], None
+        for batch in batches:
+            dims, bs, parts = (batch.column(c).to_numpy() for c in range(3))
+            # stretches of one block's vectors or queries
+            change = np.flatnonzero((np.diff(dims) != 0) | (np.diff(bs) != 0) | (np.diff(parts) != 0)) + 1
+            for a, z in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
+                if a == z:
+                    continue
+                now = (int(dims[a]), int(bs[a]))
+                if now != key:
+                    key, held, block = now, [], None
+                stretch = batch.slice(a, z - a)
+                if parts[a] == 0:
+                    held.append(stretch)
+                    continue
+                if held:
+                    block, held = Block(held, key[0], step), []
+                for at in range(0, stretch.num_rows if block is not None else 0, block_queries):
+                    some, made = stretch.slice(at, block_queries), [[], [], [], [], []]
+                    for own, h, q in zip(some.column("id").to_pylist(), some.column("vhash").to_pylist(), quantised(some.column("vector"), key[0], step)):
+                        found, scores = block.best(q, own, k)
+                        made[0] += [own] * len(found)
+                        made[1] += [h] * len(found)
+                        made[2] += found.tolist()
+                        whole = [int(x) for x in scores]
+                        made[3] += [min(max(x, -(1 << 63)), (1 << 63) - 1) for x in whole]
+                        made[4] += map(sized, whole)
+                    yield pa.RecordBatch.from_arrays([pa.array(m, f.type) for m, f in zip(made, schema)], schema=schema)
+
+    order = ["dim", "b", "part"]
+    near = left.union(right).repartition("dim", "b").sortWithinPartitions(*order).mapInArrow(each, "query_id long, vhash long, vec_id long, score long, size double")
+    nth = F.row_number().over(Window.partitionBy("query_id", "vhash").orderBy(F.desc("size"), F.desc("score"), "vec_id"))
     return near.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

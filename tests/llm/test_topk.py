@@ -75,3 +75,26 @@ def test_sum_of_slices():
 def test_signed_digits():
     for x in range(-300, 300):
         assert sum(s << k if s > 0 else -(1 << k) for k, s in topk.signed_digits(x)) == x
+
+
+def test_components_of_any_size(spark):
+    """Beyond the slices' range scores are exact integers, and one beyond 64 bits is the nearest that fits; overflows when scaled take no part."""
+    rows = [(0, [3.0e6, 1.0]), (1, [2.0e6, -5.0]), (2, [1.0, 1.0]), (3, [-4.0e9, 2.0]), (4, [9.0e15, 1.0]), (5, [1.7e306, 1.0]), (6, [None, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.exact_top_k(df, df, k=3, block_rows=2).collect())
+    whole = {i: [math.floor(x * 1024) for x in v] for i, v in rows[:5]}
+    want = []
+    for q, a in whole.items():
+        scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole.items() if i != q)[:3]
+        want += [(q, n + 1, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for n, (s, i) in enumerate(scored)]
+    assert got == sorted(want)
+
+
+def test_vectors_are_shuffled_once(spark):
+    """The rows that meet in tasks are each vector once, and each query once for each block."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = topk.exact_top_k(df, df.where("vec_id % 100 = 0"), block_rows=100)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and out.count() == 90
