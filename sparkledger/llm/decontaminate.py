@@ -74,38 +74,67 @@ def kept_minima(values: np.ndarray, frame: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Windows of benchmark items. windows: length -> hash -> {words: item numbers}; prints: sorted gram hashes of long items."""
+    """Windows of benchmark items, in arrays: a few bytes for each character of the items.
+
+    items: ids; data: the words of all items with a space after each; starts: where each word starts, and the end; firsts: of each item its first word.
+    windows: by length the hashes of the windows, sorted, and of each the place of its first word, once for an item. prints: sorted gram hashes of long items.
+    """
 
     items: list[int] = field(default_factory=list)
-    windows: dict[int, dict[int, dict[tuple, list[int]]]] = field(default_factory=dict)
+    data: bytes = b""
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    firsts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    windows: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     prints: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
     table: np.ndarray = field(default_factory=lambda: np.zeros(1 << 16, bool))
 
     @classmethod
     def of(cls, items: Iterable[tuple[int, str | None]], window: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> Index:
-        self, known, found = cls(), WordHashes(), []
+        self, known, found, parts, sizes, firsts, n_words = cls(), WordHashes(), [], [], [], [], 0
+        by_length: dict[int, tuple[list, list]] = {}
         for item, text in items:
             words = words_of(text)
             if not words:
                 continue
-            number = len(self.items)
             self.items.append(item)
             hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
             n = min(window, len(words))
-            at_length = self.windows.setdefault(n, {})
-            for i, h in enumerate(grams(hashes, n).tolist()):
-                holders = at_length.setdefault(h, {}).setdefault(tuple(words[i : i + n]), [])
-                if not holders or holders[-1] != number:
-                    holders.append(number)
+            runs, places = np.unique(grams(hashes, n), return_index=True)
+            for column, x in zip(by_length.setdefault(n, ([], [])), (runs, places + n_words)):
+                column.append(x)
             if n == window:
                 # The minima of an item's frames: the same rule keeps the same grams in every text that holds the span.
                 g = grams(hashes, gram)
                 found.append(g[kept_minima(g, window - gram + 1)])
+            parts.append(b" ".join(words) + b" ")
+            sizes.append(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            firsts.append(n_words)
+            n_words += len(words)
+        self.data, self.firsts = b"".join(parts), np.array(firsts, np.int64)
+        self.starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.concatenate(sizes)) if sizes else np.empty(0, np.int64)))
+        for n, (runs, places) in by_length.items():
+            h, at = np.concatenate(runs), np.concatenate(places)
+            order = np.argsort(h, kind="stable")
+            self.windows[n] = h[order], at[order].astype(np.int32 if n_words < 1 << 31 else np.int64)
         if found:
             self.prints = np.unique(np.concatenate(found))
             self.table[(self.prints >> np.uint64(48)).astype(np.int64)] = True
         return self
 
+    @property
+    def n_bytes(self) -> int:
+        return len(self.data) + sum(a.nbytes for a in (self.starts, self.firsts, self.prints, self.table, *(x for w in self.windows.values() for x in w)))
+
+    def holders(self, words: list[bytes], h: int, n: int) -> list[int]:
+        """Numbers of the items that have a window of these words, compared as they are."""
+        hashes, places = self.windows[n]
+        low, high = np.searchsorted(hashes, np.uint64(h)), np.searchsorted(hashes, np.uint64(h), "right")
+        if low == high:
+            return []
+        text = b" ".join(words) + b" "
+        same = [p for p in places[low:high].tolist() if self.data[self.starts[p] : self.starts[p + n]] == text]
+        return (np.searchsorted(self.firsts, same, "right") - 1).tolist()
+
     def seeds(self, values: np.ndarray) -> np.ndarray:
         """Which of the values are gram hashes of the index."""
         maybe = np.flatnonzero(self.table[(values >> np.uint64(48)).astype(np.int64)])
@@ -117,7 +146,7 @@ class Index:
     def matches(self, words: list[bytes], hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, set[int]]:
         """Hit words as flags, and the numbers of the items whose windows occur."""
         hit, items = np.zeros(len(words), bool), set()
-        for n, by_hash in self.windows.items():
+        for n, (known, _) in self.windows.items():
             if len(words) < n:
                 continue
             runs = grams(hashes, n)
@@ -131,9 +160,9 @@ class Index:
                 near = (seeds[:, None] - np.arange(window - gram + 1)[None, :]).ravel()
                 candidates = np.unique(near[(near >= 0) & (near < len(runs))])
             else:
-                candidates = np.flatnonzero(np.isin(runs, np.fromiter(by_hash, np.uint64, len(by_hash))))
+                candidates = np.flatnonzero(known[np.minimum(np.searchsorted(known, runs), len(known) - 1)] == runs)
             for i in candidates.tolist():
-                holders = by_hash.get(int(runs[i]), {}).get(tuple(words[i : i + n]))
+                holders = self.holders(words[i : i + n], int(runs[i]), n)
                 if holders:
                     hit[i : i + n] = True
                     items.update(holders)

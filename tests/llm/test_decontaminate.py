@@ -91,3 +91,14 @@ def test_every_frame_has_its_minimum():
     for i in range(495):
         least = min(scrambled[i : i + 6])
         assert any(k in kept and scrambled[k] == least for k in range(i, i + 6))
+
+
+def test_index_takes_few_bytes_a_character():
+    rng = random.Random(4)
+    items = [(i, " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(400))) for i in range(200)]
+    index = d.Index.of(items)
+    assert index.n_bytes < 6 * sum(len(t) for _, t in items)
+    words = d.words_of(items[7][1])[50:90]
+    known = d.WordHashes()
+    hit, found = index.matches([b"x", *words, b"y"], np.fromiter(map(known.__getitem__, [b"x", *words, b"y"]), np.uint64, 42), 10, 5)
+    assert hit.tolist() == [False] + [True] * 40 + [False] and found == {7}
