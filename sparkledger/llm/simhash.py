@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, forget, table, written
+from .common import components, forget, put_back, set_aside, table, written
 
 SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
 #: First bit of each of the three segments, and the end: of at most 5 differing bits one segment has at most one.
@@ -23,21 +23,22 @@ FEW, HOT, LISTED = 24, 1 << 15, 100_000
 STEP = 1 << 14
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """64-bit SimHash: a bit is 1 if it is set in over half of the XXH64 values of the word shingles (repeats included).
-
-    Null or no words: 0; fewer words than a shingle: the whole sequence is the shingle. Returned as a signed 64-bit value.
-    """
+def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; fewer words than a shingle: the whole sequence is the shingle; null or no words: none."""
     import xxhash
 
     tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     joined, k = b" ".join(tokens), min(words, len(tokens))
     ends = [e - 1 for e in accumulate(len(t) + 1 for t in tokens)]
     starts = [0, *(e + 1 for e in ends[:-1])]
     one = xxhash.xxh64_intdigest
-    hashes = np.fromiter((one(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :])), np.uint64, len(tokens) - k + 1)
+    return np.fromiter((one(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :])), np.uint64, len(tokens) - k + 1)
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if it is set in over half of the hashes; 0 of none. Returned as a signed 64-bit value."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), STEP):
         bits = np.unpackbits(hashes[at : at + STEP].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -45,6 +46,11 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    """SimHash of a text's shingles; null or no words: 0."""
+    return simhash(shingle_hashes(text, words))
+
+
 def with_fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id_col, fp, hash) of every row, with the hash of the text; rows stay where they are, only these columns are kept."""
 
@@ -238,13 +244,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps exactly one row of each component: that with the smallest id (null last), then text hash, source and language."""
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash")).alias("best")
-    linked = with_roots(with_fingerprints(docs).groupBy("fp").agg(best))
-    keep = written(linked.groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", F.col("best.hash").alias("_hash")), "kept")
+    """Keeps exactly one row of each group of near copies: that with the smallest id (null last), then text hash, source and language.
+
+    Texts are near copies if their sets of five-word shingles have a similarity of 0.8 or more, or are linked by others; those without
+    words are copies of each other. Ids that are null or repeat don't matter, nor do the names of other columns, which stay; an empty table stays empty.
+    """
+    from .nearcopies import with_copies
+
+    own, names = set_aside(docs, "_hash", "_nth")
+    keep = written(with_copies(own).groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", F.col("best.hash").alias("_hash")), "kept")
     order = ("source", "lang", F.length("text"))
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    hashed = own.withColumn("_hash", F.xxhash64("text"))
     # the join and the window need the same dealing of rows, so texts are shuffled once
     named = hashed.join(keep.where("doc_id is not null").hint("shuffle_merge"), ["doc_id", "_hash"], "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy(*order)))
     nameless = hashed.where("doc_id is null").withColumn("_nth", F.row_number().over(Window.partitionBy("_hash").orderBy(*order))).where("_nth = 1").join(keep.where("doc_id is null").select("_hash"), "_hash", "left_semi")
-    return named.where("_nth = 1").select(*docs.columns).union(nameless.select(*docs.columns))
+    return put_back(named.where("_nth = 1").select(*own.columns).union(nameless.select(*own.columns)), docs.columns, names)

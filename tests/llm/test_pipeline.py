@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from sparkledger.llm import langid, mixing, tokenids
 from test_decontaminate import brute as leaks
-from test_simhash import brute as copies
+from test_simhash import similar as copies
 
 DATA = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,7 +25,7 @@ def test_pipeline_against_brute_force(spark):
         if by.sum() and by.max() / by.sum() >= langid.LEAST_SCORE:
             kept.append(d)
     # near copies: the smallest id of each group, all pairs compared
-    kept = [int(d) for d, _, c in copies([(d, rows[d].text) for d in kept]) if int(d) == c]
+    kept = [int(d) for d, c in copies([(d, rows[d].text) for d in kept]) if int(d) == c]
     # benchmark passages
     kept = [int(x[0]) for x in leaks([(d, rows[d].text) for d in kept], bench) if not x[-1]]
     # mixture: the operator over what is left, which has tests of its own

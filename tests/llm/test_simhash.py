@@ -1,11 +1,15 @@
 import random
+import re
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
+from sparkledger.llm import nearcopies
 from sparkledger.llm.common import components
+from sparkledger.llm.nearcopies import with_copies
 from sparkledger.llm.simhash import SEGMENTS, fingerprint, near_duplicates, near_links, simhash_stage
 
 
@@ -81,17 +85,78 @@ def test_components(spark):
     assert got == want
 
 
+def shingles_of(text):
+    words = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(rows):
+    """(repr of id, component) of every row: sets of five-word shingles with a similarity of 0.8 or more are linked, all pairs compared; wordless texts are equal."""
+    sets = [shingles_of(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if len(a & b) >= 0.8 * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return [(repr(d), least.get(find(i))) for i, (d, _) in enumerate(rows)]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
 def test_stage_keeps_one_of_each_group(spark):
     rows = corpus()
-    df = spark.createDataFrame([Row(doc_id=d, text=t, lang="en", source="s", n_chars=1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df = spark.createDataFrame([Row(doc_id=d, text=t, lang="en", source="s", n_chars=1) for d, t in rows], SCHEMA)
     out = simhash_stage(spark, df, "")
     assert out.columns == df.columns
-    want = {d for d, _, c in brute(rows) if c is not None and d == repr(c)}
+    want = {d for d, c in similar(rows) if c is not None and d == repr(c)}
     assert {repr(r.doc_id) for r in out.collect() if r.doc_id is not None} == want
     ids = [r.doc_id for r in out.collect() if r.doc_id is not None]
     assert len(ids) == len(set(ids))
 
 
+def test_stage_finds_chains_and_large_buckets(spark):
+    """Copies of copies, long and short texts, and one passage that most texts start with; buckets are dealt to stripes of 30."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(900)]
+    head = rng.choices(vocab, k=60)
+    rows = []
+    for base in range(12):
+        words = (head if base % 2 else []) + rng.choices(vocab, k=rng.choice([25, 120, 600, 1500]))
+        for _ in range(25):
+            rows.append((len(rows), " ".join(words)))
+            words = list(words)
+            for _ in range(max(1, len(words) // 90)):
+                words[rng.randrange(len(words))] = rng.choice(vocab)
+    rows += [(len(rows) + i, " ".join(head + rng.choices(vocab, k=25))) for i in range(120)]
+    df = spark.createDataFrame([Row(doc_id=d, text=t, lang="en", source="s", n_chars=1) for d, t in rows], SCHEMA)
+    want = {c for _, c in similar(rows)}
+    assert len(want) > 20
+    for hot in (nearcopies.HOT, 30):
+        kept = with_copies(df, hot=hot).groupBy("root").agg(F.min("best.doc_id").alias("d")).collect()
+        assert {r.d for r in kept} == want, hot
+
+
+def test_edges_of_the_stage(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert simhash_stage(spark, none, "").count() == 0
+    a = " ".join(f"a{i}" for i in range(80))
+    clash = spark.createDataFrame([(1, a, None, None, 1, "h", 2, 3), (2, a + " more", None, None, 1, "i", 4, 5), (None, None, None, None, None, None, None, None), (3, "x " * 60_000, "en", "s", 9, "j", 6, 7)], SCHEMA + ", _hash string, _nth int, sig int")
+    out = simhash_stage(spark, clash, "")
+    assert out.columns == clash.columns and sorted((repr(r.doc_id), r._hash, r._nth, r.sig) for r in out.collect()) == [("1", "h", 2, 3), ("3", "j", 6, 7), ("None", None, None, None)]
+
+
 def test_stage_keeps_one_row_whatever_the_ids(spark):
     a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
     rows = [(5, a), (5, b), (3, b), (None, c), (None, c), (None, c.upper()), (9, a), (None, a), (7, None), (7, None)]
