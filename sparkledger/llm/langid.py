@@ -45,9 +45,16 @@ SCRIPTS = (
 FIRSTS = np.array([a for a, _ in SCRIPTS])
 NAMES = sorted({s for _, s in SCRIPTS})
 OF_RANGE = np.array([NAMES.index(s) for _, s in SCRIPTS])
-# \w also takes numerals that are no letters, as fractions and Roman numbers; beyond the second plane there are none
-NUMERALS = "".join(chr(c) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) in ("No", "Nl"))
-WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def numerals(first: int, end: int) -> re.Pattern:
+    """Numerals of a range that aren't decimal digits, which \\w takes though they are no letters, as fractions and Roman numbers."""
+    return re.compile("[" + "".join(chr(c) for c in range(first, end) if unicodedata.category(chr(c)) in ("No", "Nl")) + "]")
+
+
+# those of the first plane are one bitmap; beyond the second plane there are none
+NUMERAL, HIGH_NUMERAL, HIGH = numerals(0x80, 0x10000), numerals(0x10000, 0x20000), re.compile("[\U00010000-\U0001FFFF]")
 
 
 def scripts(words: list[str]) -> np.ndarray:
@@ -69,9 +76,19 @@ def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield (mixed >> np.uint32(32 - BUCKET_BITS))[inside], np.searchsorted(word[: len(h)][inside], np.arange(len(words)))
 
 
+def lettered(text: str) -> str:
+    """The text, lower-cased, with a space for each numeral that isn't a digit."""
+    low = text.lower()
+    if low.isascii():
+        return low
+    if NUMERAL.search(low):
+        low = NUMERAL.sub(" ", low)
+    return HIGH_NUMERAL.sub(" ", low) if HIGH.search(low) else low
+
+
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, lower-cased."""
-    return WORD.findall(text.lower()) if text else []
+    return WORD.findall(lettered(text)) if text else []
 
 
 @dataclass
@@ -234,7 +251,7 @@ def spans(text: str | None, model: Model, switch: float = SWITCH) -> list[tuple[
     if not text or not model.languages:
         return out
     (_, labels), = Labeller(model, switch).label([text])
-    for m, k in zip(WORD.finditer(text.lower()), labels):
+    for m, k in zip(WORD.finditer(lettered(text)), labels):
         name = model.languages[k]
         if out and out[-1][2] == name:
             out[-1] = (out[-1][0], m.end(), name)
