@@ -61,18 +61,20 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit(START), safe(F.coalesce(role, F.lit("unknown"))), F.lit("\n"), safe(F.coalesce(text, F.lit(""))), F.lit(END), F.lit("\n"))
 
 
-def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_turns: int = PART_TURNS) -> DataFrame:
-    """(conv_col, part, n_turns, rendered) of the maximal conversations, in parts of part_turns turns from 0.
+def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_turns: int | None = PART_TURNS) -> DataFrame:
+    """(conv_col, part, n_turns, rendered) of the maximal conversations, in parts of part_turns turns from 0; None: one row for each, however long.
 
     Turns are ordered by turn (null first), then role and text; turns that repeat are turns. Null roles are "unknown", null texts
     empty, but both differ from every string when conversations are compared. Rows whose conversation is null are one
     conversation, which gives way to an equal one that has an id. An empty table gives none; other columns are ignored.
     """
     own = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    placed = written(numbered(own, part_turns), "turns")
-    kept = maximal(written(prefixes(placed, part_turns), "prefixes")).select(F.col("conv").alias("kept"))
+    hashed_turns = part_turns or PART_TURNS
+    placed = written(numbered(own, hashed_turns), "turns")
+    kept = maximal(written(prefixes(placed, hashed_turns), "prefixes")).select(F.col("conv").alias("kept"))
     left = placed.join(kept, placed.conv.eqNullSafe(kept.kept), "left_semi")
-    parts = left.groupBy("conv", F.floor((F.col("nth") - 1) / part_turns).cast("int").alias("part")).agg(F.sort_array(F.collect_list(F.struct("nth", rendered(F.col("role"), F.col("text")).alias("s")))).alias("turns"))
+    part = F.floor((F.col("nth") - 1) / part_turns).cast("int") if part_turns else F.lit(0)
+    parts = left.groupBy("conv", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("nth", rendered(F.col("role"), F.col("text")).alias("s")))).alias("turns"))
     return parts.select(F.col("conv").alias(conv_col), "part", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", lambda x: x["s"]), "").alias("rendered"))
 
 

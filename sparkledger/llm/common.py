@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -50,9 +54,59 @@ def put_back(df: DataFrame, columns: Iterable[str], names: Mapping[str, str]) ->
     return df.select(*(F.col(names.get(c, c)).alias(c) for c in columns))
 
 
+#: What a Python worker keeps from task to task: one thing at a time, so that stages which follow each other don't add up.
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], T]) -> T:
+    """What make gave for this key the last time, if nothing else was asked for since."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; at its end memory that its arrays used goes back to the system."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+#: Paths of the tables that this process has written to the shared folder and not deleted.
+_tables: list[str] = []
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path for a new table in the shared folder, which sweep() knows."""
+    _tables.append(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
+    return _tables[-1]
+
+
+def tables_so_far() -> int:
+    return len(_tables)
+
+
+def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Deletes the tables written since a count of tables_so_far(), but those to keep: for use where what reads them is written itself."""
+    kept = {getattr(df, "written_path", None) for df in keep}
+    for path in [p for p in _tables[since:] if p not in kept]:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _tables:
+        _tables.remove(path)
+
+
 def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Writes df to a new table in the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
@@ -64,9 +118,7 @@ def forget(*frames: DataFrame | None) -> None:
     """Deletes tables of written() that no later plan reads."""
     for df in frames:
         if df is not None and getattr(df, "written_path", None):
-            jvm = df.sparkSession._jvm
-            path = jvm.org.apache.hadoop.fs.Path(df.written_path)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, df.written_path)
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:

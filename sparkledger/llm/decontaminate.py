@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import put_back, set_aside, table
+from .common import put_back, released, set_aside, table
 
 #: Words of a window of an item; every shared span of so many words is found.
 WINDOW_WORDS = 10
@@ -208,7 +208,7 @@ def with_hits(docs: DataFrame, index: Index, text: str = "text", window: int = W
                 columns[names.index(name)] = pa.array(values, kind)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(each, schema)
+    return docs.mapInArrow(lambda batches: released(each(batches)), schema)
 
 
 def blocks(benchmark: DataFrame, item_col: str, text: str, most: int) -> Iterator[list[tuple[int, str | None]]]:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from .common import put_back, set_aside, table
+from .common import kept, put_back, released, set_aside, table
 
 #: Documents whose crc32(doc_id as text) leaves 0 are held out of learning.
 FOLDS = 5
@@ -221,16 +221,9 @@ class Labeller:
         return list(zip(words, np.split(labels, np.cumsum(lengths)[:-1])))
 
 
-_labellers: dict[tuple[str, float], Labeller] = {}
-
-
 def labeller_of(model: Model, switch: float) -> Labeller:
     """One labeller for all tasks of a worker that use a model, with the words that it remembers."""
-    key = (model.key, switch)
-    if key not in _labellers:
-        _labellers.clear()
-        _labellers[key] = Labeller(model, switch)
-    return _labellers[key]
+    return kept(("labeller", model.key, switch), lambda: Labeller(model, switch))
 
 
 def slices(texts: list[str | None], most: int = SLICE_CHARS) -> Iterator[list[str | None]]:
@@ -341,7 +334,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", switch: float = S
             columns = [*batch.columns, pa.array(best, pa.string()), pa.array(share, pa.float64()), pa.array(runs, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(each, schema)
+    return docs.mapInArrow(lambda batches: released(each(batches)), schema)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,5 +353,5 @@ def langid_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows that repeat share their fate; null ids, sources and languages don't matter; other columns stay, whatever their names; an empty table stays empty.
     """
     clear, names = set_aside(docs, *MADE)
-    kept = predict(clear, trained(clear)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return put_back(kept, docs.columns, names)
+    stay = predict(clear, trained(clear)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return put_back(stay, docs.columns, names)

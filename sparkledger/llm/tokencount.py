@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import functools
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import set_aside, table, written
+from .common import kept, set_aside, table, written
 
 #: Pre-tokens of a leaf, and characters from which a leaf is split.
 LEAF, LARGE = 64, 4096
@@ -54,10 +53,9 @@ class Counter:
         return sum([known(p) or count(p) for p in pieces])
 
 
-@functools.lru_cache(maxsize=1)
 def counter_of(path: str, pattern: str | None = None) -> Counter:
     """One counter for all tasks of a worker, with what it remembers."""
-    return Counter(path, pattern)
+    return kept(("counter", path, pattern), lambda: Counter(path, pattern))
 
 
 class TokenTree:
@@ -201,7 +199,7 @@ def trees(docs: DataFrame, text: str = "text", tokenizer: str | None = None, pat
     return docs.mapInArrow(each, StructType([*docs.schema.fields, *(StructField(c, ArrayType(LongType())) for c in LEAVES)]))
 
 
-def edited(kept: DataFrame, edits: Column, text: str = "text", tokenizer: str | None = None, pattern: str | None = None, counts_only: bool = False) -> DataFrame:
+def edited(stored: DataFrame, edits: Column, text: str = "text", tokenizer: str | None = None, pattern: str | None = None, counts_only: bool = False) -> DataFrame:
     """Kept trees after edits, with n_reencoded: the leaves that edits reached, and no others were encoded. Rows without edits are passed on as they are.
 
     edits: an array of structs (start, end, replacement), applied in turn to the text as it then is, in code points; places
@@ -209,10 +207,10 @@ def edited(kept: DataFrame, edits: Column, text: str = "text", tokenizer: str |
     the result can be kept in place of the table. counts_only: neither, but n_edited, the tokens after the edits.
     """
     path = tokenizer or default_tokenizer()
-    kept, _ = set_aside(kept, "n_edited", "n_reencoded", "_edits", keep=(text,))
-    own = [f for f in kept.schema.fields if f.name not in (text, *LEAVES)]
+    stored, _ = set_aside(stored, "n_edited", "n_reencoded", "_edits", keep=(text,))
+    own = [f for f in stored.schema.fields if f.name not in (text, *LEAVES)]
     names = [f.name for f in own]
-    given = kept.select(*names, F.col(text).alias("_text"), *LEAVES, edits.cast(KIND).alias("_edits"))
+    given = stored.select(*names, F.col(text).alias("_text"), *LEAVES, edits.cast(KIND).alias("_edits"))
     n = len(names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,10 +251,10 @@ def token_counts(docs: DataFrame, edits: Column | None = None, text: str = "text
     """
     docs, _ = set_aside(docs, *MADE, *LEAVES, "_text", "_edits", keep=(text,))
     rest = [c for c in docs.columns if c != text]
-    kept = written(trees(docs, text, tokenizer, pattern), "trees").withColumns({"n_tokens": total("leaf_tokens"), "n_leaves": F.size("leaf_chars").cast("long")})
+    stored = written(trees(docs, text, tokenizer, pattern), "trees").withColumns({"n_tokens": total("leaf_tokens"), "n_leaves": F.size("leaf_chars").cast("long")})
     if edits is None:
-        return kept.select(*rest, "n_tokens", F.col("n_tokens").alias("n_edited"), "n_leaves", F.lit(0).cast("long").alias("n_reencoded"))
-    return edited(kept, edits, text, tokenizer, pattern, counts_only=True).select(*rest, *MADE)
+        return stored.select(*rest, "n_tokens", F.col("n_tokens").alias("n_edited"), "n_leaves", F.lit(0).cast("long").alias("n_reencoded"))
+    return edited(stored, edits, text, tokenizer, pattern, counts_only=True).select(*rest, *MADE)
 
 
 def revision(text: Column) -> Column:

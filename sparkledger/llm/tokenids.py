@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import functools
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -15,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import idcoder
-from .common import shared_folder, table
+from .common import kept, new_path, released, table
 
 END_ID = 2
 #: Words that are treated here: ASCII, Latin letters and common marks.
@@ -193,10 +191,9 @@ def sliced(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
         at = end
 
 
-@functools.lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
     """One encoder for all tasks of a worker, with what it remembers."""
-    return Encoder(path)
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 FRAME_SCHEMA = "part int, frame int, first long, n_docs int, n_ids long, docs binary, payload binary"
@@ -251,7 +248,7 @@ def frames(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     tie = F.xxhash64("text")
     dealt = rows.repartitionByRange(parts, F.asc_nulls_first("id"), tie) if parts else rows.repartitionByRange(F.asc_nulls_first("id"), tie)
-    return dealt.sortWithinPartitions(F.asc_nulls_first("id"), tie).mapInArrow(each, FRAME_SCHEMA)
+    return dealt.sortWithinPartitions(F.asc_nulls_first("id"), tie).mapInArrow(lambda batches: released(each(batches)), FRAME_SCHEMA)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, **options) -> str:
@@ -295,7 +292,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
                     columns.append(pa.array([ids[a:b].astype(np.int64) for a, b in zip(starts, ends)], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    return stored.mapInArrow(each, schema)
+    return stored.mapInArrow(lambda batches: released(each(batches)), schema)
 
 
 def token_ids(docs: DataFrame, tokenizer: str | None = None, **options) -> DataFrame:
@@ -304,7 +301,7 @@ def token_ids(docs: DataFrame, tokenizer: str | None = None, **options) -> DataF
     Null and empty texts have the end id alone. Rows whose id is null come first; ids that repeat give a row each.
     An empty table gives none. Very long texts have a frame of their own. Other columns are ignored.
     """
-    path = f"{shared_folder(docs.sparkSession)}/ids-{uuid.uuid4().hex}"
+    path = new_path(docs.sparkSession, "ids")
     return read_ids(docs.sparkSession, write_ids(docs, path, tokenizer, **options))
 
 

@@ -52,3 +52,10 @@ def test_native_plan_and_empty(spark):
     out = chat.format_chats(spark.createDataFrame([], SCHEMA))
     assert out.count() == 0 and out.columns == ["conv_id", "part", "n_turns", "rendered"]
     assert "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_one_row_for_each_conversation(spark):
+    df = spark.createDataFrame([(1, i, "user", f"t{i}") for i in range(700)] + [(2, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    whole = {r.conv_id: r for r in chat.format_chats(df, part_turns=None).collect()}
+    parts = sorted(chat.format_chats(df).where("conv_id = 1").collect(), key=lambda r: r.part)
+    assert len(whole) == 2 and len(parts) == 3 and whole[1].n_turns == 700 and whole[1].rendered == "".join(r.rendered for r in parts)

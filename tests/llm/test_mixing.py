@@ -1,7 +1,9 @@
 import re
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sparkledger.llm import mixing
@@ -99,6 +101,66 @@ def test_against_plain_raking(spark):
     assert got.keys() == w.keys() and all(got[k] == pytest.approx(w[k], rel=1e-5) for k in w)
 
 
+def plain_topic(t):
+    if not t:
+        return "empty"
+    for name, signs in (("legal", ("License", "Copyright")), ("promotion", ("!!",)), ("data", "0123456789")):
+        if any(x in t for x in signs):
+            return name
+    return "prose"
+
+
+def plain_draw(doc_id, text):
+    """Hashes chained as they are defined, over the bytes themselves."""
+    one = xxhash.xxh64_intdigest
+    inner = 42 if text is None else one(text.encode(), 42)
+    h = one(struct.pack("<i", mixing.SEED), 42)
+    h = h if doc_id is None else one(struct.pack("<q", doc_id), h)
+    h = one(struct.pack("<Q", inner), h)
+    return (h % (1 << 52)) / (1 << 52)
+
+
+def test_query_against_plain_probabilities_and_draws(spark):
+    data = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{data}/documents.parquet").collect()
+    name = lambda x: "(null)" if x is None else str(x)
+    cell = {r.doc_id: (name(r.source), name(r.lang), plain_topic(r.text)) for r in rows}
+    tokens = {r.doc_id: len(re.findall(r"[^ \t\n\x0b\f\r]+", r.text or "")) for r in rows}
+    cells = {}
+    for d, k in cell.items():
+        cells[k] = cells.get(k, 0) + tokens[d]
+    total = sum(cells.values())
+    goals = []
+    for i in range(3):
+        share = {}
+        for k, t in cells.items():
+            share[k[i]] = share.get(k[i], 0) + t / total
+        raw = {k: v**0.7 if v else 0.0 for k, v in share.items()}
+        goals.append({k: v / sum(raw.values()) for k, v in raw.items()})
+    w = dict.fromkeys(cells, 1.0)
+    for _ in range(200):
+        worst = 0.0
+        for i in range(3):
+            now = {}
+            for k in cells:
+                now[k[i]] = now.get(k[i], 0) + w[k] * cells[k] / total
+            worst = max(worst, *(abs(goals[i][x] - now[x]) for x in now))
+            w = {k: w[k] * (goals[i][k[i]] / now[k[i]] if now[k[i]] else 0.0) for k in cells}
+        if worst < 1e-9:
+            break
+    low, high = 0.0, 1e9
+    for _ in range(300):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(min(1.0, c * w[k]) * cells[k] for k in cells) < 0.5 * total else (low, c)
+    prob = {k: min(1.0, c * w[k]) if cells[k] else 0.5 for k in cells}
+    got = {r.doc_id: r for r in mixing.op8_mixing(spark, data).collect()}
+    assert got.keys() == cell.keys() and 0.3 * len(rows) < sum(r.sampled for r in got.values()) < 0.8 * len(rows)
+    for r in rows:
+        g, k = got[r.doc_id], cell[r.doc_id]
+        assert (g.topic, g.n_tokens) == (k[2], tokens[r.doc_id]) and g.prob == pytest.approx(prob[k], rel=1e-5)
+        assert g.sampled == (plain_draw(r.doc_id, r.text) < prob[k]) or abs(plain_draw(r.doc_id, r.text) - prob[k]) < 1e-6
+
+
 def test_scale():
     w, t = np.array([4.0, 1.0, 0.5]), np.array([10.0, 50.0, 40.0])
     c = mixing.scale(w, t, 50.0)
