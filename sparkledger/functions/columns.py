@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -143,6 +143,30 @@ def _quoted(s: str) -> str:
     return "\\Q" + s + "\\E"
 
 
+#: Values that are summed in one inner array.
+CHUNK = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(sizes: Column) -> Column:
+    """For each size of a list the sum of those before it: over chunks, then inside each, so long lists aren't copied once per size."""
+
+    def ahead(values: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(values, zero, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
+
+    def summed(own: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1)), F.lit(CHUNK))
+        bases = ahead(F.transform(firsts, lambda i: F.aggregate(F.slice(own, i, CHUNK), F.lit(0), lambda a, x: a + x)), F.lit(0))
+        return let(bases, lambda known: F.flatten(F.transform(firsts, lambda i: ahead(F.slice(own, i, CHUNK), F.get(known, ((i - 1) / CHUNK).cast("int"))))))
+
+    return let(sizes, summed)
+
+
 def line_of(text: Column, position: Column) -> Column:
     """1-based line of a 1-based place in a text."""
     return F.size(F.split(F.substring(text, F.lit(1), position - 1), "\n"))

@@ -48,17 +48,20 @@ RULES = (
 
 def matches(body: Column, r: Rule) -> Column:
     """Structs (rule_id, category, value, at) of a rule's matches; at is the value's 1-based place."""
-    outside, whole, value = F.split(body, r.pattern), F.regexp_extract_all(body, F.lit(r.pattern), F.lit(0)), F.regexp_extract_all(body, F.lit(r.pattern), F.lit(r.groups))
-    length = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
-
-    def one(v: Column, i: Column) -> Column:
-        at = length(F.slice(outside, F.lit(1), i + 1)) + length(F.slice(whole, F.lit(1), i)) + F.call_function("instr", F.get(whole, i), v)
-        return F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), v.alias("value"), at.alias("at"))
+    found = F.struct(F.split(body, r.pattern).alias("outside"), F.regexp_extract_all(body, F.lit(r.pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(body, F.lit(r.pattern), F.lit(r.groups)).alias("value"))
 
     def keep(x: Column) -> Column:
         return (x["value"] != "") & (C.entropy(x["value"]) >= r.entropy_min) if r.entropy_min else x["value"] != ""
 
-    return F.filter(F.transform(value, one), keep)
+    def placed(m: Column) -> Column:
+        # a match starts where all that lies outside of and inside of matches before it ends
+        before = F.transform(m["outside"], lambda p, i: F.length(p) + F.coalesce(F.length(F.get(m["whole"], i - 1)), F.lit(0)))
+        return C.let(before, lambda sizes: C.let(F.zip_with(C.running(sizes), sizes, lambda x, y: x + y), lambda starts: F.filter(F.transform(m["value"], lambda v, i: one(v, F.get(starts, i), F.get(m["whole"], i))), keep)))
+
+    def one(v: Column, start: Column, whole: Column) -> Column:
+        return F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), v.alias("value"), (start + F.call_function("instr", whole, v)).alias("at"))
+
+    return C.let(found, placed)
 
 
 def candidates(texts: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
@@ -82,13 +85,16 @@ def candidates(texts: DataFrame, rules: Sequence[Rule] = RULES, text: str = "tex
 
 
 def at_methods(found: DataFrame, methods: DataFrame, file: str = "file_path") -> DataFrame:
-    """found with the method whose lines hold it: the innermost, that which starts last. Files are equal first, then lines are compared."""
+    """found with the method whose lines hold it: the innermost, that which starts last. Rows that repeat stay, each alone.
+
+    Methods are sought for each place (file and line) once, however many findings it has; files are equal first, then lines are compared.
+    """
     m = methods.select(F.col(file).alias("_file"), F.col("fqcn").alias("_fqcn"), F.col("method").alias("_method"), F.col("begin_line").alias("_begin"), F.col("end_line").alias("_end"))
-    inside = (found[file] == m["_file"]) & (found["begin_line"] >= m["_begin"]) & (found["begin_line"] <= m["_end"])
-    keys = [c for c in found.columns]
-    joined = found.join(m, inside, "left")
+    places = found.select(F.col(file).alias("_path"), F.col("begin_line").alias("_line")).distinct()
+    inside = (F.col("_path") == F.col("_file")) & (F.col("_line") >= F.col("_begin")) & (F.col("_line") <= F.col("_end"))
     best = F.max_by(F.struct(F.col("_fqcn").alias("fqcn"), F.col("_method").alias("method")), F.struct("_begin", "_method"))
-    return joined.groupBy(*keys).agg(best.alias("m"), F.count("*").alias("_n")).select(*keys, "m.fqcn", "m.method")
+    owners = places.join(m, inside).groupBy("_path", "_line").agg(best.alias("_m"))
+    return found.join(owners, (found[file] == F.col("_path")) & (found["begin_line"] == F.col("_line")), "left").select(*found.columns, "_m.fqcn", "_m.method")
 
 
 def min_score(found: DataFrame, least: float, score: str = "credibility_score") -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .delta import last_of
 from .records import valid_suggestions
 
+#: Override rows are numbered by stretches of so many places.
+STRETCH = 1 << 16
 AI = "struct<relevant:boolean,display_name:string,tags:array<string>,reason:string,confidence:double,interaction_score:double>"
 
 
@@ -98,9 +100,14 @@ def upserted(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("fqcn", "m
     for k in keys:
         on = on & F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}"))
     both = a.join(b, on, "full_outer").withColumn("row", F.coalesce("new", "old"))
-    # an override file is a document that people keep: it is numbered in one window
-    order = Window.orderBy(F.asc_nulls_last("old_pos"), "new_pos")
-    return both.select((F.row_number().over(order) - 1).alias("pos"), *[F.coalesce(f"a_{k}", f"b_{k}").alias(k) for k in keys], "row.*")
+    # places are numbered inside stretches; only the stretches' sizes are summed in one window
+    placed = both.withColumns({"late": F.col("old_pos").isNull(), "stretch": F.floor(F.coalesce("old_pos", "new_pos") / STRETCH)})
+    sizes = placed.groupBy("late", "stretch").agg(F.count("*").alias("size"))
+    before = Window.orderBy("late", "stretch").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("late", "stretch", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("ahead"))
+    within = F.row_number().over(Window.partitionBy("late", "stretch").orderBy("old_pos", "new_pos", *[F.coalesce(f"a_{k}", f"b_{k}") for k in keys]))
+    numbered = placed.withColumn("within", within).join(offsets, ["late", "stretch"])
+    return numbered.select((F.col("ahead") + F.col("within") - 1).cast("int").alias("pos"), *[F.coalesce(f"a_{k}", f"b_{k}").alias(k) for k in keys], "row.*")
 
 
 def classified(classes: DataFrame, model: Callable[[str, str], str], fqcn: str = "fqcn", source: str = "source") -> DataFrame:

@@ -27,11 +27,32 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+def columns_of(names: dict[str, str], sql: str, distinct: bool = False):
+    """Registers queries by name, each with some columns of one computation and of its SQL."""
+
+    def register(f):
+        for name, own in names.items():
+            cut = lambda spark, d, own=own: _cut(f(spark, d), own, distinct)
+            QUERIES[name] = cut
+            ORACLE_SQL[name] = f"SELECT {'DISTINCT ' if distinct else ''}{own} FROM ({sql})"
+        return f
+
+    return register
+
+
+def _cut(df: DataFrame, own: str, distinct: bool) -> DataFrame:
+    out = df.select(*own.split(", "))
+    return out.distinct() if distinct else out
+
+
 def j(c) -> F.Column:
     return F.array_join(c, ";")
 
 
+#: Characters of a class's name by which places are dealt.
+HEAD = 7
 M, S = "WITH " + V.METHODS_SQL, "WITH " + V.SCANS_SQL
+NUM = "CAST(CAST(round({}, 1) AS DECIMAL(9, 1)) AS VARCHAR)"
 AT = "array_to_string({}, ';')".format
 # --- change sets
 
@@ -85,13 +106,20 @@ def sink_delta_text(spark, d):
     return c.select("fqcn", "method", delta.line(F.col("change"), F.col("fqcn"), F.col("method"), F.col("changed_fields"), F.col("before"), F.col("after")).alias("line"))
 
 
-@query(S + FIELDS_SQL + ", e AS (SELECT fqcn, method, change FROM compared WHERE change <> 'UNCHANGED') SELECT fqcn, method, change, row_number() OVER (PARTITION BY fqcn ORDER BY method) AS nth FROM e")
+@query(S + FIELDS_SQL + ", e AS (SELECT fqcn, method, change FROM compared WHERE change <> 'UNCHANGED') SELECT fqcn, method, change, row_number() OVER (ORDER BY fqcn, method) AS nth FROM e")
 def sort_delta(spark, d):
-    """The order of the report, as each entry's place in its class."""
+    """The order of the report, as each entry's place in it: places in a class after the sizes of the classes before."""
     from pyspark.sql import Window
 
     e = delta.entries(compared(spark, d)).select("fqcn", "method", "change")
-    return e.withColumn("nth", F.row_number().over(Window.partitionBy("fqcn").orderBy("method")).cast("long"))
+    sizes = e.groupBy("fqcn").agg(F.count("*").alias("size"))
+    # classes are dealt by their first letters, so only the sizes of these stretches are summed in one window
+    head = F.substring("fqcn", 1, HEAD)
+    stretches = sizes.groupBy(head.alias("head")).agg(F.sum("size").alias("whole")).withColumn("base", F.coalesce(F.sum("whole").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = Window.partitionBy("head").orderBy("fqcn").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.withColumn("head", head).withColumn("ahead", F.coalesce(F.sum("size").over(before), F.lit(0))).join(stretches, "head").select("fqcn", (F.col("base") + F.col("ahead")).alias("ahead"))
+    within = F.row_number().over(Window.partitionBy("fqcn").orderBy("method"))
+    return e.withColumn("within", within).join(placed, "fqcn").select("fqcn", "method", "change", (F.col("ahead") + F.col("within")).cast("long").alias("nth"))
 
 
 # --- filters and projections of rows
@@ -176,7 +204,13 @@ def project_tags_removed(spark, d):
     return V.methods(spark, d).select("fqcn", "method", C.tag_difference(F.col("ai_tags"), F.col("tags")).alias("tags_removed"))
 
 
-QUERIES["set_difference_tags"], ORACLE_SQL["set_difference_tags"] = project_tags_added, ORACLE_SQL["project_tags_added"]
+@query(M + f" SELECT method, {ADDED_SQL} AS only_in_source, {REMOVED_SQL} AS only_in_model, len(list_filter(tags, lambda t: list_contains(coalesce(ai_tags, []), t)))::INTEGER AS in_both FROM methods")
+def set_difference_tags(spark, d):
+    """Both differences of a method's own and suggested tags, and how many they share."""
+    a, b = F.col("tags"), F.col("ai_tags")
+    shared = F.size(F.filter(a, lambda t: F.coalesce(F.array_contains(b, t), F.lit(False))))
+    return V.methods(spark, d).select("method", C.tag_difference(a, b).alias("only_in_source"), C.tag_difference(b, a).alias("only_in_model"), shared.alias("in_both"))
+
 
 
 @query(M + " SELECT method, CASE WHEN seq % 10 = 0 THEN 'PENDING_SAVE' WHEN rel IS NULL THEN 'NO_AI' WHEN NOT rel THEN 'NOT_SECURITY' WHEN len(ai_tags) = 0 THEN 'OK' WHEN len(list_filter(ai_tags, lambda t: NOT list_contains(tags, t))) > 0 THEN 'NEEDS_REVIEW' ELSE 'OK' END AS status FROM methods")
@@ -192,23 +226,18 @@ def project_desired_state(spark, d):
     return w.select("method", j("want_tags").alias("want_tags"), "want_display_name", "promoted")
 
 
-@query(M + " SELECT method, begin_line + loc - begin_line AS loc, CASE WHEN begin_line > 0 THEN begin_line END AS line, 'cust.' || split_part(fqcn, '.', 2) AS fqcn FROM methods")
+@columns_of({"project_loc": "method, loc", "project_target_method": "method, line", "project_fqcn": "method, fqcn"}, M + " SELECT method, 2 * loc + 1 AS loc, CASE WHEN begin_line > 0 THEN begin_line END AS line, 'cust.' || split_part(fqcn, '.', 2) AS fqcn FROM methods")
 def project_loc(spark, d):
-    m = V.methods(spark, d).withColumn("end_line", F.expr("begin_line + loc - 1"))
+    m = V.methods(spark, d).withColumn("end_line", F.expr("begin_line + 2 * loc"))
     return m.select("method", C.loc_of(F.col("begin_line"), F.col("end_line")).alias("loc"), C.positive_line(F.col("begin_line")).alias("line"), C.fqcn_of(F.substring_index("fqcn", ".", 1), F.substring_index("fqcn", ".", -1)).alias("fqcn"))
 
 
-for _name in ("project_target_method", "project_fqcn"):
-    QUERIES[_name], ORACLE_SQL[_name] = project_loc, ORACLE_SQL["project_loc"]
-
-
-@query(M + " SELECT DISTINCT file_path, replace(regexp_replace(replace(file_path, 'src/', ''), '\\.java$', ''), '/', '.') AS file_stem, replace(fqcn, '.', '/') || '.java' AS uri FROM methods")
+@columns_of({"project_file_stem": "file_path, file_stem", "fn_artifact_uri": "uri"}, M + " SELECT DISTINCT file_path, replace(regexp_replace(replace(file_path, 'src/', ''), '\\.java$', ''), '/', '.') AS file_stem, replace(fqcn, '.', '/') || '.java' AS uri FROM methods", distinct=True)
 def project_file_stem(spark, d):
     m = V.methods(spark, d)
     return m.select("file_path", C.file_stem(F.col("file_path"), "src", [".java", "va"]).alias("file_stem"), C.artifact_uri(F.col("fqcn")).alias("uri")).distinct()
 
 
-QUERIES["fn_artifact_uri"], ORACLE_SQL["fn_artifact_uri"] = project_file_stem, ORACLE_SQL["project_file_stem"]
 SCORE = "CASE WHEN vec_id % 7 <> 0 THEN CAST(vec_id % 13 AS DOUBLE) / 11 END"
 
 
@@ -260,12 +289,12 @@ def join_controls(spark, d):
 
 @query(COVER + " SELECT control FROM declared WHERE control NOT IN (SELECT control FROM covered)")
 def set_gaps(spark, d):
-    return coverage.gaps(covered(spark, d), V.mapping(spark, d), V.FRAMEWORK)
+    return coverage.gaps(coverage.covered_controls(V.methods(spark, d), V.mapping(spark, d), V.FRAMEWORK, 0.5), V.mapping(spark, d), V.FRAMEWORK)
 
 
 @query(COVER + ", n AS (SELECT count(*) AS total, count(*) FILTER (control IN (SELECT control FROM covered)) AS covered FROM declared) SELECT total, covered, total - covered AS uncovered, floor(covered / total * 10000 + 0.5) / 100 AS percent FROM n")
 def agg_coverage_stats(spark, d):
-    return coverage.statistics(covered(spark, d), V.mapping(spark, d), V.FRAMEWORK)
+    return coverage.statistics(coverage.covered_controls(V.methods(spark, d), V.mapping(spark, d), V.FRAMEWORK, 0.5), V.mapping(spark, d), V.FRAMEWORK)
 
 
 @query(COVER + " SELECT control, chapter, chapter_title FROM declared")
@@ -275,15 +304,15 @@ def agg_chapter_first(spark, d):
 
 @query(COVER + " SELECT fqcn, method, array_to_string(list_filter(methods.tags, lambda t: list_contains(known.tags, t)), ';') AS tags FROM methods, known")
 def semi_mappable(spark, d):
-    known = coverage.known_tags(V.mapping(spark, d)).agg(F.collect_set("tag").alias("known"))
-    # one row with the mapping's tags, which a framework bounds
-    return V.methods(spark, d).join(F.broadcast(known), F.lit(True)).select("fqcn", "method", j(coverage.mappable(F.col("tags"), F.col("known"))).alias("tags"))
+    return coverage.with_mapped_tags(V.methods(spark, d), V.mapping(spark, d)).select("fqcn", "method", j("source_tags").alias("tags"))
 
 
-@query(COVER + ", r AS (SELECT control, count(*) AS n FROM covered GROUP BY control) SELECT r.control, chapter, chapter_title, n AS n_tests FROM r JOIN declared USING (control)")
+@query(COVER + ", j AS (SELECT c.control, c.method, c.tag, c.tag_source, c.confidence, array_to_string(c.merged, ';') AS tags, m.seq FROM covered c JOIN methods m USING (fqcn, method)), r AS (SELECT control, string_agg(method || ' ' || tag || ' ' || tags || ' ' || tag_source || ' ' || round(confidence, 2), '|' ORDER BY seq, tag) AS tests FROM j GROUP BY control) SELECT r.control, chapter, chapter_title, tests FROM r JOIN declared USING (control)")
 def sink_coverage(spark, d):
     rep = coverage.report(covered(spark, d), V.mapping(spark, d), V.FRAMEWORK)
-    return rep.select("control", "chapter", "chapter_title", F.size("tests").cast("long").alias("n_tests"))
+    one = lambda t: F.concat_ws(" ", t["method"], t["tag"], j(t["tags"]), t["tag_source"], F.round(t["confidence"], 2).cast("string"))
+    parts = rep.groupBy("control", "chapter", "chapter_title").agg(F.sort_array(F.collect_list(F.struct("part", F.array_join(F.transform("tests", one), "|").alias("text")))).alias("parts"))
+    return parts.select("control", "chapter", "chapter_title", F.array_join(F.transform("parts", lambda p: p["text"]), "|").alias("tests"))
 
 
 @query(COVER + " SELECT control, row_number() OVER (ORDER BY control) AS nth FROM (SELECT DISTINCT control FROM declared)")
@@ -443,7 +472,12 @@ def set_union_roots(spark, d):
     return b.select("fqcn", "method", F.lit("before").alias("root")).unionByName(a.select("fqcn", "method", F.lit("after").alias("root")))
 
 
-QUERIES["project_source_root"], ORACLE_SQL["project_source_root"] = set_union_roots, ORACLE_SQL["set_union_roots"]
+@query(M + " SELECT fqcn, method, 'r' || (seq % 3) || '/' AS source_root FROM methods")
+def project_source_root(spark, d):
+    """The column that tells which root a row comes from."""
+    m = V.methods(spark, d).withColumn("source_root", F.expr("'r' || (seq % 3) || '/'"))
+    return lines.csv_rows(m, source_root=True).select("fqcn", "method", "source_root")
+
 
 # --- aggregates
 
@@ -494,12 +528,11 @@ def sink_ai_archive(spark, d):
 # --- scalar functions
 
 
-@query("SELECT doc_id, sha256(text) AS digest, sha256('a' || chr(0) || text || chr(0) || 'b') AS signature FROM documents WHERE text IS NOT NULL")
+@columns_of({"fn_sha256_text": "doc_id, digest", "fn_prompt_signature": "doc_id, signature"}, "SELECT doc_id, sha256(text) AS digest, sha256('a' || chr(0) || text || chr(0) || 'b') AS signature FROM documents WHERE text IS NOT NULL")
 def fn_sha256_text(spark, d):
     return V.classes(spark, d).select("doc_id", C.sha256_text(F.col("text")).alias("digest"), C.prompt_signature(F.lit("a"), F.col("text"), F.lit("b")).alias("signature"))
 
 
-QUERIES["fn_prompt_signature"], ORACLE_SQL["fn_prompt_signature"] = fn_sha256_text, ORACLE_SQL["fn_sha256_text"]
 
 
 @query("SELECT c_custkey, sha256('model=' || c_mktsegment || chr(10) || 'name=' || chr(10) || 'region=' || c_nationkey || chr(10)) AS digest FROM customer")
@@ -510,34 +543,28 @@ def fn_config_hash(spark, d):
 RAW = "CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' true ' WHEN 3 THEN 'yes' WHEN 4 THEN ' 12 ' WHEN 5 THEN '3.5;a; b ;;c' ELSE 'x,; y ,z;' || p_size END"
 
 
-@query(f"WITH r AS (SELECT p_partkey, {RAW} AS s FROM part) SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(coalesce(s, ''), ';'), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts, array_to_string(list_filter(list_transform(string_split(coalesce(s, ''), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS commas, coalesce(try_cast(trim(s) AS INTEGER), 0) AS number, try_cast(trim(s) AS DOUBLE) AS real_, CASE WHEN s <> '' THEN lower(trim(s)) = 'true' END AS flag FROM r".replace("coalesce(try_cast(trim(s) AS INTEGER), 0)", "CASE WHEN regexp_full_match(trim(s), '[-+]?[0-9]+') THEN CAST(trim(s) AS INTEGER) ELSE 0 END"))
+@columns_of({"fn_split_semicolon": "p_partkey, parts", "fn_parse_override_tags": "p_partkey, commas", "fn_parse_int": "p_partkey, number", "fn_parse_double": "p_partkey, real_", "fn_parse_boolean": "p_partkey, flag"}, f"WITH r AS (SELECT p_partkey, {RAW} AS s FROM part) SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(coalesce(s, ''), ';'), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts, array_to_string(list_filter(list_transform(string_split(coalesce(s, ''), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS commas, coalesce(try_cast(trim(s) AS INTEGER), 0) AS number, try_cast(trim(s) AS DOUBLE) AS real_, CASE WHEN s <> '' THEN lower(trim(s)) = 'true' END AS flag FROM r".replace("coalesce(try_cast(trim(s) AS INTEGER), 0)", "CASE WHEN regexp_full_match(trim(s), '[-+]?[0-9]+') THEN CAST(trim(s) AS INTEGER) ELSE 0 END"))
 def fn_split_semicolon(spark, d):
     r = V.table(spark, d, "part").select("p_partkey", F.expr(RAW).alias("s"))
     s = F.col("s")
     return r.select("p_partkey", F.array_join(C.split_list(s), "|").alias("parts"), F.array_join(C.split_list(s, ","), "|").alias("commas"), C.parse_int(s).alias("number"), C.parse_double(s).alias("real_"), C.parse_boolean(s).alias("flag"))
 
 
-for _name in ("fn_parse_int", "fn_parse_double", "fn_parse_boolean", "fn_parse_override_tags"):
-    QUERIES[_name], ORACLE_SQL[_name] = fn_split_semicolon, ORACLE_SQL["fn_split_semicolon"]
-
-
-@query(S + " SELECT b.method, coalesce(b.display_name, '') = coalesce(a.display_name, '') AS same_name, coalesce(b.content_hash <> a.content_hash, false) AS changed FROM scan_before b JOIN scan_after a ON b.fqcn = a.fqcn AND b.method = a.method")
+@columns_of({"fn_display_name_eq": "method, same_name", "fn_both_present_changed": "method, changed"}, S + " SELECT b.method, coalesce(b.display_name, '') = coalesce(a.display_name, '') AS same_name, coalesce(b.content_hash <> a.content_hash, false) AS changed FROM scan_before b JOIN scan_after a ON b.fqcn = a.fqcn AND b.method = a.method")
 def fn_display_name_eq(spark, d):
     b, a = (x.select("fqcn", "method", F.struct("display_name", "content_hash").alias(n)) for n, x in zip("ba", V.scans(spark, d)))
     return b.join(a, ["fqcn", "method"]).select("method", C.same_text(F.col("b.display_name"), F.col("a.display_name")).alias("same_name"), C.both_changed(F.col("b.content_hash"), F.col("a.content_hash")).alias("changed"))
 
 
-QUERIES["fn_both_present_changed"], ORACLE_SQL["fn_both_present_changed"] = fn_display_name_eq, ORACLE_SQL["fn_display_name_eq"]
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(t, '^[=+\\-@]|[,"\\n\\r]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END AS csv, replace(replace(replace(t, '%', '%25'), chr(13), '%0D'), chr(10), '%0A') AS message,
+@columns_of({"csv_escape": "doc_id, csv", "fn_gh_escape": "doc_id, message, property"}, """SELECT doc_id, CASE WHEN regexp_matches(t, '^[=+\\-@]|[,"\\n\\r]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END AS csv, replace(replace(replace(t, '%', '%25'), chr(13), '%0D'), chr(10), '%0A') AS message,
     replace(replace(replace(replace(replace(t, '%', '%25'), chr(13), '%0D'), chr(10), '%0A'), ':', '%3A'), ',', '%2C') AS property FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '=' || text WHEN 1 THEN 'plain' ELSE text END AS t FROM documents WHERE text IS NOT NULL)""")
 def csv_escape(spark, d):
     t = V.classes(spark, d).select("doc_id", F.expr("CASE doc_id % 4 WHEN 0 THEN '=' || text WHEN 1 THEN 'plain' ELSE text END").alias("t"))
     return t.select("doc_id", C.csv_escape(F.col("t")).alias("csv"), C.annotation_message(F.col("t")).alias("message"), C.annotation_property(F.col("t")).alias("property"))
 
 
-QUERIES["fn_gh_escape"], ORACLE_SQL["fn_gh_escape"] = csv_escape, ORACLE_SQL["csv_escape"]
 
 
 @query("SELECT DISTINCT p_type, array_to_string(list_transform(regexp_split_to_array(lower(replace(p_type, ' ', '-')), '[/-]'), lambda p: upper(p[1:1]) || p[2:]), '') AS name FROM part")
@@ -576,33 +603,53 @@ def fn_extract_json(spark, d):
 
 # --- findings
 
-TOKENS = """WITH t AS (SELECT doc_id, text, unnest(regexp_extract_all(text, 'token = "([0-9a-f]{40})"', 1)) AS value FROM documents WHERE contains(text, 'token'))"""
+ENTROPY = "list_sum(list_transform(list_distinct(string_split(value, '')), lambda c: -(length(value) - length(replace(value, c, ''))) / CAST(length(value) AS DOUBLE) * log2((length(value) - length(replace(value, c, ''))) / CAST(length(value) AS DOUBLE))))"
 
 
-@query(TOKENS + " SELECT doc_id, value FROM t")
-def match_rule_regex(spark, d):
-    return findings.candidates(V.classes(spark, d).select("doc_id", "text"), [findings.RULES[0]]).select("doc_id", "value")
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def places_sql(r: findings.Rule) -> str:
+    """Every match of a rule with its place: what lies outside of and inside of the matches before it is added up."""
+    anchors = " OR ".join(f"contains(text, {quoted(a)})" for a in r.anchors) or "true"
+    p = quoted(r.pattern)
+    at = "list_sum(list_transform(outside[1:i], lambda o: length(o))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda o: length(o))), 0) + instr(whole[i], vs[i])"
+    return f"""SELECT doc_id, {quoted(r.id)} AS rule_id, {quoted(r.category)} AS category, {r.entropy_min} AS least, vs[i] AS value, text[1:CAST({at} AS BIGINT) - 1] AS head FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS i FROM (
+        SELECT doc_id, text, regexp_extract_all(text, {p}, {r.groups}) AS vs, regexp_extract_all(text, {p}, 0) AS whole, regexp_split_to_array(text, {p}) AS outside FROM documents WHERE text IS NOT NULL AND ({anchors})))"""
+
 
+FOUND = "WITH matched AS (" + " UNION ALL ".join(places_sql(r) for r in findings.RULES) + f"""), scored AS (
+    SELECT doc_id, rule_id, category, value, least, CAST(len(string_split(head, chr(10))) AS INTEGER) AS begin_line, CAST(length(string_split(head, chr(10))[-1]) + 1 AS INTEGER) AS begin_column, {ENTROPY} AS entropy FROM matched WHERE value <> ''
+), found AS (SELECT * FROM scored WHERE entropy >= least)"""
+MASKED = "CASE WHEN length(value) < 9 THEN repeat('*', length(value)) ELSE value[1:2] || repeat('*', length(value) - 4) || value[-2:] END"
 
-ENTROPY = "list_sum(list_transform(list_distinct(string_split(value, '')), lambda c: -(length(value) - length(replace(value, c, ''))) / 40.0 * log2((length(value) - length(replace(value, c, ''))) / 40.0)))"
 
+def found_values(spark, d, key="doc_id"):
+    return findings.candidates(V.classes(spark, d).select(key, "text"))
 
-@query(TOKENS + f" SELECT doc_id, value, round({ENTROPY}, 6) AS entropy FROM t")
+
+@query(FOUND + " SELECT doc_id, rule_id, category, value FROM found")
+def match_rule_regex(spark, d):
+    return found_values(spark, d).select("doc_id", "rule_id", "category", "value")
+
+
+@query(FOUND + " SELECT doc_id, rule_id, value, round(entropy, 6) AS entropy FROM found")
 def agg_entropy(spark, d):
-    f = findings.candidates(V.classes(spark, d).select("doc_id", "text"), [findings.RULES[0]])
-    return f.select("doc_id", "value", F.round(C.entropy(F.col("value")), 6).alias("entropy"))
+    return found_values(spark, d).select("doc_id", "rule_id", "value", F.round(C.entropy(F.col("value")), 6).alias("entropy"))
 
 
-@query(TOKENS + f" SELECT doc_id, value FROM t WHERE {ENTROPY} >= 3.6")
+@query(FOUND + " SELECT doc_id, rule_id, value FROM scored WHERE entropy >= 3.6")
 def match_entropy_filter(spark, d):
     from dataclasses import replace
 
-    return findings.candidates(V.classes(spark, d).select("doc_id", "text"), [replace(findings.RULES[0], entropy_min=3.6)]).select("doc_id", "value")
+    rules = [replace(r, entropy_min=3.6) for r in findings.RULES]
+    return findings.candidates(V.classes(spark, d).select("doc_id", "text"), rules).select("doc_id", "rule_id", "value")
 
 
-@query(TOKENS + ", p AS (SELECT doc_id, value, text[1:instr(text, value) - 1] AS head FROM t) SELECT doc_id, value, CAST(len(string_split(head, chr(10))) AS INTEGER) AS begin_line, CAST(length(string_split(head, chr(10))[-1]) + 1 AS INTEGER) AS begin_column FROM p")
+@query(FOUND + " SELECT doc_id, rule_id, value, begin_line, begin_column, CAST(begin_line + length(value) - length(replace(value, chr(10), '')) AS INTEGER) AS end_line FROM found")
 def match_line_position(spark, d):
-    return findings.candidates(V.classes(spark, d).select("doc_id", "text"), [findings.RULES[0]]).select("doc_id", "value", "begin_line", "begin_column")
+    return found_values(spark, d).select("doc_id", "rule_id", "value", "begin_line", "begin_column", "end_line")
 
 
 @query("WITH t AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), k AS (SELECT unnest(['the and', 'and', 'License', 'token']) AS keyword), h AS (SELECT doc_id, keyword, text, unnest(range(1, length(text) + 1)) AS i FROM t, k WHERE contains(text, keyword)) SELECT doc_id, keyword, count(*) AS n, min(i) - 1 AS first FROM h WHERE text[i:i + length(keyword) - 1] = keyword GROUP BY 1, 2")
@@ -621,16 +668,21 @@ def match_attribute_method(spark, d):
     return findings.at_methods(f, named).select("file_path", "begin_line", "method")
 
 
-@query(TOKENS + ", r AS (SELECT source || '.Doc' || doc_id AS fqcn, doc_id FROM documents) SELECT fqcn, string_agg(value[1:2] || repeat('*', 36) || value[-2:], ';' ORDER BY value[1:2] || repeat('*', 36) || value[-2:]) AS snippets FROM r JOIN t USING (doc_id) GROUP BY fqcn")
+@query(FOUND + f", r AS (SELECT source || '.Doc' || doc_id AS fqcn, doc_id FROM documents), m AS (SELECT fqcn, begin_line, begin_column, rule_id, {MASKED} AS snippet FROM r JOIN found USING (doc_id)) SELECT fqcn, string_agg(begin_line || ':' || begin_column || ' ' || rule_id || ' ' || snippet, ';' ORDER BY begin_line, begin_column, rule_id, snippet) AS snippets FROM m GROUP BY fqcn")
 def join_secret_candidates(spark, d):
-    f = findings.candidates(V.classes(spark, d).select("fqcn", "text"), [findings.RULES[0]])
-    return findings.by_class(f).select("fqcn", F.array_join(F.array_sort(F.transform("candidates", lambda c: c["snippet"])), ";").alias("snippets"))
+    """What a model is shown about each class, in the order of the text."""
+    one = lambda c: F.concat(c["begin_line"].cast("string"), F.lit(":"), c["begin_column"].cast("string"), F.lit(" "), c["rule_id"], F.lit(" "), c["snippet"])
+    return findings.by_class(found_values(spark, d, "fqcn")).select("fqcn", F.array_join(F.transform("candidates", one), ";").alias("snippets"))
 
 
-QUERIES["fn_mask_secret"], ORACLE_SQL["fn_mask_secret"] = join_secret_candidates, ORACLE_SQL["join_secret_candidates"]
+@query("SELECT doc_id, n, repeat('*', CAST(least(n, 8) AS INTEGER)) AS short, CASE WHEN n > 8 THEN text[1:2] || repeat('*', CAST(n - 4 AS INTEGER)) || text[n - 1:n] ELSE repeat('*', CAST(n AS INTEGER)) END AS masked FROM (SELECT doc_id, text[1:40] AS text, length(text[1:40]) AS n FROM documents WHERE text IS NOT NULL)")
+def fn_mask_secret(spark, d):
+    c = V.classes(spark, d).select("doc_id", F.substring("text", 1, 40).alias("t"))
+    return c.select("doc_id", F.length("t").cast("long").alias("n"), C.masked(F.substring("t", 1, 8)).alias("short"), C.masked(F.col("t")).alias("masked"))
 
 
-@query()
+@query(FOUND + f""" SELECT r.fqcn AS file, r.fqcn, NULL::VARCHAR AS method, begin_line, begin_column, CAST(begin_line + length(value) - length(replace(value, chr(10), '')) AS INTEGER) AS end_line, rule_id, category, 'sparkledger' AS detector_id, {MASKED} AS snippet_masked,
+    NULL::VARCHAR AS credibility_score, NULL::VARCHAR AS endpoint, NULL::VARCHAR AS rationale FROM found JOIN (SELECT source || '.Doc' || doc_id AS fqcn, doc_id FROM documents) r USING (doc_id)""")
 def sink_findings_csv(spark, d):
     f = findings.candidates(V.classes(spark, d).select("fqcn", F.col("fqcn").alias("file"), "text"))
     return documents.findings_rows(f)
@@ -638,7 +690,6 @@ def sink_findings_csv(spark, d):
 
 # --- sinks
 
-NUM = "CAST(CAST(round({}, 1) AS DECIMAL(9, 1)) AS VARCHAR)"
 
 
 @query(M + f" SELECT fqcn, method, CAST(loc AS VARCHAR) AS loc, array_to_string(tags, ';') AS tags, coalesce(display_name, '') AS display_name, coalesce(content_hash, '') AS content_hash, coalesce(CAST(rel AS VARCHAR), '') AS ai_security_relevant, coalesce(ai_name, '') AS ai_display_name, coalesce(CASE WHEN rel IS NOT NULL THEN array_to_string(ai_tags, ';') END, '') AS ai_tags, coalesce(CASE WHEN rel IS NOT NULL THEN reason END, '') AS ai_reason, coalesce(CASE WHEN rel IS NOT NULL THEN {NUM.format('inter')} END, '') AS ai_interaction_score, coalesce({DRIFT_SQL}, '') AS tag_ai_drift, coalesce(CASE WHEN rel IS NOT NULL THEN {ADDED_SQL} END, '') AS tags_added, coalesce(CASE WHEN rel IS NOT NULL THEN {REMOVED_SQL} END, '') AS tags_removed FROM methods")
@@ -653,23 +704,78 @@ def sink_plain(spark, d):
     return m.select("seq", lines.plain_line(content_hash=True, ai=True).alias("line"))
 
 
-@query()
+def json_text(c: str) -> str:
+    """A text as a JSON string."""
+    return f"""'"' || replace(replace({c}, '\\', '\\\\'), '"', '\\"') || '"'"""
+
+
+def json_fields(*fields: tuple[str, str]) -> str:
+    """An object of those fields that aren't null."""
+    every = ", ".join(f"""'"{name}":' || {value}""" for name, value in fields)
+    return f"'{{' || array_to_string(list_filter([{every}], lambda x: x IS NOT NULL), ',') || '}}'"
+
+
+def given(c: str, when: str = "rel IS NOT NULL") -> str:
+    return f"CASE WHEN {when} THEN {c} END"
+
+
+JSON_SQL = json_fields(
+    ("fqcn", json_text("fqcn")), ("method", json_text("method")), ("loc", "CAST(loc AS VARCHAR)"), ("tags", "CAST(to_json(tags) AS VARCHAR)"), ("displayName", json_text("display_name")), ("contentHash", json_text("content_hash")),
+    ("aiSecurityRelevant", "CAST(rel AS VARCHAR)"), ("aiDisplayName", given(json_text("ai_name"))), ("aiTags", given("CAST(to_json(ai_tags) AS VARCHAR)")), ("aiReason", given(json_text("reason"))),
+    ("aiInteractionScore", given("CAST(inter AS VARCHAR)")), ("aiConfidence", given("CAST(conf AS VARCHAR)")), ("tagAiDrift", json_text(DRIFT_SQL)), ("tagsAdded", given(json_text(ADDED_SQL))), ("tagsRemoved", given(json_text(REMOVED_SQL))),
+)
+
+
+@query(M + f" SELECT seq, {JSON_SQL} AS value FROM methods")
 def sink_json(spark, d):
     return V.methods(spark, d).select("seq", documents.json_row().alias("value"))
 
 
-@query(M + f", r AS (SELECT seq, 0 AS nth, {RULE_SQL} AS rule_id FROM methods UNION ALL SELECT seq, 1, 'empty-display-name' FROM methods WHERE display_name = '' UNION ALL SELECT seq, 2, 'security-test/placebo' FROM methods WHERE coalesce(rel, false) AND inter >= 0.8) SELECT seq, nth, rule_id FROM r")
+CONFIDENCE_SQL = "CASE WHEN conf > 0 THEN ' Confidence: ' || CAST(round(conf * 100) AS BIGINT) || '%.' ELSE '' END"
+TWO = "CAST(CAST(round(inter, 2) AS DECIMAL(9, 2)) AS VARCHAR)"
+MESSAGE_SQL = f"""CASE WHEN coalesce(rel, false) THEN 'AI suggests: @DisplayName("' || ai_name || '")' || array_to_string(list_transform(ai_tags, lambda t: ' @Tag("' || t || '")'), '') || '.' || {REASON_SQL} || ' Interaction score: ' || {TWO} || '.' || {CONFIDENCE_SQL} ||
+    CASE WHEN inter >= 0.8 THEN ' Assertions primarily verify method calls, not actual outcomes. See the security-test/placebo finding for remediation guidance.' ELSE '' END ELSE fqcn || '.' || method END"""
+LOCATION_SQL = """'[{"physicalLocation":{"artifactLocation":{"uri":"' || replace(fqcn, '.', '/') || '.java"}' || CASE WHEN begin_line > 0 THEN ',"region":{"startLine":' || begin_line || '}' ELSE '' END || '},"logicalLocations":[{"fullyQualifiedName":"' || fqcn || '.' || method || '","kind":"member"}]}]'"""
+SOURCE_TAGS = ("sourceTags", given(json_text("array_to_string(tags, ';')"), "len(tags) > 0"))
+OWN_SQL = json_fields(
+    ("loc", "CAST(loc AS VARCHAR)"), ("contentHash", json_text("content_hash")), SOURCE_TAGS, ("aiSecurityRelevant", "CAST(rel AS VARCHAR)"), ("aiDisplayName", given(json_text("ai_name"))), ("aiTags", given(json_text("array_to_string(ai_tags, ';')"), "rel IS NOT NULL AND len(ai_tags) > 0")),
+    ("aiReason", given(json_text("reason"))), ("aiInteractionScore", given("CAST(inter AS VARCHAR)")), ("aiConfidence", given("CAST(conf AS VARCHAR)")), ("tagAiDrift", json_text(DRIFT_SQL)), ("tagsAdded", given(json_text(ADDED_SQL))), ("tagsRemoved", given(json_text(REMOVED_SQL))),
+    ("security-severity", given("CASE WHEN list_contains(ai_tags, 'auth') THEN '\"7.5\"' ELSE '\"5.0\"' END", "coalesce(rel, false)")),
+)
+
+
+def result_sql(rule: str, level: str, message: str, properties: str) -> str:
+    return f"""'{{"ruleId":"' || {rule} || '","level":"' || {level} || '","message":{{"text":' || {json_text(message)} || '}},"locations":' || {LOCATION_SQL} || ',"properties":' || {properties} || '}}'"""
+
+
+UNNAMED_SQL = """'@DisplayName("") on ' || fqcn || '.' || method || ' is explicitly empty — the test will appear unnamed in CI reports and audit evidence packages.'"""
+PLACEBO_SQL = f"'Interaction score: ' || {TWO} || ' (threshold: 0.8). This security test only verifies that methods were called, not what values they returned or what state they produced.' || {CONFIDENCE_SQL}"
+FEW_SQL = json_fields(("loc", "CAST(loc AS VARCHAR)"), SOURCE_TAGS)
+SCORED_SQL = json_fields(("loc", "CAST(loc AS VARCHAR)"), SOURCE_TAGS, ("aiInteractionScore", "CAST(inter AS VARCHAR)"), ("security-severity", "'\"6.0\"'"))
+
+
+@query(M + f""" SELECT seq, 0 AS nth, {RULE_SQL} AS rule_id, {result_sql(RULE_SQL, f"CASE WHEN {RULE_SQL} = 'test-method' THEN 'none' ELSE 'note' END", MESSAGE_SQL, OWN_SQL)} AS result FROM methods
+    UNION ALL SELECT seq, 1, 'empty-display-name', {result_sql("'empty-display-name'", "'note'", UNNAMED_SQL, FEW_SQL)} FROM methods WHERE display_name = ''
+    UNION ALL SELECT seq, 2, 'security-test/placebo', {result_sql("'security-test/placebo'", "'warning'", PLACEBO_SQL, SCORED_SQL)} FROM methods WHERE coalesce(rel, false) AND inter >= 0.8""")
 def sink_sarif(spark, d):
-    return documents.sarif_results(V.methods(spark, d)).select("seq", "nth", "rule_id")
+    return documents.sarif_results(V.methods(spark, d)).select("seq", "nth", "rule_id", "result")
+
+
+EMPTY_NAME = """@DisplayName("") declares an empty display name — the test will appear unnamed in reports, obscuring the audit trail. Replace with a meaningful description, e.g. @DisplayName("Verifies that ...")."""
+NOTES_SQL = f"""array_to_string(list_filter(['Suggested @DisplayName: "' || ai_name || '"', CASE WHEN len(ai_tags) > 0 THEN 'Suggested @Tag: ' || array_to_string(ai_tags, ', ') END, CASE WHEN reason IS NOT NULL THEN 'Reason: ' || reason || CASE WHEN ends_with(reason, '.') THEN '' ELSE '.' END END,
+    CASE WHEN inter >= 0.8 THEN 'Interaction score ' || {NUM.format("inter")} || ': assertions only verify method calls, not output values or state' END,
+    CASE {DRIFT_SQL} WHEN 'tag-only' THEN 'Drift: @Tag("security") present but AI disagrees — annotation may be stale' WHEN 'ai-only' THEN 'Drift: AI classifies as security-relevant but no @Tag("security") in source' END], lambda x: x IS NOT NULL), ' · ')"""
 
 
-@query(M + """, s AS (SELECT *, 'cust/' || split_part(fqcn, '.', 2) || '.java' AS p FROM methods WHERE display_name = '') SELECT seq, '::notice file=' || p || CASE WHEN begin_line > 0 THEN ',line=' || begin_line ELSE '' END || ',title=@DisplayName("") on ' || fqcn || '#' || method AS head FROM s""")
+@query(M + f""", s AS (SELECT *, 'cust/' || split_part(fqcn, '.', 2) || '.java' || CASE WHEN begin_line > 0 THEN ',line=' || begin_line ELSE '' END AS place FROM methods)
+    SELECT seq, 0 AS kind, '::notice file=' || place || ',title=@DisplayName("") on ' || fqcn || '#' || method || '::{EMPTY_NAME}' AS line FROM s WHERE display_name = ''
+    UNION ALL SELECT seq, 1, '::' || CASE WHEN inter >= 0.8 THEN 'warning' ELSE 'notice' END || ' file=' || place || ',title=' || ai_name || '::' || {NOTES_SQL} FROM s WHERE coalesce(rel, false)""")
 def sink_gh_annotations(spark, d):
-    a = lines.annotations(V.methods(spark, d)).where("kind = 0")
-    return a.select("seq", F.expr("substring_index(line, '::@DisplayName', 1)").alias("head"))
+    return lines.annotations(V.methods(spark, d))
 
 
-@query()
+@query(M + f""" SELECT fqcn, method, CAST(loc AS VARCHAR) AS loc, array_to_string(tags, ';') AS applied_tags, coalesce(display_name, '') AS applied_display_name, coalesce(CAST(rel AS VARCHAR), '') AS ai_security_relevant, coalesce({given("ai_name")}, '') AS ai_display_name, coalesce({given("array_to_string(ai_tags, ';')")}, '') AS ai_tags,
+    coalesce({given("reason")}, '') AS ai_reason, coalesce({given(NUM.format("conf"))}, '') AS ai_confidence, coalesce({given(NUM.format("inter"))}, '') AS ai_interaction_score, coalesce({DRIFT_SQL}, '') AS tag_ai_drift, coalesce({given(ADDED_SQL)}, '') AS tags_added, coalesce({given(REMOVED_SQL)}, '') AS tags_removed, '20260102-030405' AS saved_at FROM methods""")
 def sink_audit_csv(spark, d):
     from datetime import datetime
 
@@ -684,4 +790,8 @@ def sink_manifest(spark, d):
     return named.select(F.expr("CAST(substring(name, 4) AS BIGINT)").alias("doc_id"), "line")
 
 
-QUERIES["fn_sha256_file"], ORACLE_SQL["fn_sha256_file"] = sink_manifest, ORACLE_SQL["sink_manifest"]
+@query("SELECT 'doc' || doc_id AS name, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL")
+def fn_sha256_file(spark, d):
+    """The digest of files' bytes."""
+    c = V.classes(spark, d).select(F.expr("'/x/doc' || doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return documents.manifest(c).select("name", "sha256")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Mapping
 from datetime import datetime, timezone
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from ..functions import columns as C
 from ..operators import records
 from . import lines
 
-TOOL = "sparkledger"
+TOOL, MANIFEST = "sparkledger", "manifest.sha256"
+# Keys, rule ids and message sentences of the result format, on which consumers match.
 SCHEMA_URI = "https://json.schemastore.org/sarif-2.1.0.json"
 FINDING_COLUMNS = ("file", "fqcn", "method", "begin_line", "begin_column", "end_line", "rule_id", "category", "detector_id", "snippet_masked", "credibility_score", "endpoint", "rationale")
 HELP = {
@@ -110,21 +112,73 @@ def rule_document(rule: str) -> dict:
     return {"id": rule, "name": name, "shortDescription": {"text": text}, "properties": {"tags": tags}, "help": {"text": helped}}
 
 
-def sarif_document(results: DataFrame, version: str) -> str:
-    """One run as a document. Rules are few; results stream through the driver in their order, as the document is one file."""
+def sarif_ends(results: DataFrame, version: str) -> tuple[str, str]:
+    """What stands before and after the results of a document; rules are few."""
     rules = [rule_document(r.rule_id) for r in sarif_rules(results).orderBy("first").collect()]
-    rows = [json.loads(r.result) for r in results.orderBy("seq", "nth").toLocalIterator()]
-    return json.dumps({"$schema": SCHEMA_URI, "version": "2.1.0", "runs": [{"tool": {"driver": {"name": TOOL, "version": version, "rules": rules}}, "results": rows}]}, ensure_ascii=False)
+    empty = json.dumps({"$schema": SCHEMA_URI, "version": "2.1.0", "runs": [{"tool": {"driver": {"name": TOOL, "version": version, "rules": rules}}, "results": []}]}, ensure_ascii=False)
+    return empty[:-4], empty[-4:]
 
 
-def coverage_document(report: DataFrame, gaps: DataFrame, statistics: DataFrame, framework: str, version: str, source: str, tool_version: str) -> str:
-    controls = {}
-    for r in report.orderBy("control").toLocalIterator():
-        tests = [{k: v for k, v in (("fqcn", t.fqcn), ("method", t.method), ("displayName", t.display_name), ("tags", t.tags), ("tagSource", t.tag_source), ("confidence", t.confidence)) if v is not None} for t in r.tests]
-        controls[r.control] = {k: v for k, v in (("chapter", r.chapter), ("chapterTitle", r.chapter_title), ("tests", tests)) if v is not None}
+def sarif_document(results: DataFrame, version: str) -> str:
+    """One run as a text for the driver; write_sarif() is for any number of results."""
+    head, tail = sarif_ends(results, version)
+    return head + ",".join(r.result for r in results.orderBy("seq", "nth").toLocalIterator()) + tail
+
+
+def comma_separated(df: DataFrame, *order: str) -> DataFrame:
+    """Values with a comma before all but the first in the order."""
+    first = df.agg(F.min(F.struct(*order)).alias("m")).first().m
+    is_first = F.lit(True)
+    for c in order:
+        is_first = is_first & (F.col(c).eqNullSafe(F.lit(first[c])) if first is not None else F.lit(False))
+    return df.withColumn("value", F.when(is_first, F.col("value")).otherwise(F.concat(F.lit(","), "value")))
+
+
+def write_sarif(results: DataFrame, path: str, version: str) -> None:
+    """The document as text parts in the order of their names, one result on a line; results never pass through the driver."""
+    head, tail = sarif_ends(results, version)
+    lines.write_ordered(comma_separated(results.select("seq", "nth", F.col("result").alias("value")), "seq", "nth"), path, [head], [tail])
+
+
+def coverage_ends(gaps: DataFrame, statistics: DataFrame, framework: str, version: str, source: str, tool_version: str) -> tuple[str, str]:
+    """What stands before and after the controls of a coverage document; controls of a framework are few."""
     s = statistics.first()
-    row = {"schemaVersion": "1", "generatedAt": datetime.now(timezone.utc).isoformat(), "toolVersion": tool_version, "framework": framework, "frameworkVersion": version, "source": source, "coverage": controls, "gaps": [g.control for g in gaps.orderBy("control").toLocalIterator()]}
-    return json.dumps(row | {"statistics": {"totalControls": s.total, "coveredControls": s.covered, "uncoveredControls": s.uncovered, "coveragePercent": s.percent}}, ensure_ascii=False)
+    row = {"schemaVersion": "1", "generatedAt": datetime.now(timezone.utc).isoformat(), "toolVersion": tool_version, "framework": framework, "frameworkVersion": version, "source": source}
+    rest = {"gaps": [g.control for g in gaps.orderBy("control").collect()], "statistics": {"totalControls": s.total, "coveredControls": s.covered, "uncoveredControls": s.uncovered, "coveragePercent": s.percent}}
+    return json.dumps(row, ensure_ascii=False)[:-1] + ', "coverage": {', "}, " + json.dumps(rest, ensure_ascii=False)[1:]
+
+
+def coverage_pieces(report: DataFrame) -> DataFrame:
+    """(control, part, value): the text of each control's parts, which joined in their order are the members of an object."""
+    tests = F.transform("tests", lambda t: F.to_json(F.struct(t["fqcn"].alias("fqcn"), t["method"].alias("method"), t["display_name"].alias("displayName"), t["tags"].alias("tags"), t["tag_source"].alias("tagSource"), t["confidence"].alias("confidence"))))
+    ends = report.groupBy("control").agg(F.min("part").alias("first"), F.max("part").alias("last"))
+    about = F.to_json(F.struct("chapter", F.col("chapter_title").alias("chapterTitle")))
+    # {"k":"name"} holds the quoted name from its sixth character; {} or {"chapter":..} the fields before the tests
+    key = F.substring(F.to_json(F.struct(F.col("control").alias("k"))), 6, 1 << 30)
+    opened = F.concat(F.expr("left(_key, length(_key) - 1)"), F.lit(": "), F.when(F.col("_about") == "{}", "{").otherwise(F.concat(F.expr("left(_about, length(_about) - 1)"), F.lit(","))), F.lit('"tests":['))
+    made = report.join(ends, "control").withColumns({"_key": key, "_about": about, "_tests": F.array_join(tests, ",")})
+    value = F.concat(F.when(F.col("part") == F.col("first"), opened).otherwise(","), F.col("_tests"), F.when(F.col("part") == F.col("last"), "]}").otherwise(""))
+    return made.select("control", "part", "first", value.alias("value"))
+
+
+def coverage_rows(report: DataFrame) -> DataFrame:
+    """Pieces with a comma before each control but the first."""
+    pieces = coverage_pieces(report)
+    least = pieces.agg(F.min("control")).first()[0]
+    starts = (F.col("part") == F.col("first")) & (F.col("control") != F.lit(least))
+    return pieces.select("control", "part", F.when(starts, F.concat(F.lit(","), "value")).otherwise(F.col("value")).alias("value"))
+
+
+def coverage_document(report: DataFrame, gaps: DataFrame, statistics: DataFrame, framework: str, version: str, source: str, tool_version: str) -> str:
+    """The document as a text for the driver; write_coverage() is for any number of tests."""
+    head, tail = coverage_ends(gaps, statistics, framework, version, source, tool_version)
+    return head + "".join(r.value for r in coverage_rows(report).orderBy("control", "part").toLocalIterator()) + tail
+
+
+def write_coverage(report: DataFrame, gaps: DataFrame, statistics: DataFrame, path: str, framework: str, version: str, source: str, tool_version: str) -> None:
+    """The document as text parts in the order of their names; tests never pass through the driver."""
+    head, tail = coverage_ends(gaps, statistics, framework, version, source, tool_version)
+    lines.write_ordered(coverage_rows(report), path, [head], [tail])
 
 
 def write_cache(entries: DataFrame, path: str) -> None:
@@ -151,7 +205,7 @@ def write_findings(found: DataFrame, path: str, detector: str = TOOL) -> None:
     findings_rows(found, detector).write.option("header", True).option("escape", '"').csv(path)
 
 
-def manifest(files: DataFrame, own_name: str = "manifest.sha256") -> DataFrame:
+def manifest(files: DataFrame, own_name: str = MANIFEST) -> DataFrame:
     """(name, sha256, line) of files as binaryFile reads them, but for the manifest itself and signed files."""
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(name.alias("name"), F.sha2("content", 256).alias("sha256")).where((F.col("name") != own_name) & ~F.endswith("name", F.lit(".signed"))).withColumn("line", F.concat("sha256", F.lit("  "), "name"))
@@ -164,32 +218,51 @@ def receipt(inputs: Mapping[str, object], settings: Mapping[str, object], ai_ena
     return json.dumps(row, ensure_ascii=False)
 
 
-def write_evidence(folder: str, df: DataFrame, version: str, overrides: str | None = None, archive: DataFrame | None = None) -> list[str]:
-    """A folder on the driver with SARIF, CSV, overrides, archived answers, a description and a manifest of all of them."""
-    os.makedirs(folder)
-
-    def put(name: str, text: str) -> None:
-        with open(os.path.join(folder, name), "w", encoding="utf-8", newline="") as f:
-            f.write(text)
+def write_evidence(folder: str, df: DataFrame, version: str, overrides: str | None = None, archive: DataFrame | None = None, sign: Callable[[bytes], str] | None = None) -> list[str]:
+    """A folder on the driver with SARIF, CSV, overrides, archived answers, a description and a manifest of all of them.
 
-    put("results.sarif", sarif_document(sarif_results(df), version))
+    Each is one file, as an auditor expects, so rows pass through the driver, but one at a time and never as a whole text. sign: given the
+    manifest's bytes returns a trailer, which is written beside it as manifest.sha256.signed.
+    """
+    os.makedirs(folder)
+    digests: dict[str, str] = {}
+
+    def put(name: str, texts: Iterable[str]) -> None:
+        digest = hashlib.sha256()
+        with open(os.path.join(folder, name), "wb") as f:
+            for text in texts:
+                data = text.encode()
+                digest.update(data)
+                f.write(data)
+        digests[name] = digest.hexdigest()
+
+    results = sarif_results(df)
+    head, tail = sarif_ends(results, version)
+    ordered = comma_separated(results.select("seq", "nth", F.col("result").alias("value")), "seq", "nth").orderBy("seq", "nth")
+    put("results.sarif", chain([head], (r.value for r in ordered.toLocalIterator()), [tail]))
     groups = {"content_hash": True, "ai": True, "confidence": True, "drift": True}
     rows = df.orderBy("seq").select(lines.csv_line(**groups).alias("v")).toLocalIterator()
-    put("inventory.csv", "\n".join([",".join(lines.csv_columns(**groups)), *(r.v for r in rows)]) + "\n")
+    put("inventory.csv", chain([",".join(lines.csv_columns(**groups)) + "\n"], (f"{r.v}\n" for r in rows)))
     if overrides is not None:
-        put("overrides.yaml", overrides)
+        put("overrides.yaml", [overrides])
     if archive is not None and not archive.isEmpty():
-        put("ai-responses.jsonl", "".join(f"{r.v}\n" for r in archive.select(F.to_json(F.struct("*")).alias("v")).toLocalIterator()))
-    put("meta.json", json.dumps({"tool": TOOL, "toolVersion": version}))
-    names = sorted(n for n in os.listdir(folder) if n != "manifest.sha256" and not n.endswith(".signed"))
-    digests = []
-    for n in names:
-        with open(os.path.join(folder, n), "rb") as f:
-            digests.append(f"{hashlib.sha256(f.read()).hexdigest()}  {n}\n")
-    put("manifest.sha256", "".join(digests))
+        put("ai-responses.jsonl", (f"{r.v}\n" for r in archive.select(F.to_json(F.struct("*")).alias("v")).toLocalIterator()))
+    put("meta.json", [json.dumps({"tool": TOOL, "toolVersion": version})])
+    names = sorted(digests)
+    listed = "".join(manifest_lines(digests))
+    with open(os.path.join(folder, MANIFEST), "w", encoding="utf-8", newline="") as f:
+        f.write(listed)
+    if sign is not None:
+        with open(os.path.join(folder, MANIFEST + ".signed"), "w", encoding="utf-8", newline="") as f:
+            f.write(listed + sign(listed.encode()))
     return names
 
 
+def manifest_lines(digests: Mapping[str, str]) -> list[str]:
+    """A manifest's lines in the order of names."""
+    return [f"{digests[n]}  {n}\n" for n in sorted(digests)]
+
+
 def write_prompts(prompts: DataFrame, folder: str) -> DataFrame:
     """(file_stem, prompt) as one text file for each class under folder/<stem>.prompt, through Spark's writer: partitioned by stem."""
     prompts.select("file_stem", F.col("prompt").alias("value")).repartition("file_stem").write.partitionBy("file_stem").text(folder)

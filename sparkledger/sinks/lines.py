@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from ..functions import columns as C
 from ..operators import delta, records
 from ..schemas import AUDIT
 
+#: Fixed values of the output formats below, which consumers match on: column names, labels of plain lines, workflow commands and their sentences.
 SEPARATOR = " · "
 
 
@@ -51,12 +53,23 @@ def csv_rows(df: DataFrame, **groups: bool) -> DataFrame:
     return df.select(*[F.coalesce(values[c], F.lit("")).alias(f"out_{c}") for c in names]).toDF(*names)
 
 
+def write_ordered(df: DataFrame, path: str, head: Sequence[str], tail: Sequence[str] = ()) -> None:
+    """Text files whose parts, in the order of their names, are head, the column value in the order of the other columns, and tail.
+
+    Rows are dealt by ranges of their order and written by tasks; only head and tail come from the driver.
+    """
+    order = [c for c in df.columns if c != "value"]
+    nothing = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in order]
+    ends = df.sparkSession.createDataFrame([(k, i, line) for k, part in ((0, head), (2, tail)) for i, line in enumerate(part)], "_k int, _i long, value string")
+    rows = df.select(F.lit(1).alias("_k"), F.lit(0).cast("long").alias("_i"), *order, "value")
+    every = rows.union(ends.select("_k", "_i", *nothing, "value"))
+    every.repartitionByRange("_k", "_i", *order).sortWithinPartitions("_k", "_i", *order).select("value").write.text(path)
+
+
 def write_csv(df: DataFrame, path: str, seq: str = "seq", metadata: dict[str, str] | None = None, **groups: bool) -> None:
-    """Lines in the order of seq under a head in the first part: comments, then the column names."""
+    """Lines in the order of seq under a head: comments, then the column names."""
     head = [f"# {k}: {v}" for k, v in (metadata or {}).items()] + [",".join(csv_columns(**groups))]
-    first = df.sparkSession.createDataFrame([(0, i, h) for i, h in enumerate(head)], "part int, at long, value string")
-    rest = df.select(F.lit(1).alias("part"), F.col(seq).cast("long").alias("at"), csv_line(**groups).alias("value"))
-    first.union(rest).repartitionByRange("part", "at").sortWithinPartitions("part", "at").select("value").write.text(path)
+    write_ordered(df.select(F.col(seq).cast("long").alias("at"), csv_line(**groups).alias("value")), path, head)
 
 
 def scan_metadata(version: str, timestamp: str, taxonomy: str) -> dict[str, str]:
@@ -109,25 +122,33 @@ def annotations(df: DataFrame, prefix: str = "") -> DataFrame:
     return df.select("seq", F.explode(F.array_compact(F.array(unnamed, secure))).alias("x")).select("seq", "x.kind", "x.line")
 
 
-def delta_text(compared: DataFrame, before: DataFrame, after: DataFrame, names: tuple[str, str] = ("before.csv", "after.csv"), timestamps: tuple[str | None, str | None] = (None, None)) -> list[str]:
-    """The report's lines; what is listed are changes, which a person reads."""
+def delta_ends(compared: DataFrame, before: DataFrame, after: DataFrame, names: tuple[str, str] = ("before.csv", "after.csv"), timestamps: tuple[str | None, str | None] = (None, None)) -> tuple[list[str], list[str]]:
+    """The report's lines before and after its list of changes."""
     n_a, n_b = (delta.last_of(df).count() for df in (before, after))
     s_a, s_b = (delta.security_count(df).first()[0] for df in (before, after))
     c = delta.counts(compared).first()
     head = lambda t, n, s: f"  ({f'scanned: {t}{SEPARATOR}' if t else ''}{n} method{'' if n == 1 else 's'}{SEPARATOR}{s} security-relevant)"
-    listed = delta.entries(compared).orderBy("fqcn", "method").select(delta.line(F.col("change"), F.col("fqcn"), F.col("method"), F.col("changed_fields"), F.col("before"), F.col("after")).alias("line"))
-    lines = [r.line for r in listed.toLocalIterator()]
     moved = s_b - s_a
-    return [
-        "delta report",
-        f"  before: {names[0]}{head(timestamps[0], n_a, s_a)}",
-        f"  after:  {names[1]}{head(timestamps[1], n_b, s_b)}",
-        "",
-        *(lines or ["No changes detected."]),
-        "",
-        f"{c.added} added  ·  {c.removed} removed  ·  {c.modified} modified  ·  {c.unchanged} unchanged",
-        f"security-relevant: {s_a} → {s_b}  ({'no change' if not moved else f'{moved:+d}'})",
-    ]
+    first = ["delta report", f"  before: {names[0]}{head(timestamps[0], n_a, s_a)}", f"  after:  {names[1]}{head(timestamps[1], n_b, s_b)}", ""]
+    if not c.added + c.removed + c.modified:
+        first.append("No changes detected.")
+    return first, ["", f"{c.added} added  ·  {c.removed} removed  ·  {c.modified} modified  ·  {c.unchanged} unchanged", f"security-relevant: {s_a} → {s_b}  ({'no change' if not moved else f'{moved:+d}'})"]
+
+
+def delta_lines(compared: DataFrame) -> DataFrame:
+    """(fqcn, method, value) of each change."""
+    return delta.entries(compared).select("fqcn", "method", delta.line(F.col("change"), F.col("fqcn"), F.col("method"), F.col("changed_fields"), F.col("before"), F.col("after")).alias("value"))
+
+
+def write_delta_text(compared: DataFrame, before: DataFrame, after: DataFrame, path: str, **about) -> None:
+    head, tail = delta_ends(compared, before, after, **about)
+    write_ordered(delta_lines(compared), path, head, tail)
+
+
+def delta_text(compared: DataFrame, before: DataFrame, after: DataFrame, names: tuple[str, str] = ("before.csv", "after.csv"), timestamps: tuple[str | None, str | None] = (None, None)) -> list[str]:
+    """The report as lines for a person to read on the driver; write_delta_text() is for any number of changes."""
+    head, tail = delta_ends(compared, before, after, names, timestamps)
+    return [*head, *(r.value for r in delta_lines(compared).orderBy("fqcn", "method").toLocalIterator()), *tail]
 
 
 def audit_rows(saved: DataFrame, at: datetime) -> DataFrame:

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import ast
 import bisect
+import hashlib
 import re
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -456,33 +458,65 @@ def scan_cobol(text: str, path: str = "", markers: frozenset[str] | None = None)
 # --- registry
 
 Scanner = Callable[..., Iterator[Found]]
-#: Plug-ins by id: suffixes of their files, and the scanner.
-PLUGINS: dict[str, tuple[tuple[str, ...], Scanner]] = {
-    "java": ((".java",), scan_java),
-    "dotnet": ((".cs",), scan_csharp),
-    "typescript": ((".test.ts", ".spec.ts", ".test.tsx", ".spec.tsx", ".test.js", ".spec.js"), scan_typescript),
-    "go": (("_test.go",), scan_go),
-    "python": (("_test.py",), scan_python),
-    "powershell": ((".Tests.ps1",), scan_powershell),
-    "abap": ((".abap",), scan_abap),
-    "ecatt": ((".ecl",), scan_ecatt),
-    "cobol": ((".cbl", ".cob", ".cut"), scan_cobol),
-}
-
-
-def register(plugin: str, suffixes: Sequence[str], scanner: Scanner) -> None:
+
+
+@dataclass(frozen=True)
+class Plugin:
+    """A scanner of files with some suffixes. configure: given a run's settings, gives the scanner to use; close: is called when the run is over."""
+
+    id: str
+    suffixes: tuple[str, ...]
+    scanner: Scanner
+    configure: Callable[[Mapping[str, object]], Scanner] | None = None
+    close: Callable[[], None] | None = None
+
+
+#: Plug-ins by id, in the order in which they are asked.
+PLUGINS: dict[str, Plugin] = {}
+
+
+def register(plugin: str, suffixes: Sequence[str], scanner: Scanner, configure: Callable[[Mapping[str, object]], Scanner] | None = None, close: Callable[[], None] | None = None) -> None:
     """Adds a plug-in; an id that is taken is an error."""
     if plugin in PLUGINS:
         raise ValueError(f"plug-in {plugin} is there already")
-    PLUGINS[plugin] = (tuple(suffixes), scanner)
+    PLUGINS[plugin] = Plugin(plugin, tuple(suffixes), scanner, configure, close)
+
+
+for _id, _suffixes, _scanner in (
+    ("java", (".java",), scan_java),
+    ("dotnet", (".cs",), scan_csharp),
+    ("typescript", (".test.ts", ".spec.ts", ".test.tsx", ".spec.tsx", ".test.js", ".spec.js"), scan_typescript),
+    ("go", ("_test.go",), scan_go),
+    ("python", ("_test.py",), scan_python),
+    ("powershell", (".Tests.ps1",), scan_powershell),
+    ("abap", (".abap",), scan_abap),
+    ("ecatt", (".ecl",), scan_ecatt),
+    ("cobol", (".cbl", ".cob", ".cut"), scan_cobol),
+):
+    register(_id, _suffixes, _scanner)
+
+
+@contextmanager
+def opened(settings: Mapping[str, object] | None = None, enabled: Sequence[str] = ()) -> Iterator[dict[str, Plugin]]:
+    """The plug-ins of a run, each configured with its settings once; all are closed at the end, whatever happened. An id that isn't there is an error."""
+    unknown = [p for p in enabled if p not in PLUGINS]
+    if unknown:
+        raise ValueError(f"there is no plug-in {', '.join(unknown)}")
+    use = {p: plugin for p, plugin in PLUGINS.items() if not enabled or p in enabled}
+    try:
+        yield {p: replace(x, scanner=x.configure(settings or {})) if x.configure else x for p, x in use.items()}
+    finally:
+        for x in use.values():
+            if x.close:
+                x.close()
 
 
-def plugin_of(name: str, suffixes: Sequence[str] = (), enabled: Sequence[str] = ()) -> str | None:
+def plugin_of(name: str, suffixes: Sequence[str] = (), enabled: Sequence[str] = (), plugins: Mapping[str, Plugin] | None = None) -> str | None:
     """The first plug-in, of those enabled (none named: all), that takes a file of this name."""
-    for plugin, (own, _) in PLUGINS.items():
+    for plugin, x in (PLUGINS if plugins is None else plugins).items():
         if enabled and plugin not in enabled:
             continue
-        use = suffixes_for(plugin, suffixes) or own
+        use = suffixes_for(plugin, suffixes) or x.suffixes
         if any(name.endswith(s) for s in use) or (plugin == "python" and is_python_test(name, use)):
             return plugin
     return None
@@ -491,21 +525,24 @@ def plugin_of(name: str, suffixes: Sequence[str] = (), enabled: Sequence[str] =
 SCAN_SCHEMA = "seq long, plugin string, fqcn string, method string, begin_line int, end_line int, loc int, tags array<string>, display_name string, file_path string, error string"
 
 
-def scan_tree(files: DataFrame, root: str, suffixes: Sequence[str] = (), enabled: Sequence[str] = (), markers: Sequence[str] = ()) -> DataFrame:
-    """Rows of all tests in files (path, content): SCAN_SCHEMA and file_stem, in seq's order. A file that can't be parsed gives one row with its error and no method."""
-    below = root.rstrip("/") + "/"
+def scan_tree(files: DataFrame, root: str, suffixes: Sequence[str] = (), enabled: Sequence[str] = (), markers: Sequence[str] = (), plugins: Mapping[str, Plugin] | None = None) -> DataFrame:
+    """Rows of all tests in files (path, content): SCAN_SCHEMA and file_stem; seq is the place in a file. A file that can't be parsed gives one row with its error and no method.
+
+    plugins: those of opened(); none given: all that are registered. They are sent to the tasks as they are.
+    """
+    below, use = root.rstrip("/") + "/", dict(PLUGINS if plugins is None else plugins)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"]):
                 name = path.rsplit("/", 1)[-1]
-                plugin = plugin_of(name, suffixes, enabled)
+                plugin = plugin_of(name, suffixes, enabled, use)
                 if plugin is None or content is None:
                     continue
                 inner = path[path.find(below) + len(below) :] if below in path else name
                 try:
-                    for n, f in enumerate(PLUGINS[plugin][1](content, inner, frozenset(markers) or None)):
+                    for n, f in enumerate(use[plugin].scanner(content, inner, frozenset(markers) or None)):
                         rows.append((n, plugin, f.fqcn, f.method, f.begin_line, f.end_line, f.end_line - f.begin_line + 1, f.tags, f.display_name, path, None))
                 except SourceError as e:
                     rows.append((-1, plugin, None, None, None, None, None, None, None, path, str(e)))
@@ -515,7 +552,7 @@ def scan_tree(files: DataFrame, root: str, suffixes: Sequence[str] = (), enabled
             yield out
 
     found = files.select("path", "content").mapInPandas(each, SCAN_SCHEMA)
-    every = sorted({s for own, _ in PLUGINS.values() for s in own} | {".py"})
+    every = sorted({s for x in use.values() for s in x.suffixes} | {".py"})
     return found.withColumn("file_stem", C.file_stem(F.regexp_replace("file_path", "^.*?" + re.escape(below), below), root, every))
 
 
@@ -523,8 +560,37 @@ def had_errors(scanned: DataFrame) -> bool:
     return not scanned.where(F.col("error").isNotNull()).isEmpty()
 
 
+#: What doesn't count in a class: runs of comments and white space. Strings are matched so that their insides stay.
+JAVA_SPACE = re.compile(r"((?:/\*.*?(?:\*/|\Z)|//[^\n]*|\s)+)|\"\"\".*?(?:\"\"\"|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])+'", re.S)
+
+
+def java_classes(text: str) -> dict[str, str]:
+    """The text of each class and interface by its name, from the end of what stands before its annotations to its last brace; of equal names all, one after the other."""
+    code, out = JAVA_BLANK(text), {}
+    package = m[1] if (m := re.search(r"(?m)^\s*package\s+([\w.]+)\s*;", code)) else ""
+    for t in JAVA_TYPE.finditer(code):
+        begin = max(code.rfind(c, 0, t.start()) for c in ";{}") + 1
+        fqcn = f"{package}.{t[1]}" if package else t[1]
+        out[fqcn] = out.get(fqcn, "") + text[begin : closing(code, t.end() - 1) + 1].strip()
+    return out
+
+
+def java_canonical(text: str) -> str:
+    """A class's text in which layout and comments don't count."""
+    return JAVA_SPACE.sub(lambda m: " " if m[1] else m[0], text).strip()
+
+
 def class_sources(scanned: DataFrame, files: DataFrame) -> DataFrame:
-    """(fqcn, file_path, source, content_hash): the file of each class, whose text is its canonical content."""
-    per_class = scanned.where(F.col("fqcn").isNotNull()).select("fqcn", "file_path").distinct()
+    """(fqcn, file_path, source, content_hash) of each class. In Java files it is the class's own text, whose digest leaves layout and comments out,
+    so that an edit beside a class doesn't change it; in other languages it is the whole file."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(path, name, text, hashlib.sha256(java_canonical(text).encode("utf-8", "surrogatepass")).hexdigest()) for path, content in zip(batch["path"], batch["content"]) if content for name, text in java_classes(content).items()]
+            yield pd.DataFrame(rows, columns=["file_path", "fqcn", "source", "content_hash"])
+
+    per_class = scanned.where(F.col("fqcn").isNotNull()).select("fqcn", "file_path", "plugin").distinct()
+    java = files.where(F.endswith("path", F.lit(".java"))).select("path", "content").mapInPandas(each, "file_path string, fqcn string, source string, content_hash string")
     texts = files.select(F.col("path").alias("file_path"), F.col("content").alias("source"))
-    return per_class.join(texts, "file_path").withColumn("content_hash", C.sha256_text(F.col("source")))
+    others = per_class.where("plugin <> 'java'").join(texts, "file_path").select("fqcn", "file_path", "source", C.sha256_text(F.col("source")).alias("content_hash"))
+    return per_class.where("plugin = 'java'").join(java, ["file_path", "fqcn"]).select("fqcn", "file_path", "source", "content_hash").union(others)

@@ -82,9 +82,13 @@ def looks_like_json_lines(text: str) -> bool:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, content_hash, prompt_signature, suggestion, secrets) of cache lines; lines that aren't objects, or have no hash, are dropped."""
+    """(seq, content_hash, prompt_signature, suggestion, secrets) of cache lines; lines that aren't objects, or have no hash, are dropped.
+
+    seq orders lines by file name, then by their place in the file, however files are split over tasks.
+    """
     rows = spark.read.schema(CACHE_ENTRY).json(path, mode="DROPMALFORMED").where(F.col("contentHash").isNotNull())
-    return rows.select(F.monotonically_increasing_id().alias("seq"), F.col("contentHash").alias("content_hash"), F.col("promptSignature").alias("prompt_signature"), "suggestion", F.col("suggestion.secrets").alias("secrets"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    return rows.select(place.alias("seq"), F.col("contentHash").alias("content_hash"), F.col("promptSignature").alias("prompt_signature"), "suggestion", F.col("suggestion.secrets").alias("secrets"))
 
 
 def parse_mapping(text: str) -> tuple[dict[str, str], list[tuple]]:
@@ -144,7 +148,11 @@ def read_manual_responses(classes: DataFrame, folder: str) -> DataFrame:
     spark = classes.sparkSession
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.response.txt").load(folder)
     stem = F.regexp_extract("path", r"([^/]*)\.response\.txt$", 1)
-    answers = files.select(stem.alias("file_stem"), F.decode("content", "UTF-8").alias("response"))
+    return with_manual_responses(classes, files.select(stem.alias("file_stem"), F.decode("content", "UTF-8").alias("response")))
+
+
+def with_manual_responses(classes: DataFrame, answers: DataFrame) -> DataFrame:
+    """classes (file_stem, fqcn) with the suggestion in answers (file_stem, response)."""
     joined = classes.join(answers, "file_stem", "left")
     s = suggestion_of(F.col("response"))
     none = F.from_json(F.to_json(F.struct(F.col("fqcn").alias("className"))), s_schema()).withField("methods", F.from_json(F.lit("[]"), s_schema()["methods"].dataType))
@@ -158,7 +166,7 @@ def s_schema():
 
 
 #: Settings of a run and their defaults; a file sets them first, then arguments do.
-DEFAULTS: dict[str, object] = {"outputMode": "csv", "contentHash": False, "driftDetect": False, "securityOnly": False, "minConfidence": 0.0, "aiEnabled": False, "confidence": False, "maxClassChars": 40_000, "mismatchLimit": -1, "fileSuffixes": [], "testMarkers": [], "plugins": []}
+DEFAULTS: dict[str, object] = {"outputMode": "csv", "contentHash": False, "driftDetect": False, "securityOnly": False, "minConfidence": 0.0, "aiEnabled": False, "confidence": False, "maxClassChars": 40_000, "mismatchLimit": -1, "fileSuffixes": [], "testMarkers": [], "plugins": [], "detectSecrets": False, "secretsInclude": None}
 
 
 def read_config(text: str, arguments: Mapping[str, object] | None = None) -> tuple[dict[str, object], list[str]]:
