@@ -134,7 +134,7 @@ def scan_files(spark, d):
     root = folder(spark)
     c = V.table(spark, d, "customer").where("c_custkey % 5 = 0").select("c_custkey", F.concat(F.lit("text "), "c_custkey").alias("value"), F.expr("c_custkey % 10").alias("deep"))
     # files of the written table stand for a tree: one folder for each key, and only one kind of them is wanted
-    c.repartition(1, "deep").write.partitionBy("deep").text(root)
+    c.select("value", "deep").repartition(1, "deep").write.partitionBy("deep").text(root)
     found = tables.read_files(spark, root, [".txt"]).where(F.contains("path", F.lit("/deep=0/")))
     rows = found.select(F.explode(F.split(F.rtrim(F.regexp_replace("content", "\n$", "")), "\n")).alias("content"))
     return rows.select(F.regexp_extract("content", r"(\d+)$", 1).cast("long").alias("c"), "content")
@@ -169,7 +169,7 @@ def sink_metadata(spark, d):
 LINES = ("a,b", '"a,b",c', '"a""b",', "", '"open, end', 'x"y",z')
 
 
-@query("SELECT * FROM (VALUES (0, 'a|b'), (1, 'a,b|c'), (2, 'a\"b|'), (3, ''), (4, 'open, end'), (5, 'xy,z')) t(n, fields)")
+@query("SELECT * FROM (VALUES (0, 'a|b'), (1, 'a,b|c'), (2, 'a\"b|'), (3, ''), (4, 'open, end'), (5, 'xy|z')) t(n, fields)")
 def parse_csv_line(spark, d):
     return spark.createDataFrame([(n, "|".join(tables.parse_csv_line(x))) for n, x in enumerate(LINES)], "n int, fields string")
 

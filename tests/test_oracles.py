@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+from sparkledger.plans import inputs  # noqa: F401  registers its queries
 from sparkledger.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
