@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import idcoder
-from .common import kept, new_path, released, table
+from .common import kept, new_path, table
 
 END_ID = 2
 #: Words that are treated here: ASCII, Latin letters and common marks.
@@ -23,7 +23,7 @@ FRAME_IDS = 4 << 20
 #: Words whose ids a worker remembers at a time, in arrays; those of more bytes aren't.
 REMEMBERED, LONG_WORD = 1_500_000, 64
 #: Bytes of text (or one longer document) that are encoded at a time.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 32 << 20
 
 
 def default_tokenizer() -> str:
@@ -248,7 +248,7 @@ def frames(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     tie = F.xxhash64("text")
     dealt = rows.repartitionByRange(parts, F.asc_nulls_first("id"), tie) if parts else rows.repartitionByRange(F.asc_nulls_first("id"), tie)
-    return dealt.sortWithinPartitions(F.asc_nulls_first("id"), tie).mapInArrow(lambda batches: released(each(batches)), FRAME_SCHEMA)
+    return dealt.sortWithinPartitions(F.asc_nulls_first("id"), tie).mapInArrow(each, FRAME_SCHEMA)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, **options) -> str:
@@ -286,13 +286,14 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
                     raise idcoder.Corrupt("a frame lacks ids")
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
+                flat = np.ascontiguousarray(ids, "<u4")
+                crc = [zlib.crc32(flat[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 columns = [pa.array(keys, pa.int64(), mask=null.astype(bool)), pa.array(starts + row["first"] + before[row["part"]], pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())]
                 if with_ids:
                     columns.append(pa.array([ids[a:b].astype(np.int64) for a, b in zip(starts, ends)], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    return stored.mapInArrow(lambda batches: released(each(batches)), schema)
+    return stored.mapInArrow(each, schema)
 
 
 def token_ids(docs: DataFrame, tokenizer: str | None = None, **options) -> DataFrame:
