@@ -23,7 +23,7 @@ FRAME_IDS = 4 << 20
 #: Words whose ids a worker remembers at a time, in arrays; those of more bytes aren't.
 REMEMBERED, LONG_WORD = 1_500_000, 64
 #: Bytes of text (or one longer document) that are encoded at a time.
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 20 << 20
 
 
 def default_tokenizer() -> str:
