@@ -94,6 +94,18 @@ def test_inventory_columns_by_name(spark, tmp_path):
         tables.read_inventory(spark, f"{tmp_path}/b.csv")
 
 
+def test_inventory_in_parts(spark, tmp_path):
+    """Parts of one inventory as tasks write them: the largest isn't the first, and only the first must have a head."""
+    folder = tmp_path / "a b [1]"
+    folder.mkdir()
+    rows = [f"A,m{n},{n}" for n in range(90)]
+    for n, part in enumerate((["# scan_timestamp: t", ""], ["# k: v", "fqcn,method,loc", *rows[:1]], rows[1:80], [], ["fqcn,method,loc", *rows[80:]])):
+        (folder / f"part-{n:05d}.txt").write_text("".join(f"{x}\n" for x in part))
+    for path in (str(folder).replace("[", "\\[").replace("]", "\\]"), f"{tmp_path}/a b*"):
+        got = tables.read_inventory(spark, path).orderBy("seq").collect()
+        assert [(r.fqcn, r.method, r.loc) for r in got] == [("A", f"m{n}", n) for n in range(90)]
+
+
 def test_csv_line():
     assert tables.parse_csv_line('a,"b, ""c""",,"open') == ["a", 'b, "c"', "", "open"]
     assert tables.parse_csv_line("") == [""]
