@@ -146,6 +146,29 @@ def test_overrides_and_rules(spark):
         findings.Rule("b", "T", (), "(a)(b)")
 
 
+def test_overrides_in_parts(spark, tmp_path):
+    """Entries of a document in several files are numbered in their order by tasks; every character comes back."""
+    odd = "".join(map(chr, (9, 10, 13, 0x22, 0x5C, 0x7F, 0x85, 0x9F, 0xA0, 0x2028, 0x2029, 0xFEFF, 0x1F600))) + ": - # {x}"
+    rows = [(n, f"C{n}" if n % 9 else " ", None if n % 2 else odd, (True, False, None)[n % 3], None if n % 4 else ["a", odd, "yes"][: n % 5], odd, None) for n in range(400)]
+    df = spark.createDataFrame(rows, "pos int, fqcn string, method string, security_relevant boolean, tags array<string>, display_name string, reason string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        documents.write_overrides(df, f"{tmp_path}/o", "pos")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len([f for f in os.listdir(f"{tmp_path}/o") if f.startswith("part")]) > 1
+    got = tables.read_override_file(spark, f"{tmp_path}/o").drop("note").orderBy("pos").collect()
+    assert [tuple(r) for r in got] == [r for r in rows if r[0] % 9]
+    # other layouts mean the same
+    text = "# c\noverrides:\n- fqcn: A\n  note: '- {x}'\n- {fqcn: B,\n   tags: [x]}\n"
+    (tmp_path / "p.yaml").write_text(text)
+    assert tables.read_override_file(spark, f"{tmp_path}/p.yaml").collect() == tables.read_overrides(spark, text).collect()
+    (tmp_path / "q.yaml").write_text("# c\noverrides:\n\n- {method: z}\n# - {fqcn: A}\n- {fqcn: B, tags: [1], note: n}\n")
+    assert [(r.pos, r.fqcn, r.tags, r.note) for r in tables.read_override_file(spark, f"{tmp_path}/q.yaml").collect()] == [(1, "B", ["1"], "n")]
+    documents.write_overrides(df.where("false"), f"{tmp_path}/e", "pos")
+    assert tables.read_override_file(spark, f"{tmp_path}/e").collect() == []
+
+
 def test_manual_responses(spark, tmp_path):
     (tmp_path / "s.response.txt").write_text('Sure {"className": "A", "methods": [{"methodName": "m", "securityRelevant": true}]} bye')
     df = spark.createDataFrame([("s", "A"), ("t", "B")], "file_stem string, fqcn string")
