@@ -148,6 +148,25 @@ def test_stage_finds_chains_and_large_buckets(spark):
         assert {r.d for r in kept} == want, hot
 
 
+def test_no_link_is_lost_where_most_pairs_just_fail(spark):
+    """Buckets of texts at a similarity of 0.76, with a few pairs at 0.8: whatever a forest of the likeliest pairs, or a stripe, leaves out is decided afterwards."""
+    rng = random.Random(4)
+    rows = []
+    for base in range(2):
+        words = [f"v{base}x{i}" for i in range(360)]
+        for _ in range(100):
+            own = list(words)
+            for i in rng.sample(range(360), 5):
+                own[i] = f"n{rng.getrandbits(40)}"
+            rows.append((len(rows), " ".join(own)))
+    df = spark.createDataFrame([Row(doc_id=d, text=t, lang="en", source="s", n_chars=1) for d, t in rows], SCHEMA)
+    want = {c for _, c in similar(rows)}
+    assert 20 < len(want) < len(rows)
+    for hot in (nearcopies.HOT, 8):
+        kept = with_copies(df, hot=hot).groupBy("root").agg(F.min("best.doc_id").alias("d")).collect()
+        assert {r.d for r in kept} == want, hot
+
+
 def test_edges_of_the_stage(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert simhash_stage(spark, none, "").count() == 0
