@@ -271,3 +271,11 @@ def test_cache_order_is_that_of_files(spark, tmp_path):
         (tmp_path / name).write_text("".join(json.dumps({"contentHash": "h", "promptSignature": f"{name}{k}"}) + "\n" for k in range(2 if n else 500)))
     got = tables.read_cache(spark, str(tmp_path)).orderBy("seq").collect()
     assert [r.prompt_signature for r in got] == ["a.json0", "a.json1", *(f"b.json{k}" for k in range(500))]
+
+
+def test_texts_of_equal_tag_lists_are_made_once(spark):
+    """Controls that the same tags map to share one text; a tag that maps to a control twice counts twice."""
+    lists = spark.createDataFrame([("A", ["x", "y"]), ("B", ["x", "y"]), ("C", ["y", "y"]), ("D", ["z"])], "control string, tag_list array<string>")
+    by_tag = spark.createDataFrame([(n, t, f"{n}{t}") for n in (10, 9, 2, 1) for t in "yx"], "seq long, tag string, value string")
+    got = {tuple(r.tag_list): r.tests for r in coverage.texts_by_tags(by_tag, lists, part_rows=3).collect()}
+    assert got == {("x", "y"): "1x|1y|2x|2y|9x|9y|10x|10y", ("y", "y"): "1y|1y|2y|2y|9y|9y|10y|10y"}
