@@ -167,6 +167,53 @@ def test_no_link_is_lost_where_most_pairs_just_fail(spark):
         assert {r.d for r in kept} == want, hot
 
 
+def test_pairs_that_just_fail_are_never_rows(spark, monkeypatch):
+    """One bucket of 240 texts at a similarity of 0.76 and a few pairs at 0.8: no table holds more rows than the sets have buckets, in blocks as well, and no link is lost."""
+    rng = random.Random(9)
+    words, rows = [f"v{i}" for i in range(360)], []
+    for n in range(240):
+        own = list(words)
+        for i in rng.sample(range(360), 5):
+            own[i] = f"n{rng.getrandbits(40)}"
+        rows.append((n, " ".join(own)))
+    df = spark.createDataFrame([Row(doc_id=d, text=t, lang="en", source="s", n_chars=1) for d, t in rows], SCHEMA)
+    want = {c for _, c in similar(rows)}
+    assert 20 < len(want) < len(rows)
+    made = []
+
+    def counted(frame, label, f=nearcopies.written):
+        out = f(frame, label)
+        made.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(nearcopies, "written", counted)
+    for options in ({}, {"hot": 8, "block": 30}):
+        made.clear()
+        kept = with_copies(df, **options).groupBy("root").agg(F.min("best.doc_id").alias("d")).collect()
+        assert {r.d for r in kept} == want, options
+        assert max(n for _, n in made) <= len(rows) * (nearcopies.BANDS + 1), made
+
+
+def test_groups_are_decided_as_all_pairs_are():
+    """Links of one group, with sides and without, against all pairs."""
+    rng = np.random.default_rng(3)
+    for case in range(60):
+        n, base = 30, rng.choice(5000, 40, replace=False)
+        sets = [np.unique(np.concatenate((rng.choice(base, rng.integers(33, 40), replace=False), rng.integers(0, 5000, rng.integers(0, 4))))).astype(np.uint32) for _ in range(n)]
+        roots, sides = rng.integers(0, 12, n), rng.integers(0, 2, n) if case % 2 else np.full(n, 2)
+        links = nearcopies.joined(sets, roots, sides, 0.8)
+        pairs = [(i, j) for i in range(n) for j in range(i) if (sides[i] != sides[j] or sides[i] == 2) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        assert len(links) < 12 and all((max(x), min(x)) in pairs for x in links)
+
+        def parts(links, roots=roots):
+            label = roots.copy()
+            for i, j in links:
+                label[label == label[i]] = label[j]
+            return [np.flatnonzero(label == x).tolist() for x in sorted(set(label.tolist()), key=label.tolist().index)]
+
+        assert parts(links) == parts(pairs)
+
+
 def test_edges_of_the_stage(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert simhash_stage(spark, none, "").count() == 0
