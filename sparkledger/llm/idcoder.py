@@ -33,9 +33,9 @@ ONE = 1 << SCALE
 #: Probabilities stay at or above LEAST and, with the speed above, below ONE - 2 * LEAST + 1; a length keeps WIDTH at least.
 LEAST, WIDTH = 15, 16
 #: The range stays at or above FLOOR, so that the narrowest id still leaves one; TOP bounds what is pending.
-FLOOR, TOP = np.uint64(1 << 47), np.uint64(1 << 63)
-#: With so many different values the narrowest id still leaves a range of one.
-MOST_VALUES = 1 << 24
+FLOOR, TOP, PENDING = np.uint64(1 << 47), np.uint64(1 << 63), np.uint64((1 << 47) - 1)
+#: With so many different values the narrowest id still leaves a range of one; up to FEW_VALUES a rank and its confidence fit 16 bits.
+MOST_VALUES, FEW_VALUES = 1 << 24, 1 << 13
 U = np.uint64
 
 
@@ -49,9 +49,12 @@ class Model:
     def __init__(self, lanes: int, values: int):
         lengths = max(1, values.bit_length())
         self.stride, self.lane = lanes, np.arange(lanes, dtype=np.int64)
-        # entries hold the predicted rank times 8 plus the confidence
-        self.t1, self.t2 = np.zeros(lanes << TABLE1, np.uint32), np.zeros(lanes << TABLE2, np.uint32)
-        self.p2, self.p1 = np.full(lanes * 128, ONE // 2, np.int16), np.full(lanes * 128, ONE // 2, np.int16)
+        # entries hold the predicted rank times 8 plus the confidence, in half the memory where ranks are small
+        self.kind = np.uint16 if values <= FEW_VALUES else np.uint32
+        self.one, self.three, self.four, self.seven = (self.kind(k) for k in (1, 3, 4, 7))
+        self.t1, self.t2 = np.zeros(lanes << TABLE1, self.kind), np.zeros(lanes << TABLE2, self.kind)
+        # both probabilities of a state side by side: that of order 2 in the lower 16 bits
+        self.p = np.full(lanes * 128, ONE // 2 << 16 | ONE // 2, np.int32)
         spread = ONE - lengths * WIDTH
         first = [round(k * (spread / lengths + WIDTH)) for k in range(lengths)] + [ONE]
         self.cdf = np.repeat(np.array(first, np.int16)[:, None], lanes, axis=1)
@@ -75,28 +78,48 @@ class Model:
         h *= np.uint32(0x2C1B3C6D)
         self.i2 = self.b2 + (h >> np.uint32(32 - TABLE2))
         self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.c1, self.c2 = self.e1 & np.uint32(7), self.e2 & np.uint32(7)
-        self.s1, self.s2 = self.e1 >> np.uint32(3), self.e2 >> np.uint32(3)
-        self.state = self.bs + ((self.c2 << np.uint32(4)) | (self.c1 << np.uint32(1)) | (self.s1 == self.s2))
-        self.q2, self.q1 = self.p2.take(self.state), self.p1.take(self.state)
+        self.c1, self.c2 = self.e1 & self.seven, self.e2 & self.seven
+        self.s1, self.s2 = self.e1 >> self.three, self.e2 >> self.three
+        state = self.c2 << self.four
+        state |= self.c1 << self.one
+        state |= self.s1 == self.s2
+        self.state = self.bs + state
+        both = self.p.take(self.state)
+        self.q2, self.q1 = both & np.int32(0xFFFF), both >> np.int32(16)
         self.w2, self.w1 = self.q2.astype(U), self.q1.astype(U)
 
     def learn(self, rank: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, miss: np.ndarray, length: np.ndarray) -> None:
         """hit2, hit1, miss: whether order 2 is right, else order 1, else neither; length: of the rank."""
-        right1 = self.s1 == rank
-        q2, q1, top, least = self.q2, self.q1, np.int16(ONE - 2 * LEAST), np.int16(LEAST)
-        self.p2[self.state] = q2 + ((least + hit2 * top - q2) >> FAST)
-        self.p1[self.state] = q1 + ((least + hit1 * top - q1) >> FAST) * ~hit2
-        goal = (self.steps > length.astype(np.int8)) * self.spread
+        top, least, moved = np.int32(ONE - 2 * LEAST), np.int32(LEAST), []
+        for q, hit in ((self.q2, hit2), (self.q1, hit1)):
+            step = hit * top
+            step += least
+            step -= q
+            step >>= FAST
+            moved.append(step)
+        moved[1] *= ~hit2
+        both = self.q1 + moved[1]
+        both <<= np.int32(16)
+        both += self.q2
+        both += moved[0]
+        self.p[self.state] = both
+        goal = (self.steps > length) * self.spread
         goal += self.base
         goal -= self.cdf
         goal >>= SLOW
         goal *= miss
         self.cdf += goal
-        new = (rank << np.uint32(3)) | np.uint32(1)
-        for entries, at, e, right, sure in ((self.t1, self.i1, self.e1, right1, self.c1), (self.t2, self.i2, self.e2, hit2, self.c2)):
-            entries[at] = np.where(right, e + (sure < 7), np.where(sure > 1, e - np.uint32(1), new))
-        self.before, self.last = self.last, rank
+        new = rank << self.three
+        new |= self.one
+        for entries, at, e, right, sure in ((self.t1, self.i1, self.e1, self.s1 == rank, self.c1), (self.t2, self.i2, self.e2, hit2, self.c2)):
+            # right: surer up to 7; wrong: less sure, or replaced
+            wrong = ~right
+            entry = e + (right & (sure < self.seven))
+            entry -= wrong
+            wrong &= sure <= self.one
+            np.copyto(entry, new, where=wrong)
+            entries[at] = entry
+        self.before, self.last = self.last, rank.astype(np.uint32)
 
 
 def bit_length(x: np.ndarray) -> np.ndarray:
@@ -132,13 +155,14 @@ def encode(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
     if len(values) > MOST_VALUES:
         raise ValueError(f"a frame holds at most {MOST_VALUES} different ids")
     lanes, last = lanes_of(n, block) if n else (0, 0)
-    grid = np.zeros((lanes, block), np.uint32)
+    model, m = Model(lanes, len(values)), lanes
+    grid = np.zeros((lanes, block), model.kind)
     grid.ravel()[:n] = ranks
     grid = np.ascontiguousarray(grid.T)
     lengths = bit_length(grid + np.uint32(1)) - np.int8(1)
-    model, m = Model(lanes, len(values)), lanes
     low, size = np.zeros(lanes, U), np.full(lanes, TOP, U)
-    out, used = np.zeros((lanes, 64), np.uint16), np.zeros(lanes, np.int64)
+    # the words as they come, with the bit that a carry adds to the word before, and their lanes
+    digits, owners, lane_kind = [], [], np.uint16 if lanes <= 1 << 16 else np.uint32
     for t in range(min(block, n)):
         if t == last and m == lanes:
             # the last block ends here: its state is set apart
@@ -148,8 +172,8 @@ def encode(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
             if not m:
                 break
         model.look()
-        rank = grid[t, :m]
-        b = lengths[t, :m].astype(np.int64)
+        rank, length = grid[t, :m], lengths[t, :m]
+        b = length.astype(np.int64)
         hit2 = model.s2 == rank
         hit1 = (model.s1 == rank) & ~hit2
         miss = ~(hit2 | hit1)
@@ -160,50 +184,61 @@ def encode(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
         at = b * model.stride + model.lane
         a = model.flat.take(at)
         bits = b.view(U)
-        each = (unit * (model.flat.take(at + model.stride) - a).astype(U)) >> bits
-        inner = second + unit * a.astype(U) + each * ((rank + np.uint32(1)).astype(U) - (U(1) << bits))
-        low += np.where(hit2, U(0), first + np.where(miss, inner, U(0)))
-        size = np.where(hit2, first, np.where(hit1, second, each))
-        model.learn(rank, hit2, hit1, miss, b)
-        if t % 16 == 0 and used.max(initial=0) + 64 > out.shape[1]:
-            out = np.concatenate((out, np.zeros((lanes, max(64, out.shape[1])), np.uint16)), axis=1)
-        over = np.flatnonzero(low >= TOP)
-        if len(over):
-            low[over] -= TOP
-            carry(out, used, over)
-        small = np.flatnonzero(size < FLOOR)
-        while len(small):
-            x, s = low[small], size[small] << U(16)
-            out[small, used[small]] = x >> U(47)
-            used[small] += 1
-            low[small] = (x & U((1 << 47) - 1)) << U(16)
-            size[small] = s
-            small = small[s < FLOOR]
+        each = unit * (model.flat.take(at + model.stride) - a).astype(U)
+        each >>= bits
+        inner = rank.astype(U)
+        inner += U(1)
+        inner -= U(1) << bits
+        inner *= each
+        unit *= a.astype(U)
+        inner += unit
+        inner += second
+        inner *= miss
+        inner += first
+        inner *= ~hit2
+        low += inner
+        size = each
+        np.copyto(size, second, where=hit1)
+        np.copyto(size, first, where=hit2)
+        model.learn(rank, hit2, hit1, miss, length)
+        # what a lane has pending stays under 2^64 until its next word, so carries wait for the end
+        need = size < FLOOR
+        if len(small := np.flatnonzero(need)):
+            owners.append(small.astype(lane_kind))
+            digits.append((low.take(small) >> U(47)).astype(np.uint32))
+            shift = need.astype(U)
+            low &= PENDING | (shift - U(1))
+            shift <<= U(4)
+            low <<= shift
+            size <<= shift
+            # few lanes need a second word
+            while len(small := small[size.take(small) < FLOOR]):
+                x = low.take(small)
+                owners.append(small.astype(lane_kind))
+                digits.append((x >> U(47)).astype(np.uint32))
+                low[small] = (x & PENDING) << U(16)
+                size[small] <<= U(16)
     if m < lanes:
         low = np.concatenate((low, kept_low))
     # four words more settle what is pending
-    out = np.concatenate((out, np.zeros((lanes, 4), np.uint16)), axis=1)
+    every = np.arange(lanes, dtype=lane_kind)
     for k in range(4):
-        out[np.arange(lanes), used + k] = low >> U(47)
-        low = (low & U((1 << 47) - 1)) << U(16)
-    used += 4
+        owners.append(every)
+        digits.append((low >> U(47)).astype(np.uint32))
+        low = (low & PENDING) << U(16)
+    owner = np.concatenate(owners)
+    words, used = np.concatenate(digits)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=lanes)
+    while len(over := np.flatnonzero(words >> np.uint32(16))):
+        words[over] &= np.uint32(0xFFFF)
+        words[over - 1] += np.uint32(1)
     head = np.empty((lanes, 2), "<u4")
-    for k in range(lanes):
-        head[k] = zlib.crc32(ids[k * block : (k + 1) * block].astype("<u4").tobytes()), used[k]
-    words = out[np.arange(out.shape[1])[None, :] < used[:, None]].astype("<u2").tobytes()
-    body = np.array([n, len(values), block], "<u4").tobytes() + values.tobytes() + head.tobytes() + words
+    own = ids.astype("<u4", copy=False)
+    head[:, 0] = [zlib.crc32(own[at : at + block]) for at in range(0, n, block)]
+    head[:, 1] = used
+    body = np.array([n, len(values), block], "<u4").tobytes() + values.tobytes() + head.tobytes() + words.astype("<u2").tobytes()
     return MAGIC + zlib.crc32(body).to_bytes(4, "little") + body
 
 
-def carry(out: np.ndarray, used: np.ndarray, lanes: np.ndarray) -> None:
-    """Adds one to the words already written."""
-    at = used[lanes] - 1
-    while len(lanes):
-        out[lanes, at] += np.uint16(1)
-        more = out[lanes, at] == 0
-        lanes, at = lanes[more], at[more] - 1
-
-
 def decode(data: bytes, only: int | None = None) -> np.ndarray:
     """The ids of a frame (uint32), or those of one of its blocks. Raises Corrupt where a checksum or the length is wrong."""
     if data[:4] != MAGIC or len(data) < 20:
@@ -227,36 +262,38 @@ def decode(data: bytes, only: int | None = None) -> np.ndarray:
     sizes = sizes[chosen]
     grid = decode_lanes(np.concatenate((words, np.zeros(4, "<u2"))), starts[chosen], sizes, different)
     columns, parts = np.ascontiguousarray(grid.T), []
-    for k, lane in enumerate(chosen.tolist()):
-        ranks = columns[k, : sizes[k]]
+    for k, (lane, size) in enumerate(zip(chosen.tolist(), sizes.tolist())):
+        ranks = columns[k, :size]
         if len(ranks) and ranks.max() >= different:
             raise Corrupt(f"block {lane} is damaged")
         part = values[ranks]
-        if zlib.crc32(part.tobytes()) != int(head[lane, 0]):
+        if zlib.crc32(part) != int(head[lane, 0]):
             raise Corrupt(f"the checksum of block {lane} is wrong")
         parts.append(part)
-    return np.concatenate(parts).astype(np.uint32) if parts else np.empty(0, np.uint32)
+    return np.concatenate(parts).astype(np.uint32, copy=False) if parts else np.empty(0, np.uint32)
 
 
 def decode_lanes(words: np.ndarray, at: np.ndarray, sizes: np.ndarray, different: int) -> np.ndarray:
     """Ranks by place and block. All blocks but the last have the largest size."""
     lanes = len(at)
     most = int(sizes.max(initial=0))
-    grid = np.zeros((most, lanes), np.uint32)
     model, m = Model(lanes, different), lanes
+    grid = np.zeros((most, lanes), model.kind)
     at, limit = at.copy(), len(words) - 1
     code = np.zeros(lanes, U)
-    # the top 63 bits: three words and 15 bits of the fourth, of which the last bit follows with the next word
+    # the top 63 bits: three words and 15 bits of the fourth, so from there each word comes one bit late
     for k in range(4):
         code = code << U(16) | words[np.minimum(at + k, limit)].astype(U)
-    pending, code = code & U(1), code >> U(1)
+    code >>= U(1)
+    late = words >> np.uint16(1)
+    late[1:] |= words[:-1] << np.uint16(15)
     at += 4
     size = np.full(lanes, TOP, U)
     for t in range(most):
         if m == lanes and t == sizes[-1]:
             m -= 1
             model.narrow(m)
-            code, size, at, pending = code[:m], size[:m], at[:m], pending[:m]
+            code, size, at = code[:m], size[:m], at[:m]
             if not m:
                 break
         model.look()
@@ -270,28 +307,46 @@ def decode_lanes(words: np.ndarray, at: np.ndarray, sizes: np.ndarray, different
         unit = (rest - second) >> U(SCALE)
         deep = inner - second
         # lanes without a miss look for a place that isn't used
-        target = np.where(miss, deep // unit, U(0))
+        target = deep // unit
+        target *= miss
         target = np.minimum(target, U(ONE - 1)).astype(np.int16)
-        b = np.add.reduce(model.cdf <= target, axis=0, dtype=np.int8).astype(np.int64) - 1
+        length = np.add.reduce(model.cdf <= target, axis=0, dtype=np.int8)
+        length -= np.int8(1)
+        b = length.astype(np.int64)
         place = b * model.stride + model.lane
         a = model.flat.take(place)
         bits = b.view(U)
-        each = (unit * (model.flat.take(place + model.stride) - a).astype(U)) >> bits
-        deep -= unit * a.astype(U)
-        offset = np.minimum(np.where(miss, deep // each, U(0)), (U(1) << bits) - U(1))
-        coded = (offset + (U(1) << bits) - U(1)).astype(np.uint32)
-        rank = np.where(hit2, model.s2, np.where(hit1, model.s1, coded))
-        code = np.where(hit2, code, np.where(hit1, inner, deep - each * offset))
-        size = np.where(hit2, first, np.where(hit1, second, each))
+        each = unit * (model.flat.take(place + model.stride) - a).astype(U)
+        each >>= bits
+        unit *= a.astype(U)
+        deep -= unit
+        power = U(1) << bits
+        power -= U(1)
+        offset = deep // each
+        offset *= miss
+        np.minimum(offset, power, out=offset)
+        deep -= each * offset
+        power += offset
+        rank = power.astype(model.kind)
+        np.copyto(rank, model.s1, where=hit1)
+        np.copyto(rank, model.s2, where=hit2)
+        np.copyto(deep, inner, where=hit1)
+        np.copyto(code, deep, where=~hit2)
+        size = each
+        np.copyto(size, second, where=hit1)
+        np.copyto(size, first, where=hit2)
         grid[t, :m] = rank
-        model.learn(rank, hit2, hit1, miss, b)
-        small = np.flatnonzero(size < FLOOR)
-        while len(small):
-            w, s = at[small], size[small] << U(16)
-            word = words.take(np.minimum(w, limit)).astype(U)
-            code[small] = code[small] << U(16) | pending[small] << U(15) | word >> U(1)
-            pending[small] = word & U(1)
-            at[small] = w + 1
-            size[small] = s
-            small = small[s < FLOOR]
+        model.learn(rank, hit2, hit1, miss, length)
+        need = size < FLOOR
+        if len(small := np.flatnonzero(need)):
+            shift = need.astype(U)
+            shift <<= U(4)
+            code <<= shift
+            size <<= shift
+            code[small] |= late.take(at.take(small), mode="clip")
+            at += need
+            while len(small := small[size.take(small) < FLOOR]):
+                code[small] = code.take(small) << U(16) | late.take(at.take(small), mode="clip")
+                size[small] <<= U(16)
+                at[small] += 1
     return grid

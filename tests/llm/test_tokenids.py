@@ -128,3 +128,13 @@ def test_read_with_ids(spark, tmp_path):
 
 def test_empty_table(spark):
     assert tokenids.token_ids(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("values, crc", [(50, 3383911670), (8192, 1306203205), (8193, 4002405999)])
+def test_frames_keep_their_bytes_whatever_the_width_of_tables(values, crc):
+    """Up to 8,192 different ids the tables have 16 bits an entry; the bytes, and these checksums of them, are those of the coder before that."""
+    ids = np.concatenate((np.arange(values), np.arange(20_000) ** 2 % values))
+    data = idcoder.encode(ids, 256)
+    assert zlib.crc32(data) == crc
+    assert (idcoder.decode(data) == ids).all()
+    assert idcoder.Model(4, values).t2.itemsize == (2 if values <= 8192 else 4)
