@@ -2,6 +2,9 @@ import hashlib
 import json
 import os
 import stat
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -279,3 +282,33 @@ def test_texts_of_equal_tag_lists_are_made_once(spark):
     by_tag = spark.createDataFrame([(n, t, f"{n}{t}") for n in (10, 9, 2, 1) for t in "yx"], "seq long, tag string, value string")
     got = {tuple(r.tag_list): r.tests for r in coverage.texts_by_tags(by_tag, lists, part_rows=3).collect()}
     assert got == {("x", "y"): "1x|1y|2x|2y|9x|9y|10x|10y", ("y", "y"): "1y|1y|2y|2y|9y|9y|10y|10y"}
+
+
+LONG = """
+from pyspark.sql import SparkSession
+from sparkledger.operators import coverage
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+by_tag = spark.range(160_000).selectExpr("id AS seq", "'x' AS tag", "repeat(lpad(id, 10, '0'), 100) AS value")
+lists = spark.createDataFrame([("A", ["x"]), ("B", ["x"])], "control string, tag_list array<string>")
+for r in coverage.texts_by_tags(by_tag, lists).selectExpr("length(tests) AS n", "substring(tests, 1, 1002) AS head", "right(tests, 1001) AS tail").collect():
+    assert (r.n, r.head, r.tail) == (160_000 * 1001 - 1, "0" * 1000 + "|0", "|" + "0000159999" * 100)
+    print("whole")
+"""
+
+
+def test_a_text_of_a_third_of_the_heap(tmp_path):
+    """160 MB in a heap of 512 MB: its parts, the text and its row are never in the heap at once."""
+    root = str(Path(__file__).resolve().parent.parent)
+    env = os.environ | {"PYTHONPATH": root, "PYSPARK_SUBMIT_ARGS": "--driver-memory 512m pyspark-shell", "SPARK_LOCAL_DIRS": str(tmp_path)}
+    for k in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET"):
+        env.pop(k, None)
+    done = subprocess.run([sys.executable, "-c", LONG], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.stdout.split() == ["whole"], done.stderr[-2000:]
+
+
+def test_whole_texts_of_each_head(spark):
+    """A row for each head, in any number; empty texts, wide characters, null chapters; none for heads without parts or parts without heads."""
+    parts = spark.createDataFrame([(["x"], 2, "c"), (["x"], -1, "\u00e4"), (["x"], 0, ""), (["y"], 0, ""), (["w"], 0, "w")], "tag_list array<string>, part long, text string")
+    heads = spark.createDataFrame([(["x"], "A", None), (["x"], "B", "\U0001f600"), (["y"], "C", "t"), (["z"], "D", "t")], "tag_list array<string>, control string, chapter string")
+    got = sorted(tuple(r) for r in coverage.whole_texts(parts, heads).collect())
+    assert got == [("A", None, "\u00e4||c"), ("B", "\U0001f600", "\u00e4||c"), ("C", "t", "")]
